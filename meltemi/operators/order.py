@@ -53,6 +53,6 @@ def previous_row(
     carried = carried.select(*keys, "_slice", *[F.col(f"_last.{c}").alias(c) for c in kept if c not in keys], F.lit(0).alias("_own"))
 
     both = rows.withColumn("_own", F.lit(1)).unionByName(carried, allowMissingColumns=True)
-    within = Window.partitionBy(*keys, "_slice").orderBy("_own", *order)
+    within = Window.partitionBy(*keys, "_slice").orderBy("_own", *kept)
     out = both.withColumn("_prev", F.lag(F.struct(*kept)).over(within)).where(F.col("_own") == 1)
     return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(f"{prefix}{c}") for c in kept])
