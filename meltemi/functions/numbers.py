@@ -49,10 +49,14 @@ def rank_of(label: str | Column, order: Sequence[str]) -> Column:
 
 
 def snapped(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Every DOUBLE column rounded, so that results of two engines can be compared."""
-    return df.select(
-        *[
-            rounded(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    """DOUBLE columns rounded and dates as midnight timestamps, so that results of two engines can be compared."""
+
+    def cell(f: T.StructField) -> Column:
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DoubleType):
+            return rounded(col, digits).alias(f.name)
+        if isinstance(f.dataType, T.DateType):
+            return col.cast("timestamp_ntz").alias(f.name)
+        return col
+
+    return df.select(*[cell(f) for f in df.schema.fields])

@@ -116,18 +116,14 @@ def spectral_residual(
     names = [*keys, ts, value, "baseline", "score", "anomaly"]
 
     def detect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
+        pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
         mine = (pdf["_home"] == pdf["_stretch"]).to_numpy()
-        if not mine.any():
-            return pd.DataFrame({n: [] for n in names}).astype({"anomaly": "int32"}).reindex(columns=names)
         values = pdf[value].ffill().bfill().fillna(0.0).to_numpy(dtype=float)
         baseline, score = _scores(values, pdf["idx"].to_numpy(), cfg)
-        flag = score >= cfg.min_score
-        flag &= mine
+        flag = mine & (score >= cfg.min_score)
         limit = int(cfg.max_anomaly_ratio * mine.sum())
         if flag.sum() > limit:
-            cut = np.argsort(-np.where(flag, score, -1.0), kind="stable")[limit:]
-            flag[cut] = False
+            flag[np.argsort(-np.where(flag, score, -1.0), kind="stable")[limit:]] = False
         out = pdf[[*keys, ts, value]].assign(baseline=baseline, score=score, anomaly=flag.astype("int32"))
         return out.loc[mine, names]
 

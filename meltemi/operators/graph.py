@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltemi.operators.entities import Ontology, Tables
+from meltemi.operators.entities import Entity, Ontology, Tables
 
 
 def edges(tables: Tables, ontology: Ontology, relationships: Sequence[str] | None = None) -> DataFrame:
@@ -64,9 +64,20 @@ def dangling(tables: Tables, ontology: Ontology) -> DataFrame:
     return e.join(n, ["dst_type", "dst_id"], "left_anti").select("src_type", "src_id", "rel", "dst_type", "dst_id")
 
 
-def isolated(tables: Tables, ontology: Ontology) -> DataFrame:
-    """Nodes no edge touches."""
-    return nodes(tables, ontology).join(endpoints(edges(tables, ontology)), ["type", "id"], "left_anti")
+def isolated(tables: Tables, ontology: Ontology, relationships: Sequence[str] | None = None) -> DataFrame:
+    """Nodes of the types the relationships connect that no such edge touches."""
+    names = list(relationships or ontology.relationships)
+    types = sorted({end for n in names for end in (ontology.relationships[n].source, ontology.relationships[n].target)})
+    touched = endpoints(edges(tables, ontology, names))
+    return nodes(tables, ontology, types).join(touched, ["type", "id"], "left_anti")
+
+
+def unknown_reporters(tables: Tables, entity: Entity) -> DataFrame:
+    """Telemetry keys without a static row, with their number of events."""
+    live = entity.live
+    assert live is not None
+    seen = tables[live.table].groupBy(live.key).agg(F.count("*").alias("events"))
+    return seen.join(tables[entity.table].select(F.col(entity.key).alias(live.key)), live.key, "left_anti")
 
 
 def grid_disagreement(tables: Tables) -> DataFrame:

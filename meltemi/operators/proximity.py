@@ -58,6 +58,27 @@ def within_radius(
     return pairs.where(F.col(name) <= radius_nm).drop("_cell", "_salt")
 
 
+def count_within(
+    left: DataFrame,
+    right: DataFrame,
+    radius_nm: float,
+    *,
+    left_id: str,
+    left_at: tuple[str, str],
+    right_at: tuple[str, str],
+) -> DataFrame:
+    """left_id, how many right rows lie within the radius, and the least distance (NULL when none does).
+
+    Pairs are formed between distinct positions only and are added up where they arise.
+    """
+    (la, lo), (ra, ro) = left_at, right_at
+    spots = left.where(F.col(la).isNotNull() & F.col(lo).isNotNull()).select(la, lo).distinct()
+    weights = right.where(F.col(ra).isNotNull() & F.col(ro).isNotNull()).groupBy(ra, ro).agg(F.count("*").alias("_w"))
+    pairs = within_radius(spots, weights, radius_nm, left_at=left_at, right_at=right_at)
+    sums = pairs.groupBy(la, lo).agg(F.sum("_w").alias("n"), F.min("distance_nm").alias("nearest_nm"))
+    return left.select(left_id, la, lo).join(sums, [la, lo], "left").select(left_id, F.coalesce("n", F.lit(0)).alias("n"), "nearest_nm")
+
+
 def nearest(
     left: DataFrame,
     right: DataFrame,

@@ -143,19 +143,26 @@ def g24_orders_completed(t: Tables, year: int = 2026) -> DataFrame:
 
 
 def g25_farm_network(t: Tables, plant: str = "Naxos Wind Farm") -> DataFrame:
-    """The plant is chosen first, so every hop joins from its few rows."""
+    """The turbines of one plant, its grid and the substations feeding it.
+
+    The plant is chosen first, so every hop joins from its few rows. Turbines and substations are
+    listed one below the other by ``role``; side by side they would multiply.
+    """
     seed = t["power_plants"].where(F.col("plant_name") == plant).select("plant_id", "plant_name", "grid_zone")
-    rows = _hop(seed, t, "belongs_to_plant", reverse=True, on="plant_id", cols={"turbine_id": "turbine_id", "manufacturer": "manufacturer", "capacity_mw": "capacity_mw"})
-    rows = _hop(rows, t, "fed_by_plant", "left", reverse=True, on="plant_id", cols={"substation_name": "substation_name"})
-    rows = _hop(rows, t, "feeds_grid", "left", on="grid_zone", cols={"grid_name": "grid_name"})
-    return rows.select("plant_name", "turbine_id", "manufacturer", "capacity_mw", "grid_name", "substation_name")
+    seed = _hop(seed, t, "feeds_grid", "left", on="grid_zone", cols={"grid_name": "grid_name"})
+    turbines = _hop(seed, t, "belongs_to_plant", reverse=True, on="plant_id", cols={"turbine_name": "name", "manufacturer": "manufacturer", "capacity_mw": "capacity_mw"})
+    stations = _hop(seed, t, "fed_by_plant", reverse=True, on="plant_id", cols={"substation_name": "name"})
+    both = turbines.withColumn("role", F.lit("turbine")).unionByName(stations.withColumn("role", F.lit("substation")), allowMissingColumns=True)
+    return both.select("plant_name", "grid_name", "role", "name", "manufacturer", "capacity_mw")
 
 
 def g26_plant_supply(t: Tables, plant: str = "Lavrio Gas CCGT") -> DataFrame:
+    """One plant with the substations feeding it and the vessels supplying it, a row for each."""
     seed = t["power_plants"].where(F.col("plant_name") == plant).select("plant_id", "plant_name", "capacity_mw", "region")
-    rows = _hop(seed, t, "fed_by_plant", "left", reverse=True, on="plant_id", cols={"substation_name": "substation_name"})
-    rows = _hop(rows, t, "supplies_plant", "left", reverse=True, on="plant_id", cols={"vessel_name": "vessel_name"})
-    return rows.select("plant_name", "capacity_mw", "region", "substation_name", "vessel_name")
+    stations = _hop(seed, t, "fed_by_plant", "left", reverse=True, on="plant_id", cols={"substation_name": "name"})
+    supply = _hop(seed, t, "supplies_plant", "left", reverse=True, on="plant_id", cols={"vessel_name": "name"})
+    both = stations.withColumn("role", F.lit("substation")).unionByName(supply.withColumn("role", F.lit("vessel")))
+    return both.select("plant_name", "capacity_mw", "region", "role", "name")
 
 
 def g27_wind_farm_power(t: Tables) -> DataFrame:

@@ -7,8 +7,24 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "STRING": T.StringType(),
+    "DOUBLE": T.DoubleType(),
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "BOOLEAN": T.BooleanType(),
+    "DATE": T.DateType(),
+    "TIMESTAMP": T.TimestampType(),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Schema from 'name TYPE, ...'; unlike a DDL parse it needs no session."""
+    out: list[T.StructField] = []
+    for part in columns.split(","):
+        name, kind = part.split()
+        out.append(T.StructField(name, _TYPES[kind]))
+    return T.StructType(out)
 
 
 @dataclass(frozen=True)

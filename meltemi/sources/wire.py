@@ -15,7 +15,9 @@ BAD = "_corrupt_record"
 
 def as_wire(df: DataFrame, value: str = "value") -> DataFrame:
     """Rows as JSON text, one event per row, timestamps in ISO form."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias(value))
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    options = {"timestampFormat": iso + "XXX", "timestampNTZFormat": iso}
+    return df.select(F.to_json(F.struct(*df.columns), options).alias(value))
 
 
 def with_stream_type(raw: DataFrame, value: str = "value") -> DataFrame:
