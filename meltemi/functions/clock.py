@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,24 +25,49 @@ LIVE_SPANS = {
 }
 
 
-@dataclass(frozen=True)
 class Clock:
     """The instant a query is evaluated at, and the width of each named span."""
 
-    as_of: Column
-    spans: Mapping[str, str] = field(default_factory=lambda: dict(LIVE_SPANS))
+    def __init__(self, as_of: Column | Callable[[], Column], spans: Mapping[str, str] | None = None):
+        self._as_of = as_of
+        self.spans = dict(spans or LIVE_SPANS)
+
+    @cached_property
+    def as_of(self) -> Column:
+        return self._as_of if isinstance(self._as_of, Column) else self._as_of()
 
     @classmethod
     def live(cls) -> "Clock":
         return cls(F.lit(datetime.now(timezone.utc)))
 
     @classmethod
-    def at_newest(cls, df: DataFrame, ts: str = "timestamp", spans: Mapping[str, str] | None = None) -> "Clock":
-        """Evaluate at the newest event time of ``df``.
-
-        The maximum is a scalar subquery, so it reaches the scan as a pushed-down filter.
+    def at_newest(
+        cls,
+        df: DataFrame,
+        ts: str = "timestamp",
+        spans: Mapping[str, str] | None = None,
+        *,
+        day: str = "event_date",
+        pinned: bool = True,
+    ) -> "Clock":
+        """Evaluate at the newest event time of ``df``, read when first needed.
+
+        ``pinned`` looks the one value up and makes it a literal, as a live clock's is: row groups are skipped by
+        it, and the branches of a query that read the same events share one shuffle. Otherwise it stays a
+        scalar subquery of the query, which also reaches the scan but keeps Spark from sharing those shuffles.
+        A table partitioned by date is read in its newest partition only.
         """
-        return cls(df.agg(F.max(ts)).scalar(), dict(spans or LIVE_SPANS))
+        if day in df.columns:
+            df = df.where(F.col(day) == df.agg(F.max(day)).scalar())
+        if not pinned:
+            return cls(df.agg(F.max(ts)).scalar(), spans)
+        kind = df.schema[ts].dataType
+
+        def look_up() -> Column:
+            newest = df.agg(F.max(ts).cast("string").alias("t")).first()
+            return F.lit(newest["t"]).cast(kind)
+
+        return cls(look_up, spans)
 
     def back(self, span: str) -> Column:
         return self.as_of - F.expr(f"INTERVAL {self.spans[span]}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,40 +49,70 @@ def _saliency(x: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
     spectrum = np.fft.fft(x)
     amplitude = np.abs(spectrum)
     quiet = amplitude < 1e-12
-    log_amp = np.log(np.where(quiet, 1.0, amplitude))
-    kernel = np.ones(cfg.smooth) / cfg.smooth
-    padded = np.pad(log_amp, (cfg.smooth // 2, cfg.smooth - 1 - cfg.smooth // 2), mode="edge")
-    residual = np.exp(log_amp - np.convolve(padded, kernel, mode="valid"))
-    unit = np.where(quiet, 0.0, spectrum / np.where(quiet, 1.0, amplitude))
-    return np.abs(np.fft.ifft(residual * unit))
+    safe = np.where(quiet, 1.0, amplitude)
+    log_amp = np.log(safe)
+    before = cfg.smooth // 2
+    padded = np.concatenate([np.repeat(log_amp[0], before), log_amp, np.repeat(log_amp[-1], cfg.smooth - 1 - before)])
+    local = np.convolve(padded, np.full(cfg.smooth, 1.0 / cfg.smooth), mode="valid")
+    unit = np.where(quiet, 0.0, spectrum / safe)
+    return np.abs(np.fft.ifft(np.exp(log_amp - local) * unit))
+
+
+def _seasonal_median(values: np.ndarray, idx: np.ndarray, period: int) -> np.ndarray:
+    """Median of each step's phase: one spike does not lift its whole phase."""
+    phase = idx % period
+    order = np.lexsort((values, phase))
+    counts = np.bincount(phase, minlength=period)
+    starts = np.cumsum(counts) - counts
+    low = np.minimum(starts + np.maximum(counts - 1, 0) // 2, len(values) - 1)
+    high = np.minimum(starts + counts // 2, len(values) - 1)
+    ranked = values[order]
+    return ((ranked[low] + ranked[high]) / 2)[phase]
+
+
+def _mean_before(x: np.ndarray, width: int) -> np.ndarray:
+    """Mean of up to ``width`` values before each one; the first has itself."""
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    end = np.arange(len(x))
+    start = np.maximum(end - width, 0)
+    out = (total[end] - total[start]) / np.maximum(end - start, 1)
+    out[0] = x[0]
+    return out
 
 
 def _scores(values: np.ndarray, idx: np.ndarray, cfg: SpectralResidual) -> tuple[np.ndarray, np.ndarray]:
     """(baseline, score) of one contiguous stretch."""
     n = len(values)
-    mean = values.mean()
-    baseline = np.full(n, mean)
-    if cfg.periodicity > 1 and n >= 2 * cfg.periodicity:
-        phase = idx % cfg.periodicity
-        sums = np.bincount(phase, weights=values, minlength=cfg.periodicity)
-        counts = np.bincount(phase, minlength=cfg.periodicity)
-        # The median keeps one spike from lifting its whole phase.
-        medians = pd.Series(values).groupby(phase).median().reindex(range(cfg.periodicity))
-        baseline = np.where(counts[phase] > 2, medians.to_numpy()[phase], sums[phase] / np.maximum(counts[phase], 1))
+    seasonal = cfg.periodicity > 1 and n >= 2 * cfg.periodicity
+    baseline = _seasonal_median(values, idx, cfg.periodicity) if seasonal else np.full(n, values.mean())
     rest = values - baseline
-    if n < 2 or np.allclose(rest, rest[0]):
+    if n < 2 or rest.max() - rest.min() < 1e-9:
         return baseline, np.zeros(n)
     # Points estimated past the end keep the transform from treating the last value as an edge.
     m = min(cfg.ahead, n - 1)
-    slopes = [(rest[-1] - rest[-1 - i]) / i for i in range(1, m + 1)]
-    tail = np.full(cfg.ahead, rest[-m] + np.mean(slopes) * m)
+    back = np.arange(1, m + 1)
+    slope = ((rest[-1] - rest[-1 - back]) / back).mean()
+    tail = np.full(cfg.ahead, rest[-m] + slope * m)
     sal = _saliency(np.concatenate([rest, tail]), cfg)[:n]
-    local = pd.Series(sal).rolling(cfg.history, min_periods=1).mean().shift(1).to_numpy()
-    local[0] = sal[0]
+    local = _mean_before(sal, cfg.history)
     floor = max(1e-9, 0.05 * float(sal.mean()))
     return baseline, np.maximum((sal - local) / np.maximum(local, floor), 0.0)
 
 
+def _judged(values: np.ndarray, idx: np.ndarray, mine: np.ndarray, cfg: SpectralResidual) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(baseline, score, flag) of one stretch; only core points are flagged, at most the allowed share of them."""
+    known = ~np.isnan(values)
+    if not known.all():
+        at = np.flatnonzero(known)
+        values = np.interp(np.arange(len(values)), at, values[at]) if len(at) else np.zeros(len(values))
+    baseline, score = _scores(values, idx, cfg)
+    flag = mine & (score >= cfg.min_score)
+    limit = int(cfg.max_anomaly_ratio * mine.sum())
+    if flag.sum() > limit:
+        flag[np.argsort(-np.where(flag, score, -1.0), kind="stable")[limit:]] = False
+    return baseline, score, flag
+
+
 def spectral_residual(
     series: DataFrame,
     keys: str | Sequence[str],
@@ -96,8 +126,9 @@ def spectral_residual(
     """A gap-free series with ``baseline``, ``score`` and ``anomaly`` (0 or 1).
 
     An entity's series is cut into stretches of ``core`` steps, each given with an overlap on both
-    sides, so a group holds at most ``core + 2 * overlap`` rows whatever the entity's history. Only the core rows of a
-    stretch are returned.
+    sides, so a stretch holds at most ``core + 2 * overlap`` rows whatever the entity's history, and
+    a long history is spread over many tasks. Stretches arrive sorted, many to an Arrow batch; only
+    core rows are returned.
     """
     keys = as_list(keys)
     overlap = cfg.overlap
@@ -112,22 +143,39 @@ def spectral_residual(
         )
     )
     spread = placed.withColumn("_home", home).withColumn("_stretch", F.explode(stretches))
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.select(*keys, ts).schema) + f", `{value}` double, baseline double, score double, anomaly int"
-    names = [*keys, ts, value, "baseline", "score", "anomaly"]
-
-    def detect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
+    spread = spread.repartition(*[F.col(k) for k in keys], F.col("_stretch")).sortWithinPartitions(*keys, "_stretch", "idx")
+    spread = spread.select(*keys, ts, value, "idx", "_home", "_stretch")
+    kept = series.select(*keys, ts).schema
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{value}` double, baseline double, score double, anomaly int"
+    parts = [*keys, "_stretch"]
+
+    def judge(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        values, idx = pdf[value].to_numpy(dtype=float), pdf["idx"].to_numpy()
         mine = (pdf["_home"] == pdf["_stretch"]).to_numpy()
-        values = pdf[value].ffill().bfill().fillna(0.0).to_numpy(dtype=float)
-        baseline, score = _scores(values, pdf["idx"].to_numpy(), cfg)
-        flag = mine & (score >= cfg.min_score)
-        limit = int(cfg.max_anomaly_ratio * mine.sum())
-        if flag.sum() > limit:
-            flag[np.argsort(-np.where(flag, score, -1.0), kind="stable")[limit:]] = False
+        baseline, score, flag = np.zeros(len(pdf)), np.zeros(len(pdf)), np.zeros(len(pdf), dtype=bool)
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            if mine[a:b].any():
+                baseline[a:b], score[a:b], flag[a:b] = _judged(values[a:b], idx[a:b], mine[a:b], cfg)
         out = pdf[[*keys, ts, value]].assign(baseline=baseline, score=score, anomaly=flag.astype("int32"))
-        return out.loc[mine, names]
-
-    return spread.groupBy(*keys, "_stretch").applyInPandas(detect, out_schema)
+        return out.loc[mine]
+
+    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            new = (rows[parts] != rows[parts].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new)
+            # The last stretch of a batch may go on in the next one.
+            last = starts[-1]
+            held = rows.iloc[last:].reset_index(drop=True)
+            if last > 0:
+                yield judge(rows.iloc[:last].reset_index(drop=True), starts[:-1])
+        if held is not None:
+            yield judge(held, np.array([0]))
+
+    return spread.mapInPandas(detect, out_schema)
 
 
 def anomaly_events(flagged: DataFrame, entity: str, detector: str, *, ts: str = "timestamp", value: str = "value", publish: bool = False) -> DataFrame:

@@ -57,19 +57,55 @@ def subgraph(tables: Tables, ontology: Ontology, relationships: Sequence[str], *
     return endpoints(chosen), chosen
 
 
-def dangling(tables: Tables, ontology: Ontology) -> DataFrame:
-    """Edges whose target does not exist."""
-    e = edges(tables, ontology)
-    n = nodes(tables, ontology).withColumnRenamed("type", "dst_type").withColumnRenamed("id", "dst_id")
-    return e.join(n, ["dst_type", "dst_id"], "left_anti").select("src_type", "src_id", "rel", "dst_type", "dst_id")
+def dangling(tables: Tables, ontology: Ontology, relationships: Sequence[str] | None = None) -> DataFrame:
+    """Edges whose target does not exist.
+
+    Foreign keys are reduced to distinct values before they are looked up; a table is only read again for the
+    keys found missing.
+    """
+    out: DataFrame | None = None
+    for name in relationships or list(ontology.relationships):
+        rel = ontology.relationships[name]
+        source, target = ontology.entities[rel.source], ontology.entities[rel.target]
+        known = tables[target.table].select(F.col(target.key).alias("_fk"))
+        used = tables[source.table].where(F.col(rel.fk).isNotNull()).select(F.col(rel.fk).alias("_fk")).distinct()
+        missing = used.join(known, "_fk", "left_anti")
+        rows = tables[source.table].select(F.col(source.key).alias("_id"), F.col(rel.fk).alias("_fk")).join(missing, "_fk", "left_semi")
+        part = rows.select(
+            F.lit(rel.source).alias("src_type"),
+            F.col("_id").cast("string").alias("src_id"),
+            F.lit(name).alias("rel"),
+            F.lit(rel.target).alias("dst_type"),
+            F.col("_fk").cast("string").alias("dst_id"),
+        )
+        out = part if out is None else out.unionByName(part)
+    assert out is not None
+    return out
 
 
 def isolated(tables: Tables, ontology: Ontology, relationships: Sequence[str] | None = None) -> DataFrame:
-    """Nodes of the types the relationships connect that no such edge touches."""
-    names = list(relationships or ontology.relationships)
-    types = sorted({end for n in names for end in (ontology.relationships[n].source, ontology.relationships[n].target)})
-    touched = endpoints(edges(tables, ontology, names))
-    return nodes(tables, ontology, types).join(touched, ["type", "id"], "left_anti")
+    """Nodes of the types the relationships connect that no such edge touches.
+
+    A node's own foreign keys are in its row, so only unconnected rows are looked up among the keys pointing at them.
+    """
+    rels = [ontology.relationships[n] for n in relationships or list(ontology.relationships)]
+    out: DataFrame | None = None
+    for name in sorted({end for r in rels for end in (r.source, r.target)}):
+        entity = ontology.entities[name]
+        lone = tables[entity.table]
+        for r in rels:
+            if r.source == name:
+                lone = lone.where(F.col(r.fk).isNull())
+        ids = lone.select(F.col(entity.key).alias("_id"))
+        for r in rels:
+            if r.target == name:
+                source = ontology.entities[r.source]
+                pointed = tables[source.table].where(F.col(r.fk).isNotNull()).select(F.col(r.fk).alias("_id")).distinct()
+                ids = ids.join(pointed, "_id", "left_anti")
+        part = ids.select(F.lit(name).alias("type"), F.col("_id").cast("string").alias("id"))
+        out = part if out is None else out.unionByName(part)
+    assert out is not None
+    return out
 
 
 def unknown_reporters(tables: Tables, entity: Entity) -> DataFrame:

@@ -54,5 +54,5 @@ def previous_row(
 
     both = rows.withColumn("_own", F.lit(1)).unionByName(carried, allowMissingColumns=True)
     within = Window.partitionBy(*keys, "_slice").orderBy("_own", *kept)
-    out = both.withColumn("_prev", F.lag(F.struct(*kept)).over(within)).where(F.col("_own") == 1)
-    return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(f"{prefix}{c}") for c in kept])
+    out = both.select("*", *[F.lag(c).over(within).alias(f"{prefix}{c}") for c in kept]).where(F.col("_own") == 1)
+    return out.select(*df.columns, *[f"{prefix}{c}" for c in kept])

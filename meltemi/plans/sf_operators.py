@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.functions.clock import Clock, bucket, within
@@ -37,24 +39,27 @@ def wire_of(feeds: dict[str, DataFrame]) -> DataFrame:
 
 
 def wire_text(t: SfTables) -> DataFrame:
-    return wire_of({name: t[name] for name in ("wind", "solar", "emissions", "vessel_positions")})
+    return wire_of({name: t[name] for name in FEEDS})
 
 
 def _routed_totals(t: SfTables, c: Clock) -> DataFrame:
-    fed = wire.routes(wire_text(t))
-    channel = {"wind": "vibration_mm_s", "solar": "irradiance_wm2", "vessel_positions": "speed_knots", "emissions": "cumulative_co2_tonnes_today"}
-    parts = [
-        fed[n].groupBy("stream_type").agg(F.count("*").alias("n"), F.sum(col).alias("total"), F.min(F.col("timestamp").cast("timestamp_ntz")).alias("first"))
-        for n, col in channel.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    """Events, a channel's sum and the first time per route; the text is parsed once for all routes."""
+    rows = wire.typed(wire_text(t))
+    channel = {"wind": "vibration_mm_s", "solar": "irradiance_wm2", "vessel_positions": "speed_knots", "emissions": "cumulative_co2_tonnes_today", "grid": "voltage_kv"}
+    reading: Column | None = None
+    for name, col in channel.items():
+        hit = F.col("stream_type") == FEEDS[name].stream_type
+        reading = F.when(hit, F.col(col)) if reading is None else reading.when(hit, F.col(col))
+    return rows.where(F.col("stream_type").isin(*[f.stream_type for f in FEEDS.values()])).groupBy("stream_type").agg(
+        F.count("*").alias("n"), F.sum(reading).alias("total"), F.min(F.col("timestamp").cast("timestamp_ntz")).alias("first")
+    )
 
 
 _TOTALS = " union all ".join(
     f"select stream_type, count(*) as n, sum({col}) as total, min(timestamp) as first from {view} group by 1"
-    for view, col in (("wind", "vibration_mm_s"), ("solar", "irradiance_wm2"), ("pos", "speed_knots"), ("gas", "cumulative_co2_tonnes_today"))
+    for view, col in (("wind", "vibration_mm_s"), ("solar", "irradiance_wm2"), ("pos", "speed_knots"), ("gas", "cumulative_co2_tonnes_today"), ("grid", "voltage_kv"))
 )
-add("A02_route_by_discriminator", _routed_totals, "wind solar pos gas", _TOTALS, "total")
+add("A02_route_by_discriminator", _routed_totals, "wind solar pos gas grid", _TOTALS, "total")
 add(
     "A01_json_events",
     lambda t, c: wire.parsed_feed(wire_text(t), FEEDS["wind"]).select(
@@ -209,7 +214,7 @@ add(
 
 def _terms(t: SfTables, c: Clock) -> DataFrame:
     plants = [apply_term(t["power_plants"], n).select(F.lit(n).alias("term")) for n in ("operating", "renewables", "fossil", "wind farm", "solar park")]
-    rows = plants[0].unionByName(plants[1]).unionByName(plants[2]).unionByName(plants[3]).unionByName(plants[4])
+    rows = reduce(DataFrame.unionByName, plants)
     rows = rows.unionByName(apply_term(t["maintenance_orders"], "open work order").select(F.lit("open work order").alias("term")))
     rows = rows.unionByName(t["vessel_positions"].where(under_way()).select(F.lit("under way").alias("term")))
     return rows.groupBy("term").agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,12 @@ from meltemi.streaming.alerts import ChangeAlerts, dispatch_sink
 
 
 def stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, bound like the batch table; event time gets a zone so that watermarks accept it."""
+    """The events table as a stream, bound like the batch table; event time gets a zone so that watermarks accept it.
+
+    The pattern admits a single file as well as a folder of files.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("timestamp"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k")
     )
@@ -38,21 +43,22 @@ def _plain(df: DataFrame, *cols: str) -> DataFrame:
 def _routed(t: SfTables, c: Clock) -> DataFrame:
     base = shared_dir(t.spark, "ingest")
     ev = stream_of_events(t.spark, t.sf_dir)
-    raw = wire_of({"wind": sf.wind(ev), "solar": sf.solar(ev), "emissions": sf.emissions(ev), "vessel_positions": sf.vessel_positions(ev)})
+    feeds = {"wind": sf.wind(ev), "solar": sf.solar(ev), "emissions": sf.emissions(ev), "vessel_positions": sf.vessel_positions(ev), "grid": sf.grid(ev, t.raw("region"))}
+    raw = wire_of(feeds)
     ingest.route_to_tables(raw, f"{base}/tables", f"{base}/checkpoint", available_now=True).awaitTermination()
     parts = [
         t.spark.read.parquet(f"{base}/tables/{name}").groupBy("stream_type", F.col("event_date").cast("date").alias("event_date")).agg(F.count("*").alias("n"))
-        for name in ("wind", "solar", "emissions", "vessel_positions")
+        for name in feeds
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return reduce(DataFrame.unionByName, parts)
 
 
 add(
     "A04_stream_to_tables",
     _routed,
-    "wind solar gas pos",
+    "wind solar gas pos grid",
     " union all ".join(
-        f"select stream_type, date_trunc('day', timestamp)::timestamp as event_date, count(*) as n from {v} group by 1, 2" for v in ("wind", "solar", "gas", "pos")
+        f"select stream_type, date_trunc('day', timestamp)::timestamp as event_date, count(*) as n from {v} group by 1, 2" for v in ("wind", "solar", "gas", "pos", "grid")
     ),
 )
 
@@ -74,7 +80,7 @@ def _latest(t: SfTables, c: Clock) -> DataFrame:
     base = shared_dir(t.spark, "latest")
     ev = stream_of_events(t.spark, t.sf_dir)
     state.latest_to_table(ev, "user_id", f"{base}/out", f"{base}/checkpoint", cols=["event_type", "value"], available_now=True).awaitTermination()
-    return _plain(state.newest_version(t.spark, f"{base}/out"), "user_id", "timestamp", "event_type", "value")
+    return _plain(state.current(t.spark, f"{base}/out", "user_id"), "user_id", "timestamp", "event_type", "value")
 
 
 add(

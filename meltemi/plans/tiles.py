@@ -7,6 +7,7 @@ at the edge is out). Sums over nothing are 0; a share of nothing is NULL.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def generation_snapshot(t: Tables, clock: Clock) -> DataFrame:
     solar = _now(t, "solar", "inverter_id", clock, "30s", ["power_kw"]).agg(kw_to_mw(total("power_kw")).alias("mw"))
     gas = _now(t, "emissions", "plant_id", clock, "60s", ["power_output_mw"]).agg(total("power_output_mw").alias("mw"))
     parts = [p.select(F.lit(n).alias("Source"), "mw") for n, p in (("Wind", wind), ("Solar", solar), ("Gas", gas))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def e01_total_generation(t: Tables, clock: Clock) -> DataFrame:
@@ -88,7 +89,7 @@ def e08_total_generation_trend(t: Tables, clock: Clock, per_entity: bool = False
         else:
             sums = bucketed(rows, clock.width(width), {col: F.sum(col)})
         parts.append(sums.select("timestamp", (F.col(col) / F.lit(unit)).alias("MW"), F.lit(source).alias("Source")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("timestamp", "Source")
+    return reduce(DataFrame.unionByName, parts).orderBy("timestamp", "Source")
 
 
 def top_severity(label: str, lexical: bool) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,51 +20,55 @@ def as_wire(df: DataFrame, value: str = "value") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), options).alias(value))
 
 
-def with_stream_type(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Raw text plus its discriminator; NULL when the text is not a JSON object."""
-    return raw.withColumn("stream_type", F.get_json_object(F.col(value), "$.stream_type"))
+def _wire_schema(feeds: Mapping[str, Feed]) -> T.StructType:
+    """Columns of all feeds by name, times as text, and a column for text that does not parse."""
+    fields: dict[str, T.StructField] = {}
+    for feed in feeds.values():
+        for f in feed.schema:
+            fields.setdefault(f.name, T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType))
+    return T.StructType([*fields.values(), T.StructField(BAD, T.StringType())])
 
 
-def conform(raw: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """Text to typed columns by name: missing path is NULL, extra fields are dropped.
+def typed(raw: DataFrame, feeds: Mapping[str, Feed] = FEEDS, value: str = "value") -> DataFrame:
+    """Text to columns by name, in one parse for all feeds: a missing path is NULL, unknown fields are dropped.
 
-    The time column travels as ISO text with an offset and is cast here, so one bad
-    timestamp costs that column and not the row.
+    The time column travels as ISO text with an offset and is cast here. The parse sits behind a
+    generator, so neither the routes' filters nor their projections repeat it.
     """
-    wire = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType) for f in schema])
-    wire = wire.add(BAD, T.StringType())
-    parsed = F.from_json(F.col(value), wire, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
-    rows = raw.select(parsed.alias("e"), F.col(value).alias("_raw"))
-    return rows.select(*[F.expr(f"try_cast(e.`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema], F.col(f"e.{BAD}").alias(BAD), "_raw")
+    schema = _wire_schema(feeds)
+    parsed = F.from_json(F.col(value), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    rows = raw.select(F.col(value).alias("_raw"), F.inline(F.array(parsed)))
+    times = {f.name for feed in feeds.values() for f in feed.schema if isinstance(f.dataType, T.TimestampType)}
+    return rows.select(*[F.expr(f"try_cast(`{c}` AS timestamp)").alias(c) if c in times else F.col(c) for c in rows.columns])
+
+
+def _sound() -> Column:
+    return F.col(BAD).isNull() & F.col("timestamp").isNotNull()
+
+
+def feed_rows(rows: DataFrame, feed: Feed) -> DataFrame:
+    """One feed's well-formed events out of the typed rows, by equality on the discriminator."""
+    return rows.where((F.col("stream_type") == feed.stream_type) & _sound()).select(*feed.schema.names)
 
 
 def parsed_feed(raw: DataFrame, feed: Feed, value: str = "value") -> DataFrame:
-    """Well-formed events of one feed, typed."""
-    routed = with_stream_type(raw, value).where(F.col("stream_type") == feed.stream_type)
-    rows = conform(routed.select(value), feed.schema, value)
-    return rows.where(F.col(BAD).isNull() & F.col("timestamp").isNotNull()).drop(BAD, "_raw")
+    return feed_rows(typed(raw, {feed.stream_type: feed}, value), feed)
 
 
-def routes(raw: DataFrame, feeds: Mapping[str, Feed] = FEEDS, value: str = "value") -> dict[str, DataFrame]:
-    """One typed DataFrame per feed, by equality on the discriminator."""
-    return {name: parsed_feed(raw, feed, value) for name, feed in feeds.items()}
+def routes(rows: DataFrame, feeds: Mapping[str, Feed] = FEEDS) -> dict[str, DataFrame]:
+    """One DataFrame per feed from the typed rows."""
+    return {name: feed_rows(rows, feed) for name, feed in feeds.items()}
 
 
-def quarantine(raw: DataFrame, feeds: Mapping[str, Feed] = FEEDS, value: str = "value") -> DataFrame:
-    """Everything the routes leave out, with the reason: text, stream_type, reason."""
-    known = [feed.stream_type for feed in feeds.values()]
-    tagged = with_stream_type(raw, value)
-    stray = tagged.where(F.col("stream_type").isNull() | ~F.col("stream_type").isin(*known)).select(
-        F.col(value).alias("raw"),
-        "stream_type",
-        F.when(F.col("stream_type").isNull(), "malformed").otherwise("unknown stream_type").alias("reason"),
+def quarantine(rows: DataFrame, feeds: Mapping[str, Feed] = FEEDS) -> DataFrame:
+    """Every typed row the routes leave out: text, stream_type, reason."""
+    known = F.coalesce(F.col("stream_type").isin(*[feed.stream_type for feed in feeds.values()]), F.lit(False))
+    reason = (
+        F.when(F.col("stream_type").isNull(), "malformed")
+        .when(~known, "unknown stream_type")
+        .otherwise("does not fit the schema")
     )
-    out = stray
-    for feed in feeds.values():
-        rows = conform(tagged.where(F.col("stream_type") == feed.stream_type).select(value), feed.schema, value)
-        bad = rows.where(F.col(BAD).isNotNull() | F.col("timestamp").isNull())
-        out = out.unionByName(bad.select(F.col("_raw").alias("raw"), F.lit(feed.stream_type).alias("stream_type"), F.lit("does not fit the schema").alias("reason")))
-    return out
+    return rows.where(~(known & _sound())).select(F.col("_raw").alias("raw"), "stream_type", reason.alias("reason"))
 
 
 def merged(*parts: DataFrame) -> DataFrame:

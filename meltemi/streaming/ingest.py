@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from meltemi.sources.schemas import FEEDS, Feed
 from meltemi.sources.store import DAY, with_day
-from meltemi.sources.wire import quarantine, routes
+from meltemi.sources.wire import quarantine, routes, typed
 
 BATCH = "ingest_batch"
 
@@ -57,15 +57,15 @@ def route_to_tables(
     fmt: str = "parquet",
     available_now: bool = False,
 ) -> StreamingQuery:
-    """One query reads the source once and writes every feed's table plus the quarantine."""
+    """One query reads the source once, parses it once and writes every feed's table plus the quarantine."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        parsed = typed(batch, feeds).persist()
         try:
-            for name, rows in routes(batch, feeds).items():
+            for name, rows in routes(parsed, feeds).items():
                 write_batch(rows, f"{store}/{name}", batch_id, fmt=fmt)
-            quarantine(batch, feeds).write.format(fmt).mode("overwrite").save(f"{store}/quarantine/{BATCH}={batch_id}")
+            quarantine(parsed, feeds).write.format(fmt).mode("overwrite").save(f"{store}/quarantine/{BATCH}={batch_id}")
         finally:
-            batch.unpersist()
+            parsed.unpersist()
 
     return started(raw.writeStream.foreachBatch(sink), checkpoint, available_now=available_now)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,19 +25,25 @@ def latest_to_table(
 ) -> StreamingQuery:
     """Keep the newest row of every key. State is one row of the chosen columns per key.
 
-    Each micro-batch writes a new version of the table; readers take the highest ``version``.
+    Each micro-batch writes only the keys it changed, under its own id, so a replay overwrites
+    the same rows. :func:`current` reads the log; :func:`compacted` shortens it.
     """
     now = latest(events, keys, ts=ts, cols=cols)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return started(now.writeStream.outputMode("complete").foreachBatch(sink), checkpoint, available_now=available_now)
+    return started(now.writeStream.outputMode("update").foreachBatch(sink), checkpoint, available_now=available_now)
 
 
-def newest_version(spark, path: str) -> DataFrame:
-    table = spark.read.parquet(path)
-    return table.where(F.col("version") == table.agg(F.max("version")).scalar()).drop("version")
+def current(spark: SparkSession, path: str, keys: str | Sequence[str], *, ts: str = "timestamp") -> DataFrame:
+    """The newest row per key from the log of changes."""
+    return latest(spark.read.parquet(path).drop("batch"), keys, ts=ts)
+
+
+def compacted(spark: SparkSession, path: str, target: str, keys: str | Sequence[str], *, ts: str = "timestamp") -> None:
+    """Write the current rows to ``target`` as a log with a single entry."""
+    current(spark, path, keys, ts=ts).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
 def buckets_to_table(
