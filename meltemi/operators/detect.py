@@ -18,8 +18,9 @@ from meltemi.operators.series import indexed
 class SpectralResidual:
     """Detector settings.
 
-    ``sensitivity`` 0 to 99 and ``confidence`` in percent are turned into one minimum score; ``threshold``
-    overrides both. A score is how far the saliency of a point exceeds the mean saliency before it.
+    A score is how far the saliency of a point exceeds the mean saliency before it. ``confidence`` in percent sets
+    the least score (75 % gives 3, the published default) unless ``threshold`` names it. ``sensitivity`` 0 to 99 sets how many
+    robust standard deviations a value must also lie off its baseline: 45 asks for 5.5, 99 for 0.1.
     """
 
     sensitivity: int = 45
@@ -35,9 +36,11 @@ class SpectralResidual:
     def min_score(self) -> float:
         if self.threshold is not None:
             return self.threshold
-        by_sensitivity = 6.0 * (1.0 - self.sensitivity / 100.0)
-        by_confidence = self.confidence / max(100.0 - self.confidence, 1e-9)
-        return max(by_sensitivity, by_confidence)
+        return self.confidence / max(100.0 - self.confidence, 1e-9)
+
+    @property
+    def margin(self) -> float:
+        return (100 - self.sensitivity) / 10.0
 
     @property
     def overlap(self) -> int:
@@ -106,7 +109,9 @@ def _judged(values: np.ndarray, idx: np.ndarray, mine: np.ndarray, cfg: Spectral
         at = np.flatnonzero(known)
         values = np.interp(np.arange(len(values)), at, values[at]) if len(at) else np.zeros(len(values))
     baseline, score = _scores(values, idx, cfg)
-    flag = mine & (score >= cfg.min_score)
+    off = np.abs(values - baseline - np.median(values - baseline))
+    spread = 1.4826 * np.median(off)
+    flag = mine & (score >= cfg.min_score) & (off > max(cfg.margin * spread, 1e-9))
     limit = int(cfg.max_anomaly_ratio * mine.sum())
     if flag.sum() > limit:
         flag[np.argsort(-np.where(flag, score, -1.0), kind="stable")[limit:]] = False
