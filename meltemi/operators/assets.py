@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,7 +83,6 @@ def cadence_report(
     expected_s: Mapping[str, float],
     *,
     ts: str = "timestamp",
-    tiebreak: Sequence[str] = (),
     slack: float = 1.5,
 ) -> DataFrame:
     """Per stream: intervals between consecutive reports of an entity, their median and maximum, and how many are gaps.
@@ -91,7 +90,7 @@ def cadence_report(
     Intervals are counted per whole second before the median is taken, so a stream of any
     size is summarised from one row per distinct interval.
     """
-    linked = previous_row(events.select(stream, entity, ts, *tiebreak), [stream, entity], [ts, *tiebreak], [])
+    linked = previous_row(events.select(stream, entity, ts), [stream, entity], ts, [])
     gaps = linked.where(F.col(f"prev_{ts}").isNotNull()).select(stream, F.round(seconds_between(ts, f"prev_{ts}")).cast("bigint").alias("_s"))
     counted = gaps.groupBy(stream, "_s").agg(F.count("*").alias("_n"))
     pairs: list[Column] = [F.lit(x) for k, v in expected_s.items() for x in (k, float(v))]

@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def fixed_width(kind: T.DataType) -> bool:
+    """Whether a hash aggregate can hold a value of this type in place."""
+    return isinstance(kind, _FIXED_WIDTH)
+
+
 def as_list(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
@@ -38,7 +43,7 @@ def latest(
     carried = [c for c in (cols if cols is not None else df.columns) if c not in keys and c != ts]
     rows = df.where(F.col(ts).isNotNull())
     types = {f.name: f.dataType for f in df.schema.fields}
-    if unique_ts and all(isinstance(types[c], _FIXED_WIDTH) for c in carried):
+    if unique_ts and all(fixed_width(types[c]) for c in carried):
         return rows.groupBy(*keys).agg(F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in carried])
     lead = [ts, *[c for c in as_list(tiebreak) if c not in keys]]
     rest = [c for c in carried if c not in lead]

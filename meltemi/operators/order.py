@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltemi.functions.clock import micros
-from meltemi.operators.latest import as_list
+from meltemi.operators.latest import as_list, fixed_width
 
 ROWS_PER_SLICE = 2_000_000
 
@@ -33,13 +33,15 @@ def previous_row(
     *,
     prefix: str = "prev_",
     slice_us: int | Column | None = None,
+    unique_ts: bool = False,
 ) -> DataFrame:
     """Every row with ``cols`` and the order columns of the row before it, as ``prev_*`` (NULL at the first).
 
     ``order`` starts with the event time; further columns settle ties. A window over the key
     alone would put a hot key into one task. Here rows are split by (key, time slice); the last row
     of each slice, found by partial aggregation, is handed to the key's next slice as a carried row.
-    The window that links slices sees one row per slice only.
+    The window that links slices sees one row per slice only. ``unique_ts`` says that a key has one row per
+    instant, which lets fixed-width columns be carried by a hash aggregate.
     """
     keys, order = as_list(keys), as_list(order)
     ts = order[0]
@@ -47,7 +49,12 @@ def previous_row(
     width = slice_us if isinstance(slice_us, Column) else F.lit(slice_us) if slice_us else slice_width_us(df, ts)
     rows = df.where(F.col(ts).isNotNull()).withColumn("_slice", F.floor(micros(ts) / width))
 
-    last = rows.groupBy(*keys, "_slice").agg(F.max(F.struct(*[F.col(c) for c in kept])).alias("_last"))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if kept == [ts] or (unique_ts and all(fixed_width(types[c]) for c in kept)):
+        carry = [F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in kept[1:]]]
+        last = rows.groupBy(*keys, "_slice").agg(*carry).select(*keys, "_slice", F.struct(*kept).alias("_last"))
+    else:
+        last = rows.groupBy(*keys, "_slice").agg(F.max(F.struct(*kept)).alias("_last"))
     links = Window.partitionBy(*keys).orderBy("_slice")
     carried = last.select(*keys, "_slice", F.lag("_last").over(links).alias("_last")).where(F.col("_last").isNotNull())
     carried = carried.select(*keys, "_slice", *[F.col(f"_last.{c}").alias(c) for c in kept if c not in keys], F.lit(0).alias("_own"))

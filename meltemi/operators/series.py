@@ -54,7 +54,7 @@ def make_series(
     keys = as_list(keys)
     step_us = width_us(step)
     bins = bucketed(df, step, {name: value}, keys=keys, ts=ts, out=ts)
-    linked = previous_row(bins, keys, ts, [name], slice_us=step_us * _SLOTS_PER_SLICE)
+    linked = previous_row(bins, keys, ts, [name], slice_us=step_us * _SLOTS_PER_SLICE, unique_ts=True)
     start = F.coalesce(F.col(f"prev_{ts}") + F.expr(f"INTERVAL {step}"), F.col(ts))
     slots = linked.withColumn("_slot", F.explode(F.sequence(start, F.col(ts), F.expr(f"INTERVAL {step}"))))
     filled = F.col("_slot") != F.col(ts)

@@ -20,7 +20,7 @@ from meltemi.plans.ontology import ENTITIES, ONTOLOGY
 from meltemi.plans.sf import REGIONS, SfTables
 from meltemi.plans.sf_queries import add, decompose_sql, series_sql
 from meltemi.plans.sf_views import bin_of, distance, r, since
-from meltemi.session import shared_dir
+from meltemi.session import settled, shared_dir
 from meltemi.sources import geojson, reference, store, wire
 from meltemi.sources.schemas import FEEDS, REFERENCE
 
@@ -651,7 +651,8 @@ F07_SQL = f"""with {_EPISODES},
 select {_ORDER_ID} as order_id, turbine_id as asset_id, episode_start, lat as target_lat, lon as target_lon, vessel_id, nm as distance_nm, 'Open' as status from n where rn = 1"""
 add(
     "F07_dispatch_orders",
-    lambda t, c: dispatch.dispatch_orders(_forced(t), t["service_vessels"], asset="turbine_id", open_orders=busy_turbines(t)),
+    # The alerts are written first, as the stream does, since dispatch reads them several times.
+    lambda t, c: dispatch.dispatch_orders(settled(_forced(t), "alerts"), t["service_vessels"], asset="turbine_id", open_orders=busy_turbines(t)),
     F07_VIEWS,
     F07_SQL,
     "target_lat,target_lon,distance_nm",
@@ -818,7 +819,7 @@ add(
 _CADENCE = {"click": 3600.0, "view": 7200.0, "purchase": 14400.0, "signup": 28800.0, "error": 57600.0}
 add(
     "F17_cadence_report",
-    lambda t, c: assets.cadence_report(t["events"], "event_type", "user_id", _CADENCE, tiebreak=["event_id"]),
+    lambda t, c: assets.cadence_report(t["events"], "event_type", "user_id", _CADENCE),
     "ev",
     f"""with g as (select event_type, cast(round((epoch_us(timestamp) - epoch_us(lag(timestamp) over (partition by event_type, user_id order by timestamp, event_id))) / 1000000.0::double) as bigint) as s from ev),
     e(event_type, expected_s) as (values {', '.join(f"('{k}', {v}::double)" for k, v in _CADENCE.items())})

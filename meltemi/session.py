@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "meltemi", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +39,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = os.path.join(tempfile.gettempdir(), "meltemi")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared folder and read back: a lost executor costs no recomputation of what led to them."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
