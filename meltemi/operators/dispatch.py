@@ -38,3 +38,12 @@ def dispatch_orders(
         "distance_nm",
         F.lit("Open").alias("status"),
     )
+
+
+def alerts_from_anomalies(events: DataFrame, sites: DataFrame, *, asset: str, upward_only: bool = True) -> DataFrame:
+    """Anomaly events as alerts: the asset, the time and where it stands, for dispatch before a failure.
+
+    ``sites`` lists assets with their coordinates. A value far below its baseline is no reason to sail unless asked for.
+    """
+    rows = events.where(F.col("score") > 0) if upward_only else events
+    return rows.select(F.col("entity_id").alias(asset), "timestamp", "score").join(sites.select(asset, "latitude", "longitude"), asset)

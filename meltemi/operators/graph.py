@@ -46,15 +46,22 @@ def endpoints(edge_rows: DataFrame) -> DataFrame:
     return src.unionByName(dst).distinct()
 
 
-def subgraph(tables: Tables, ontology: Ontology, relationships: Sequence[str], *, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a slice: the chosen relationships, optionally only edges touching ``seeds`` (type, id)."""
-    chosen = edges(tables, ontology, relationships)
-    if seeds is not None:
-        s = seeds.select(F.col("type").alias("_t"), F.col("id").cast("string").alias("_i")).distinct()
-        from_seed = chosen.join(s, (F.col("src_type") == F.col("_t")) & (F.col("src_id") == F.col("_i")), "left_semi")
-        into_seed = chosen.join(s, (F.col("dst_type") == F.col("_t")) & (F.col("dst_id") == F.col("_i")), "left_semi")
+def subgraph(
+    tables: Tables, ontology: Ontology, relationships: Sequence[str], *, seeds: DataFrame | None = None, hops: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a slice: the chosen relationships, or only their edges within ``hops`` of ``seeds`` (type, id)."""
+    all_edges = edges(tables, ontology, relationships)
+    if seeds is None:
+        return endpoints(all_edges), all_edges
+    frontier = seeds.select("type", F.col("id").cast("string").alias("id")).distinct()
+    chosen = all_edges
+    for _ in range(hops):
+        s = frontier.select(F.col("type").alias("_t"), F.col("id").alias("_i"))
+        from_seed = all_edges.join(s, (F.col("src_type") == F.col("_t")) & (F.col("src_id") == F.col("_i")), "left_semi")
+        into_seed = all_edges.join(s, (F.col("dst_type") == F.col("_t")) & (F.col("dst_id") == F.col("_i")), "left_semi")
         chosen = from_seed.unionByName(into_seed).distinct()
-    return endpoints(chosen), chosen
+        frontier = endpoints(chosen)
+    return frontier, chosen
 
 
 def dangling(tables: Tables, ontology: Ontology, relationships: Sequence[str] | None = None) -> DataFrame:

@@ -448,6 +448,24 @@ add(
 --
 select * from e where dst_type = 'PowerPlant' and dst_id in (select plant_id::varchar from power_plants where region = 'ASIA')""",
 )
+add(
+    "D04_subgraph_two_hops",
+    lambda t, c: graph.subgraph(
+        t,
+        ONTOLOGY,
+        ["supplies_plant", "fed_by_plant", "feeds_grid"],
+        seeds=t["island_grids"].where(F.col("grid_name") == "ASIA").select(F.lit("Grid").alias("type"), F.col("grid_id").alias("id")),
+        hops=2,
+    )[0],
+    _EDGE_VIEWS,
+    f"""with e as ({_edge_sql('supplies_plant', 'fed_by_plant', 'feeds_grid')}),
+    s as (select 'Grid' as type, grid_id::varchar as id from island_grids where grid_name = 'ASIA'),
+    e1 as (select * from e where exists (select 1 from s where type = src_type and id = src_id) or exists (select 1 from s where type = dst_type and id = dst_id)),
+    n1 as (select src_type as type, src_id as id from e1 union select dst_type, dst_id from e1),
+    e2 as (select * from e where exists (select 1 from n1 where type = src_type and id = src_id) or exists (select 1 from n1 where type = dst_type and id = dst_id))
+--
+select src_type as type, src_id as id from e2 union select dst_type, dst_id from e2""",
+)
 add(
     "D05_dangling_edges",
     lambda t, c: graph.dangling(t, ONTOLOGY),
@@ -657,6 +675,26 @@ add(
     F07_SQL,
     "target_lat,target_lon,distance_nm",
 )
+def _predicted(t: SfTables) -> DataFrame:
+    """Alerts from unusually high daily vibration."""
+    series = make_series(t["wind"], "turbine_id", "1 day", F.avg("vibration_mm_s"))
+    events = detect.anomaly_events(decompose(series, "turbine_id", "1 day", threshold=0.5), "turbine_id", "decompose")
+    return dispatch.alerts_from_anomalies(events, t["wind_turbines"], asset="turbine_id")
+
+
+add(
+    "F07_predictive_dispatch",
+    lambda t, c: dispatch.dispatch_orders(settled(_predicted(t), "predicted"), t["service_vessels"], asset="turbine_id", open_orders=busy_turbines(t)),
+    F07_VIEWS + " wind_turbines",
+    "with " + series_sql("wind", "turbine_id", "avg(vibration_mm_s)", "1 day") + ", " + decompose_sql("turbine_id", 0.5) + f""",
+    ep as (select turbine_id, min(d.timestamp) as episode_start, any_value(latitude) as lat, any_value(longitude) as lon from d join wind_turbines w using (turbine_id)
+        where anomaly > 0 and turbine_id not in (select asset_id from maintenance_orders where status = 'Open' and priority = '1-URGENT') group by 1),
+    ds as (select ep.*, vessel_id, {distance('lat', 'lon', 'vessel_lat', 'vessel_lon')} as nm from ep, service_vessels),
+    n as (select *, row_number() over (partition by turbine_id order by round(nm, 9), vessel_id) as rn from ds)
+--
+select {_ORDER_ID} as order_id, turbine_id as asset_id, episode_start, lat as target_lat, lon as target_lon, vessel_id, nm as distance_nm, 'Open' as status from n where rn = 1""",
+    "target_lat,target_lon,distance_nm",
+)
 add(
     "F08_maintenance_orders",
     lambda t, c: alerts.maintenance_orders(alerts.open_episodes(_forced(t), "turbine_id", open_orders=busy_turbines(t)), "turbine_id", reason="Forced failure").select(
