@@ -52,7 +52,10 @@ def feed_rows(rows: DataFrame, feed: Feed) -> DataFrame:
 
 
 def parsed_feed(raw: DataFrame, feed: Feed, value: str = "value") -> DataFrame:
-    return feed_rows(typed(raw, {feed.stream_type: feed}, value), feed)
+    """One feed's events straight from the text. Lines that cannot name the feed are skipped before the parse."""
+    text = F.col(value)
+    maybe = text.contains(feed.stream_type) | text.contains("\\u")
+    return feed_rows(typed(raw.where(maybe), {feed.stream_type: feed}, value), feed)
 
 
 def routes(rows: DataFrame, feeds: Mapping[str, Feed] = FEEDS) -> dict[str, DataFrame]:

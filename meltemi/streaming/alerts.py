@@ -1,7 +1,8 @@
 """Change alerts over a stream, in event-time order, with the batch operator doing the work.
 
 Rows wait until the watermark passes them; then they are compared, in (time, tiebreak)
-order, with the row before them. What a restart needs is written per micro-batch: the last released row of
+order, with the row before them. A row is too late, and counted, only when a later one of its own
+object has been released. What a restart needs is written per micro-batch: the last released row of
 every object, the rows still waiting, and the watermark. Because the comparison is the batch operator, a hot
 object is split by time slice here too, and any split into micro-batches gives the batch answer.
 """
@@ -55,10 +56,14 @@ class ChangeAlerts:
         else:
             passed = F.lit(-_END_US)
             waiting = last = batch.where(F.lit(False))
-        late = batch.where(t <= passed)
+        # Too late is a row at or before one already released for its own object.
+        order = [self.ts, *self.tiebreak]
+        seen = last.select(*keys, F.struct(*order).alias("_seen"))
+        placed = batch.join(seen, keys, "left").withColumn("_late", F.coalesce(F.struct(*order) <= F.col("_seen"), F.lit(False)))
+        late = placed.where("_late")
         late.groupBy(*keys).agg(F.count("*").alias("dropped")).write.mode("overwrite").parquet(self._at("late", batch_id))
 
-        pool = waiting.unionByName(batch.where(t > passed)).persist()
+        pool = waiting.unionByName(placed.where("not _late").select(*columns)).persist()
         try:
             newest = F.greatest(passed, F.coalesce(F.max(t) - F.lit(width_us(self.delay)), passed))
             mark = pool.agg((F.lit(_END_US) if finish else newest).alias("us"))

@@ -38,8 +38,8 @@ SUB-SYR-01|Syros Hub Substation|150|GR-CYC|
 """
 VESSELS = """
 VE-LNG-01|Hellas Spirit|LNG Carrier|Greece|PP-LAV-01
-VE-LNG-02|Aegean Breeze|LNG Carrier|Malta|PP-MEG-01
-VE-SVC-01|Poseidon Service|Crew Transfer Vessel|Greece|PP-NAX-01
+VE-LNG-02|Second Carrier|LNG Carrier|Malta|PP-MEG-01
+VE-SVC-01|Crew Boat|Crew Transfer Vessel|Greece|PP-NAX-01
 """
 ORDERS = """
 001|High|Completed|WT-THR-03|2026-01-19|12500

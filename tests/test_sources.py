@@ -90,3 +90,9 @@ def test_geojson(spark):
     df = spark.sql("select 'S1' as id, 37.5D as latitude, 24.0D as longitude union all select 'S2', null, 1.0D")
     got = [json.loads(r.value) for r in geojson.features(df).collect()]
     assert got == [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [24.0, 37.5]}, "properties": {"id": "S1"}}]
+
+
+def test_skipping_lines_of_other_feeds_is_safe(spark):
+    escaped = json.dumps(WIND).replace("WindTurbine", "\\u0057indTurbine")
+    got = wire.parsed_feed(lines(spark, WIND, escaped, {"stream_type": "GridTelemetry", "note": "WindTurbineTelemetry", "timestamp": WIND["timestamp"]}), FEEDS["wind"])
+    assert got.count() == 2

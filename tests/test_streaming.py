@@ -137,14 +137,29 @@ def test_alert_stream_equals_batch(spark, source, tmp_path, one_run):
 
 def test_too_late_rows_are_counted_and_left_out(spark, source, tmp_path):
     job = ChangeAlerts(str(tmp_path / "state"), "turbine_id", F.col("fault_type") == "F", delay="5 seconds")
-    source.add(wind("a", 0), wind("a", 100))
-    source.add(wind("a", 50, "F"), wind("a", 101, "F"))
+    source.add(wind("a", 0), wind("a", 10), wind("b", 100), wind("c", 1))
+    # a at 5 precedes a released row of a; c at 50 is behind the watermark but precedes nothing of c.
+    source.add(wind("a", 5, "F"), wind("b", 101, "F"), wind("c", 50, "F"))
     query = job.start(source.wind(), str(tmp_path / "cp"), available_now=True)
     query.awaitTermination()
     job.finish(spark, query)
-    assert [r[1] for r in rows(job.alerts(spark), "turbine_id", F.col("timestamp").cast("string"))] == ["2026-04-14 10:01:41"]
+    fired = rows(job.alerts(spark), "turbine_id", F.col("timestamp").cast("string"))
+    assert fired == [("b", "2026-04-14 10:01:41"), ("c", "2026-04-14 10:00:50")]
     late = spark.read.parquet(str(tmp_path / "state" / "late"))
-    assert late.agg(F.sum("dropped")).first()[0] == 1
+    assert [(r.turbine_id, r.dropped) for r in late.collect()] == [("a", 1)]
+
+
+@pytest.mark.parametrize("delay", ["0 seconds", "1 hour"])
+def test_any_delay_agrees_on_ordered_input(spark, source, tmp_path, delay):
+    job = ChangeAlerts(str(tmp_path / "state"), "turbine_id", F.col("fault_type") == "F", delay=delay)
+    source.add(wind("a", 0), wind("b", 0))
+    source.add(wind("b", 1, "F"), wind("a", 2, "F"))
+    source.add(wind("b", 3), wind("a", 3, "F"), wind("b", 4, "F"))
+    query = job.start(source.wind(), str(tmp_path / "cp"), available_now=True)
+    query.awaitTermination()
+    job.finish(spark, query)
+    want = rows(changes_to(source.batch(), "turbine_id", "fault_type", "F"), "turbine_id", "timestamp")
+    assert len(want) == 3 and rows(job.alerts(spark), "turbine_id", "timestamp") == want
 
 
 def test_replayed_batch_writes_the_same(spark, source, tmp_path):
