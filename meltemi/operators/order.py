@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltemi.functions.clock import micros
@@ -13,16 +13,16 @@ from meltemi.operators.latest import as_list, fixed_width
 ROWS_PER_SLICE = 2_000_000
 
 
-def slice_width_us(df: DataFrame, ts: str, rows_per_slice: int = ROWS_PER_SLICE) -> Column:
+def slice_width_us(df: DataFrame, ts: str, rows_per_slice: int = ROWS_PER_SLICE) -> int | None:
     """Width of a time slice, in microseconds, that holds about ``rows_per_slice`` rows of all keys together.
 
-    A scalar subquery over the time column alone. A key that owns every row of the
-    table still gets no more than that many rows per slice at an even rate.
+    None when the whole table is no larger than one slice. A key that owns every row of the table still
+    gets no more than that many rows per slice at an even rate. Looked up from the time column alone, one row comes back.
     """
     t = micros(ts)
-    slices = F.greatest(F.ceil(F.count(t) / F.lit(rows_per_slice)), F.lit(1))
-    width = F.ceil((F.max(t) - F.min(t) + F.lit(1)) / slices)
-    return df.agg(F.greatest(F.coalesce(width, F.lit(1)), F.lit(1)).cast("bigint").alias("w")).scalar()
+    size = df.agg(F.count(t).alias("n"), (F.max(t) - F.min(t) + F.lit(1)).alias("span")).first()
+    slices = -(-size["n"] // rows_per_slice)
+    return None if slices <= 1 else max(1, -(-size["span"] // slices))
 
 
 def previous_row(
@@ -32,23 +32,30 @@ def previous_row(
     cols: Sequence[str],
     *,
     prefix: str = "prev_",
-    slice_us: int | Column | None = None,
+    slice_us: int | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
     unique_ts: bool = False,
 ) -> DataFrame:
     """Every row with ``cols`` and the order columns of the row before it, as ``prev_*`` (NULL at the first).
 
-    ``order`` starts with the event time; further columns settle ties. A window over the key
-    alone would put a hot key into one task. Here rows are split by (key, time slice); the last row
-    of each slice, found by partial aggregation, is handed to the key's next slice as a carried row.
-    The window that links slices sees one row per slice only. ``unique_ts`` says that a key has one row per
-    instant, which lets fixed-width columns be carried by a hash aggregate.
+    ``order`` starts with the event time; further columns settle ties. The size of the input decides the way. A
+    table of at most one slice's rows takes a window over the key. In a larger one that could put a hot key into one task,
+    so rows are split by (key, time slice): the last row of each slice, found by partial aggregation, is handed to
+    the key's next slice as a carried row, and the window that links slices sees one row per slice only.
+
+    ``slice_us`` sets the width and skips the look-up. ``unique_ts`` says that a key has one row per instant, which
+    lets fixed-width columns be carried by a hash aggregate.
     """
     keys, order = as_list(keys), as_list(order)
     ts = order[0]
     kept = list(dict.fromkeys([*order, *cols]))
-    width = slice_us if isinstance(slice_us, Column) else F.lit(slice_us) if slice_us else slice_width_us(df, ts)
-    rows = df.where(F.col(ts).isNotNull()).withColumn("_slice", F.floor(micros(ts) / width))
+    rows = df.where(F.col(ts).isNotNull())
+    width = slice_us or slice_width_us(rows, ts, rows_per_slice)
+    if width is None:
+        earlier = Window.partitionBy(*keys).orderBy(*kept)
+        return rows.select(*df.columns, *[F.lag(c).over(earlier).alias(f"{prefix}{c}") for c in kept])
 
+    rows = rows.withColumn("_slice", F.floor(micros(ts) / F.lit(width)))
     types = {f.name: f.dataType for f in df.schema.fields}
     if kept == [ts] or (unique_ts and all(fixed_width(types[c]) for c in kept)):
         carry = [F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in kept[1:]]]

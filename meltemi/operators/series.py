@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltemi.functions.clock import bucket, micros
@@ -44,17 +44,23 @@ def make_series(
     name: str = "value",
     fill: str = "default",
     default: float = 0.0,
+    span: str | None = None,
 ) -> DataFrame:
     """A row for every step from a key's first bucket to its last: keys, ``ts``, ``name``, ``filled``.
 
     Empty steps get ``default`` (0, the query language's rule), or with ``fill`` 'null',
     'ffill' (last value carried on) or 'linear'. Each bucket emits the gap before it, so
-    filling needs the preceding bucket only and no second pass over a calendar.
+    filling needs the preceding bucket only and no second pass over a calendar. ``span`` tells how far back ``df``
+    reaches, where a lookback bounds it: a key then has few enough buckets for a window of its own.
     """
     keys = as_list(keys)
     step_us = width_us(step)
     bins = bucketed(df, step, {name: value}, keys=keys, ts=ts, out=ts)
-    linked = previous_row(bins, keys, ts, [name], slice_us=step_us * _SLOTS_PER_SLICE, unique_ts=True)
+    if span is not None and width_us(span) <= step_us * _SLOTS_PER_SLICE:
+        earlier = Window.partitionBy(*keys).orderBy(ts)
+        linked = bins.select("*", F.lag(ts).over(earlier).alias(f"prev_{ts}"), F.lag(name).over(earlier).alias(f"prev_{name}"))
+    else:
+        linked = previous_row(bins, keys, ts, [name], slice_us=step_us * _SLOTS_PER_SLICE, unique_ts=True)
     start = F.coalesce(F.col(f"prev_{ts}") + F.expr(f"INTERVAL {step}"), F.col(ts))
     slots = linked.withColumn("_slot", F.explode(F.sequence(start, F.col(ts), F.expr(f"INTERVAL {step}"))))
     filled = F.col("_slot") != F.col(ts)

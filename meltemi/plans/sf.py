@@ -11,6 +11,7 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meltemi.functions.clock import Clock
 from meltemi.functions.text import FORCED_FAILURE
@@ -42,8 +43,18 @@ def _user_lon() -> Column:
     return F.lit(20.0) + F.col("user_id") % 100 / F.lit(10.0)
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; its schema is read from the files once per process, which spares a job per query."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = read_table(spark, f"{sf_dir}/events.parquet")
     return raw.select("event_id", F.col("ts").alias("timestamp"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
@@ -316,7 +327,7 @@ class SfTables(Mapping[str, DataFrame]):
         self._made: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
 
     def clock(self) -> Clock:
         return Clock.at_newest(self["events"], spans=SPANS)

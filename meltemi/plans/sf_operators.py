@@ -62,7 +62,7 @@ _TOTALS = " union all ".join(
 add("A02_route_by_discriminator", _routed_totals, "wind solar pos gas grid", _TOTALS, "total")
 add(
     "A01_json_events",
-    lambda t, c: wire.parsed_feed(wire_text(t), FEEDS["wind"]).select(
+    lambda t, c: wire.parsed_feed(wire_of({"wind": t["wind"]}), FEEDS["wind"]).select(
         F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "turbine_id", "power_mw", "wind_speed_ms", "vibration_mm_s", "fault_type"
     ),
     "wind",

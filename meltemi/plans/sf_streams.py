@@ -24,7 +24,7 @@ def stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The pattern admits a single file as well as a folder of files.
     """
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    schema = sf.read_table(spark, f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("timestamp"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k")

@@ -158,7 +158,7 @@ def e14_statistical_anomalies(t: Tables, clock: Clock, assets: Sequence | None =
     if assets is not None:
         rows = rows.where(F.col("turbine_id").isin(*assets))
     step = clock.width("bin5s")
-    series = make_series(rows, "turbine_id", step, F.avg("vibration_mm_s"), name="vibration", fill=fill)
+    series = make_series(rows, "turbine_id", step, F.avg("vibration_mm_s"), name="vibration", fill=fill, span=clock.width("20m"))
     out = decompose(series, "turbine_id", step, threshold=threshold, period=period, value="vibration")
     return out.select("turbine_id", "timestamp", "vibration", F.col("anomaly").alias("anomalies"), "score", "baseline")
 

@@ -12,11 +12,15 @@ from meltemi.sources.schemas import REFERENCE
 
 
 def read_reference_csv(spark: SparkSession, path: str, table: str, *, schemas: Mapping[str, T.StructType] = REFERENCE) -> DataFrame:
-    """CSV with a header, read as text and cast column by column to the declared type."""
-    schema = schemas[table]
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.csv(path, header=True, schema=text, enforceSchema=False)
-    return raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema])
+    """CSV with a header, matched by column name and cast column by column to the declared type.
+
+    Nothing is inferred: a month such as 2026-01 stays text. A column the file lacks is NULL.
+    """
+    raw = spark.read.csv(path, header=True)
+    held = set(raw.columns)
+    return raw.select(
+        *[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) if f.name in held else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas[table]]
+    )
 
 
 def load_reference(spark: SparkSession, csv_dir: str, store: str, *, fmt: str = "parquet", schemas: Mapping[str, T.StructType] = REFERENCE) -> None:

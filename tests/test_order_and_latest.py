@@ -31,13 +31,16 @@ def test_previous_row_equals_a_plain_window(spark, rows, width):
     assert {(r.seq, r.prev_seq) for r in got.collect()} == {(r.seq, r.p) for r in plain.collect()}
 
 
-def test_previous_row_with_derived_slices(spark):
+def test_the_size_of_the_input_decides_the_way(spark):
     df = spark.range(1000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.timestamp_seconds("id").alias("timestamp"), F.col("id").alias("v"))
-    width = df.select(slice_width_us(df, "timestamp", 100).alias("w")).first().w
-    assert 90_000_000 < width < 110_000_000
-    got = previous_row(df, "k", "timestamp", ["v"], slice_us=slice_width_us(df, "timestamp", 100)).where("k = 'hot'")
-    assert got.where("prev_v is null").count() == 1
-    assert got.where("v - prev_v > 2").count() == 0
+    assert slice_width_us(df, "timestamp") is None
+    assert 90_000_000 < slice_width_us(df, "timestamp", 100) < 110_000_000
+    assert slice_width_us(df.where("false"), "timestamp") is None
+    whole, sliced = previous_row(df, "k", "timestamp", ["v"]), previous_row(df, "k", "timestamp", ["v"], rows_per_slice=100)
+    assert "_slice" in sliced._jdf.queryExecution().toString() and "_slice" not in whole._jdf.queryExecution().toString()
+    assert sorted(whole.collect(), key=str) == sorted(sliced.collect(), key=str)
+    hot = sliced.where("k = 'hot'")
+    assert hot.where("prev_v is null").count() == 1 and hot.where("v - prev_v > 2").count() == 0
 
 
 def test_previous_row_ignores_rows_without_time(spark):

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from meltemi.operators.assets import counted_median
 from meltemi.operators.detect import SpectralResidual, anomaly_events, best_detector, evaluate, spectral_residual, write_anomalies
 from meltemi.operators.series import bucketed, decompose, detect_period, make_series, per_entity_bucketed, width_us
 
@@ -49,6 +50,13 @@ def test_series_crosses_slices(spark, monkeypatch):
     assert len(got) == 25 and [r.value for r in got][9:12] == [1, 2, 3] and got[-2].value == 3
 
 
+def test_known_span_gives_the_same_series(spark):
+    df = readings(spark, [(0, 1), (50, 2), (55, 3), (120, 4)]).unionByName(readings(spark, [(7, 1), (33, 2)], "b"))
+    for fill in ("default", "linear"):
+        a, b = (make_series(df, "k", "5 seconds", F.avg("v"), fill=fill, span=s) for s in (None, "20 minutes"))
+        assert sorted(a.collect()) == sorted(b.collect())
+
+
 def test_buckets_drop_rows_without_time(spark):
     df = readings(spark, [(0, 1), (9, 2), (10, 4)]).unionByName(spark.sql("select 'a' as k, cast(null as timestamp) as timestamp, 1.0D as v"))
     got = {r.timestamp.second: (r.n, r.s) for r in bucketed(df, "10 seconds", {"n": F.count("*"), "s": F.sum("v")}).collect()}
@@ -160,3 +168,11 @@ def test_evaluation_by_hand(spark):
     assert got["y", "a"].precision == 1.0 and got["x", "b"].f1 is None
     best = {r.k: r.detector for r in best_detector(evaluate(flags, labels, "k"), "k").collect()}
     assert best == {"a": "y"}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.dictionaries(st.integers(0, 60), st.integers(1, 5), min_size=1, max_size=25), st.sampled_from([1, 7, 1000]))
+def test_counted_median(spark, counts, width):
+    df = spark.createDataFrame([("a", v, n) for v, n in counts.items()], "k string, v bigint, n bigint")
+    got = counted_median(df, "k", "v", "n", width=width).first().median
+    assert got == float(np.median([v for v, n in counts.items() for _ in range(n)]))

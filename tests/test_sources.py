@@ -96,3 +96,19 @@ def test_skipping_lines_of_other_feeds_is_safe(spark):
     escaped = json.dumps(WIND).replace("WindTurbine", "\\u0057indTurbine")
     got = wire.parsed_feed(lines(spark, WIND, escaped, {"stream_type": "GridTelemetry", "note": "WindTurbineTelemetry", "timestamp": WIND["timestamp"]}), FEEDS["wind"])
     assert got.count() == 2
+
+
+def test_absent_text_is_malformed(spark):
+    raw = spark.createDataFrame([(None,), ("",), ("[]",), ("{}",)], "value string")
+    rows = wire.typed(raw)
+    assert {r.reason for r in wire.quarantine(rows).collect()} == {"malformed"}
+    assert wire.quarantine(rows).count() == 4
+    assert all(df.count() == 0 for df in wire.routes(rows).values())
+
+
+def test_csv_columns_are_matched_by_name(spark, folder):
+    os.makedirs(folder)
+    with open(f"{folder}/g.csv", "w") as f:
+        f.write("grid_name,grid_id,population,interconnected,extra\nNaxos Grid,GR-NAX,20000,true,x\n")
+    row = reference.read_reference_csv(spark, f"{folder}/g.csv", "island_grids").first()
+    assert (row.grid_id, row.grid_name, row.population, row.interconnected, row.region) == ("GR-NAX", "Naxos Grid", 20000, True, None)
