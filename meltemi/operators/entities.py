@@ -13,6 +13,9 @@ from meltemi.operators.latest import latest
 
 Tables = Mapping[str, DataFrame]
 
+# Keys of a few bytes each: well below any executor's memory.
+BROADCAST_KEYS = 500_000
+
 
 @dataclass(frozen=True)
 class LiveBinding:
@@ -58,17 +61,53 @@ def live_values(tables: Tables, binding: LiveBinding, *, clock: Clock | None = N
     return newest.select(binding.key, F.col(binding.ts).alias("live_time"), *[F.col(src).alias(f"live_{prop}") for src, prop in wanted.items()])
 
 
-def entity_view(tables: Tables, entity: Entity, *, clock: Clock | None = None, span: str | None = None, props: Sequence[str] | None = None) -> DataFrame:
-    """Static rows with their latest live values; silent assets stay listed with NULLs."""
+def entity_view(
+    tables: Tables,
+    entity: Entity,
+    *,
+    clock: Clock | None = None,
+    span: str | None = None,
+    recent: str | None = None,
+    props: Sequence[str] | None = None,
+) -> DataFrame:
+    """Static rows with their latest live values; silent assets stay listed with NULLs.
+
+    ``span`` limits what counts as live. ``recent`` does not: it names a stretch (such as "1 day") to look at first, so that
+    older events are read only for the assets that did not report in it.
+    """
     static = tables[entity.table]
     if entity.live is None:
         return static
-    live = live_values(tables, entity.live, clock=clock, span=span, props=props)
+    if clock is not None and recent is not None and span is None:
+        live = _newest_part_first(tables, entity, clock, recent, props)
+    else:
+        live = live_values(tables, entity.live, clock=clock, span=span, props=props)
     if entity.live.key != entity.key:
         live = live.withColumnRenamed(entity.live.key, entity.key)
     return static.join(live, entity.key, "left")
 
 
+def _newest_part_first(tables: Tables, entity: Entity, clock: Clock, recent: str, props: Sequence[str] | None) -> DataFrame:
+    """Latest values per asset of the static table: from the recent events, and from older ones for those missing there.
+
+    The missing assets are counted first. None: the older events stay unread. Few: their keys are broadcast.
+    Many: the keys are joined by shuffle.
+    """
+    live = entity.live
+    assert live is not None
+    at = Clock(clock.as_of, {"recent": recent})
+    found = live_values(tables, live, clock=at, span="recent", props=props)
+    keys = tables[entity.table].select(F.col(entity.key).alias(live.key)).distinct()
+    missing = keys.join(found.select(live.key), live.key, "left_anti")
+    n = missing.count()
+    if n == 0:
+        return found
+    wanted = F.broadcast(missing) if n <= BROADCAST_KEYS else missing
+    events = tables[live.table]
+    older = events.where(F.col(live.ts) <= at.back("recent")).join(wanted, live.key, "left_semi")
+    return found.unionByName(live_values({live.table: older}, live, props=props))
+
+
 def follow(
     df: DataFrame,
     tables: Tables,

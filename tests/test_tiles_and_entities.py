@@ -173,6 +173,23 @@ def test_entity_view_keeps_silent_assets_and_renames(spark, clock):
     assert ever["VE-LNG-01"] == "Loaded"
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_recent_events_first_gives_the_same_view(spark, clock, monkeypatch, few):
+    monkeypatch.setattr("meltemi.operators.entities.BROADCAST_KEYS", few)
+    rows = [wind("WT-NAX-01", 5, power_mw=1.0), wind("WT-NAX-01", 5000, power_mw=2.0), wind("WT-NAX-02", 7200, power_mw=3.0), wind("WT-NAX-02", 9000, power_mw=4.0), wind("WT-UNKNOWN", 9000, power_mw=9.0)]
+    t = tables(spark, wind=rows)
+    cols = ["turbine_id", "live_power_mw"]
+    whole = {tuple(r) for r in entity_view(t, ENTITIES["WindTurbine"]).select(*cols).collect()}
+    parts = {tuple(r) for r in entity_view(t, ENTITIES["WindTurbine"], clock=clock, recent="1 hour").select(*cols).collect()}
+    assert whole == parts and ("WT-NAX-02", 3.0) in parts and len(parts) == 20
+
+
+def test_older_events_stay_unread_when_all_reported(spark, clock):
+    t = tables(spark, vessel_positions=[{"vessel_id": v, "ago": 3, "cargo_status": "Loaded"} for v in ("VE-LNG-01", "VE-LNG-02", "VE-SVC-01")])
+    plan = entity_view(t, ENTITIES["Vessel"], clock=clock, recent="1 hour")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "Union" not in plan
+
+
 def test_ledger_rollup_matches_the_seed(static):
     rows = {(r.plant_id, r.period): r for r in emissions.ledger_rollup(static["emissions_ledger"]).collect()}
     seed = {(r.plant_id, r.period): r for r in static["emissions_ledger"].collect()}
