@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,14 +14,28 @@ SALTS = 8
 RINGS_NM = (60.0, 600.0, 10_900.0)
 
 
-def _cells_around(lat: str, lon: str, radius_nm: float, cell: float) -> Column:
-    """All grid cells that the box around a circle touches; longitudes are continued past 180."""
-    dlat = lat_reach_deg(radius_nm)
-    dlon = lon_reach_deg(lat, radius_nm)
-    turn = int(math.ceil(360.0 / cell))
-    ys = F.sequence(F.floor((F.greatest(F.col(lat) - dlat, F.lit(-90.0))) / cell), F.floor(F.least(F.col(lat) + dlat, F.lit(90.0)) / cell))
+# Keeps a point exactly on the rim inside the box when degrees are rounded.
+_SLACK_DEG = 1e-7
+
+
+def _grid(radius_nm: float) -> tuple[int, float]:
+    """(cells around the globe, cell width in degrees): a whole number of cells, each no narrower than the radius."""
+    turn = max(1, int(360.0 // max(lat_reach_deg(radius_nm), 0.01)))
+    return turn, 360.0 / turn
+
+
+def _cell(lat: str, lon: str, turn: int, cell: float) -> Column:
+    x = F.pmod(F.floor((F.col(lon) + 180.0) / cell), F.lit(turn))
+    return F.struct(F.floor(F.col(lat) / cell).alias("y"), x.alias("x"))
+
+
+def _cells_around(lat: str, lon: str, radius_nm: float, turn: int, cell: float) -> Column:
+    """All grid cells that the box around a circle touches; longitudes wrap around."""
+    dlat = lat_reach_deg(radius_nm) + _SLACK_DEG
+    dlon = lon_reach_deg(lat, radius_nm) + _SLACK_DEG
+    ys = F.sequence(F.floor((F.col(lat) - dlat) / cell), F.floor((F.col(lat) + dlat) / cell))
     west = F.floor((F.col(lon) + 180.0 - dlon) / cell)
-    east = F.floor((F.col(lon) + 180.0 + dlon) / cell) + F.lit(1)
+    east = F.floor((F.col(lon) + 180.0 + dlon) / cell)
     xs = F.array_distinct(F.transform(F.sequence(west, F.least(east, west + F.lit(turn))), lambda x: F.pmod(x, F.lit(turn))))
     return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("y"), x.alias("x")))))
 
@@ -42,17 +55,12 @@ def within_radius(
     Each right row is listed under the grid cells its circle can reach, each left row under its own
     cell, so the join is on equality. Left rows of one crowded cell are spread over ``salts`` tasks.
     """
-    cell = min(max(lat_reach_deg(radius_nm), 0.01), 360.0)
-    turn = int(math.ceil(360.0 / cell))
+    turn, cell = _grid(radius_nm)
     (la, lo), (ra, ro) = left_at, right_at
-    key = F.struct(
-        F.floor(F.col(la) / cell).alias("y"),
-        F.pmod(F.floor((F.col(lo) + 180.0) / cell), F.lit(turn)).alias("x"),
-    )
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
-    l = left.where(F.col(la).isNotNull() & F.col(lo).isNotNull()).withColumn("_cell", key).withColumn("_salt", salt)
+    l = left.where(F.col(la).isNotNull() & F.col(lo).isNotNull()).withColumn("_cell", _cell(la, lo, turn, cell)).withColumn("_salt", salt)
     r = right.where(F.col(ra).isNotNull() & F.col(ro).isNotNull())
-    r = r.withColumn("_cell", F.explode(_cells_around(ra, ro, radius_nm, cell)))
+    r = r.withColumn("_cell", F.explode(_cells_around(ra, ro, radius_nm, turn, cell)))
     r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     pairs = l.join(r, ["_cell", "_salt"]).withColumn(name, distance_nm(la, lo, ra, ro))
     return pairs.where(F.col(name) <= radius_nm).drop("_cell", "_salt")

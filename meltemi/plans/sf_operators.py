@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meltemi.functions.clock import Clock, bucket, within
+from meltemi.functions.clock import Clock, within
 from meltemi.functions.numbers import above, kw_to_mw, rounded, share, total
 from meltemi.functions.terms import apply_term, under_way
 from meltemi.functions.text import FORCED_FAILURE, by_prefix, differs, fault_category, fault_label, fault_severity, is_empty
@@ -17,9 +17,9 @@ from meltemi.operators.latest import distinct_keys, latest, newest
 from meltemi.operators.series import bucketed, decompose, detect_period, make_series
 from meltemi.plans import tiles
 from meltemi.plans.ontology import ENTITIES, ONTOLOGY
-from meltemi.plans.sf import REGIONS, SfTables
+from meltemi.plans.sf import SfTables
 from meltemi.plans.sf_queries import add, decompose_sql, series_sql
-from meltemi.plans.sf_views import bin_of, distance, r, since
+from meltemi.plans.sf_views import distance, r, since
 from meltemi.session import settled, shared_dir
 from meltemi.sources import geojson, reference, store, wire
 from meltemi.sources.schemas import FEEDS, REFERENCE

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meltemi.functions.clock import Clock, bucket, within
+from meltemi.functions.clock import Clock, within
 from meltemi.functions.numbers import above, kw_to_mw, rank_of, rounded, share, total
 from meltemi.functions.text import FORCED_FAILURE, by_prefix, differs, is_empty
 from meltemi.operators.entities import Tables
@@ -124,11 +124,14 @@ def e10_wind_by_region(t: Tables, clock: Clock, regions: Mapping[str, str] = WIN
 
 
 def asset_lines(t: Tables, clock: Clock, feed: str, key: str, span: str, channels: Mapping[str, str], assets: Sequence | None = None) -> DataFrame:
-    """Raw channels over a lookback, in time order: of the named assets, or of all of them with their key."""
+    """Raw channels over a lookback: of the named assets in time order, or of the whole fleet.
+
+    A chart draws one asset's line, so the fleet's rows are not sorted as a whole.
+    """
     rows = within(t[feed], clock, span)
-    if assets is not None:
-        rows = rows.where(F.col(key).isin(*assets))
-    return rows.select(key, "timestamp", *[F.col(c).alias(n) for c, n in channels.items()]).orderBy("timestamp", key)
+    out = rows if assets is None else rows.where(F.col(key).isin(*assets))
+    out = out.select(key, "timestamp", *[F.col(c).alias(n) for c, n in channels.items()])
+    return out if assets is None else out.orderBy("timestamp", key)
 
 
 def e11_bearing_line(t: Tables, clock: Clock, assets: Sequence | None = None) -> DataFrame:

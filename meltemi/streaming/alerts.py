@@ -42,6 +42,9 @@ class ChangeAlerts:
     def _at(self, part: str, batch_id: int) -> str:
         return f"{self.store}/{part}/batch={batch_id}"
 
+    def _watermark(self, spark: SparkSession, batch_id: int) -> int:
+        return spark.read.parquet(self._at("watermark", batch_id)).first()["us"]
+
     def process(self, batch: DataFrame, batch_id: int, *, finish: bool = False) -> None:
         """One micro-batch. Every path carries the batch id, so a replay rewrites the same files."""
         spark = batch.sparkSession
@@ -49,26 +52,24 @@ class ChangeAlerts:
         batch = batch.where(F.col(self.ts).isNotNull())
         columns = batch.columns
         if batch_id > 0:
-            before = spark.read.parquet(self._at("watermark", batch_id - 1))
-            passed: Column = before.select("us").scalar()
+            passed = self._watermark(spark, batch_id - 1)
             waiting = spark.read.schema(batch.schema).parquet(self._at("waiting", batch_id - 1))
             last = spark.read.schema(batch.schema).parquet(self._at("last", batch_id - 1))
         else:
-            passed = F.lit(-_END_US)
+            passed = -_END_US
             waiting = last = batch.where(F.lit(False))
         # Too late is a row at or before one already released for its own object.
         order = [self.ts, *self.tiebreak]
         seen = last.select(*keys, F.struct(*order).alias("_seen"))
         placed = batch.join(seen, keys, "left").withColumn("_late", F.coalesce(F.struct(*order) <= F.col("_seen"), F.lit(False)))
-        late = placed.where("_late")
-        late.groupBy(*keys).agg(F.count("*").alias("dropped")).write.mode("overwrite").parquet(self._at("late", batch_id))
-
-        pool = waiting.unionByName(placed.where("not _late").select(*columns)).persist()
+        placed = placed.select(*columns, "_late").persist()
+        pool = waiting.unionByName(placed.where("not _late").select(*columns))
         try:
-            newest = F.greatest(passed, F.coalesce(F.max(t) - F.lit(width_us(self.delay)), passed))
-            mark = pool.agg((F.lit(_END_US) if finish else newest).alias("us"))
+            fresh = F.max(F.when(F.col("_late"), None).otherwise(t))
+            newest = F.lit(_END_US) if finish else F.greatest(F.lit(passed), F.coalesce(fresh - F.lit(width_us(self.delay)), F.lit(passed)))
+            mark = placed.agg(newest.alias("us"), F.count_if("_late").alias("dropped"))
             mark.write.mode("overwrite").parquet(self._at("watermark", batch_id))
-            now: Column = spark.read.parquet(self._at("watermark", batch_id)).select("us").scalar()
+            now = self._watermark(spark, batch_id)
 
             ready = pool.where(t <= now)
             pool.where(t > now).write.mode("overwrite").parquet(self._at("waiting", batch_id))
@@ -81,15 +82,15 @@ class ChangeAlerts:
             if self.on_alerts is not None:
                 self.on_alerts(spark.read.schema(batch.schema).parquet(self._at("alerts", batch_id)), batch_id)
         finally:
-            pool.unpersist()
+            placed.unpersist()
         self._forget(spark, batch_id - 2)
 
     def _forget(self, spark: SparkSession, batch_id: int) -> None:
         """Remove superseded state; the batch before the current one is kept for a replay."""
-        if batch_id < 0:
+        jvm = getattr(spark, "_jvm", None)
+        if batch_id < 0 or jvm is None:
             return
-        jvm = spark._jvm
-        for part in ("waiting", "last", "watermark"):
+        for part in ("waiting", "last"):
             path = jvm.org.apache.hadoop.fs.Path(self._at(part, batch_id))
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
@@ -105,6 +106,10 @@ class ChangeAlerts:
         empty = spark.read.schema(schema).parquet(self._at("last", done)).where(F.lit(False))
         self.process(empty, done + 1, finish=True)
 
+    def dropped(self, spark: SparkSession) -> DataFrame:
+        """Number of rows that came too late, per micro-batch."""
+        return spark.read.parquet(f"{self.store}/watermark").select("batch", "dropped")
+
     def alerts(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.store}/alerts")
 

@@ -27,11 +27,11 @@ def cloud(seed, n):
     rng = random.Random(seed)
     near = [(rng.uniform(36, 39), rng.uniform(23, 27)) for _ in range(n)]
     wide = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(n)]
-    edge = [(rng.uniform(-5, 5), rng.choice([-179.9, 179.9, 179.99, -180.0])) for _ in range(n)] + [(89.9, rng.uniform(-180, 180)) for _ in range(n // 2)]
+    edge = [(rng.uniform(-5, 5), rng.choice([-180.0, 180.0, rng.uniform(-180, -170), rng.uniform(170, 180)])) for _ in range(n)] + [(89.9, rng.uniform(-180, 180)) for _ in range(n // 2)]
     return near + wide + edge
 
 
-@pytest.mark.parametrize("radius", [5.0, 60.0, 900.0])
+@pytest.mark.parametrize("radius", [5.0, 60.0, 103.7, 411.0, 900.0, 6000.0])
 def test_within_radius_equals_brute_force(spark, radius):
     a, b = cloud(1, 12), cloud(2, 12)
     got = within_radius(points(spark, a, "a"), points(spark, b, "b"), radius, left_at=("alat", "alon"), right_at=("blat", "blon"))
