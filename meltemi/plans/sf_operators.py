@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meltemi.functions.clock import Clock, within
 from meltemi.functions.numbers import above, kw_to_mw, rounded, share, total
-from meltemi.functions.terms import apply_term, under_way
+from meltemi.functions.terms import apply_term, under_way, unknown_values
 from meltemi.functions.text import FORCED_FAILURE, by_prefix, differs, fault_category, fault_label, fault_severity, is_empty
 from meltemi.operators import alerts, assets, detect, dispatch, emissions, graph, proximity, tracks
 from meltemi.operators.entities import entity_view, follow, live_values
@@ -232,6 +232,16 @@ add(
        union all select 'open work order', count(*) from maintenance_orders where status in ('Open', 'Scheduled', 'In Progress')
        union all select 'under way', count(*) from pos where speed_knots > 0 and eta_hours > 0""",
 )
+add(
+    "B10_unknown_enum_values",
+    lambda t, c: unknown_values(t["maintenance_orders"], "MaintenanceOrder"),
+    "maintenance_orders",
+    """with v as (select 'order_type' as property, order_type as value from maintenance_orders union all select 'priority', priority from maintenance_orders
+       union all select 'status', status from maintenance_orders union all select 'asset_type', asset_type from maintenance_orders)
+--
+select property, value, count(*) as n from v where value not in ('Corrective', 'Inspection', 'Preventive', 'Critical', 'High', 'Medium', 'Low',
+       'Open', 'Scheduled', 'In Progress', 'Completed', 'SolarInverter', 'WindTurbine') group by 1, 2""",
+)
 add(
     "B11_list_and_period_filters",
     lambda t, c: t["emissions_ledger"].where(F.col("period").isin("1998-03", "1998-04") | F.col("period").startswith("2000-")).groupBy("period").agg(F.count("*").alias("n")),

@@ -143,6 +143,16 @@ def test_known_answers(static):
     assert len(stations) == 8 and stations["SUB-SYR-01"] is None
 
 
+def test_seed_values_are_enumerated(static):
+    from meltemi.functions.terms import ENUMS, unknown_values
+
+    for entity in ENUMS:
+        if entity != "Vessel":
+            assert unknown_values(static[ENTITIES[entity].table], entity).count() == 0, entity
+    odd = static["maintenance_orders"].withColumn("priority", F.when(F.col("priority") == "Critical", "critical").otherwise(F.col("priority")))
+    assert [tuple(r) for r in unknown_values(odd, "MaintenanceOrder").collect()] == [("priority", "critical", 1)]
+
+
 def test_edges_and_quality(static):
     counts = {r.rel: r["count"] for r in graph.edges(static, ONTOLOGY).groupBy("rel").count().collect()}
     assert counts == {
