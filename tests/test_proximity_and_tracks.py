@@ -2,6 +2,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from meltemi.functions.geo import EARTH_RADIUS_NM
@@ -13,10 +14,15 @@ from meltemi.operators.tracks import arrivals, legs_sailed, time_to_go, track_me
 T0 = datetime(2026, 1, 1)
 
 
+def unit(p):
+    la, lo = math.radians(p[0]), math.radians(p[1])
+    return np.array([math.cos(la) * math.cos(lo), math.cos(la) * math.sin(lo), math.sin(la)])
+
+
 def nm(a, b):
-    p, q = math.radians(a[0]), math.radians(b[0])
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
-    return 2 * EARTH_RADIUS_NM * math.asin(min(1.0, math.sqrt(h)))
+    """Arc between two points from their unit vectors."""
+    u, v = unit(a), unit(b)
+    return EARTH_RADIUS_NM * math.atan2(np.linalg.norm(np.cross(u, v)), float(u @ v))
 
 
 def points(spark, spots, prefix):
