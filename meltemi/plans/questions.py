@@ -1,6 +1,7 @@
 """The 27 entity questions as fixed queries over the ontology.
 
-"Current" means the newest live value without a lookback.
+"Current" means the newest live value without a lookback. Given a clock, those questions look
+at the last day first and read older events only for assets that were silent since.
 """
 
 from __future__ import annotations
@@ -8,17 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meltemi.functions.clock import Clock
 from meltemi.functions.terms import apply_term
 from meltemi.operators.entities import Tables, entity_view, follow
 from meltemi.plans.ontology import ENTITIES, ONTOLOGY
 
+RECENT = "1 day"
+
 
 def _hop(df: DataFrame, t: Tables, rel: str, how: str = "inner", **kwargs) -> DataFrame:
     return follow(df, t, ONTOLOGY, rel, how=how, **kwargs)
 
 
-def _live(t: Tables, entity: str, *props: str) -> DataFrame:
-    return entity_view(t, ENTITIES[entity], props=props)
+def _live(t: Tables, entity: str, clock: Clock | None, *props: str) -> DataFrame:
+    """The entity with its newest values; with a clock the last day is read first and older events only where needed."""
+    return entity_view(t, ENTITIES[entity], clock=clock, recent=RECENT if clock else None, props=props)
 
 
 def g01_plants(t: Tables) -> DataFrame:
@@ -85,37 +90,37 @@ def g12_inverter_grids(t: Tables) -> DataFrame:
     return rows.select("inverter_id", "inverter_name", "plant_name", "grid_name")
 
 
-def g13_vessel_positions(t: Tables) -> DataFrame:
-    rows = _live(t, "Vessel", "latitude", "longitude", "speed_knots", "destination")
+def g13_vessel_positions(t: Tables, clock: Clock | None = None) -> DataFrame:
+    rows = _live(t, "Vessel", clock, "latitude", "longitude", "speed_knots", "destination")
     rows = _hop(rows, t, "supplies_plant", "left", cols={"plant_name": "plant_name"})
     return rows.select("vessel_id", "vessel_name", "vessel_type", "plant_name", "live_latitude", "live_longitude", "live_speed_knots", "live_destination")
 
 
-def g14_turbine_power(t: Tables) -> DataFrame:
-    rows = _hop(_live(t, "WindTurbine", "power_mw"), t, "belongs_to_plant", "left", cols={"plant_name": "plant_name"})
+def g14_turbine_power(t: Tables, clock: Clock | None = None) -> DataFrame:
+    rows = _hop(_live(t, "WindTurbine", clock, "power_mw"), t, "belongs_to_plant", "left", cols={"plant_name": "plant_name"})
     return rows.select("turbine_id", "plant_name", "manufacturer", "capacity_mw", "live_power_mw")
 
 
-def g15_inverter_power(t: Tables) -> DataFrame:
-    rows = _hop(_live(t, "SolarInverter", "power_kw"), t, "installed_at_plant", "left", cols={"plant_name": "plant_name"})
+def g15_inverter_power(t: Tables, clock: Clock | None = None) -> DataFrame:
+    rows = _hop(_live(t, "SolarInverter", clock, "power_kw"), t, "installed_at_plant", "left", cols={"plant_name": "plant_name"})
     return rows.select("inverter_id", "plant_name", "manufacturer", "capacity_kw", "live_power_kw")
 
 
-def g16_vessel_courses(t: Tables) -> DataFrame:
-    rows = _hop(_live(t, "Vessel", "speed_knots", "heading_deg"), t, "supplies_plant", "left", cols={"plant_name": "plant_name"})
+def g16_vessel_courses(t: Tables, clock: Clock | None = None) -> DataFrame:
+    rows = _hop(_live(t, "Vessel", clock, "speed_knots", "heading_deg"), t, "supplies_plant", "left", cols={"plant_name": "plant_name"})
     return rows.select("vessel_id", "vessel_name", "plant_name", "live_speed_knots", "live_heading_deg")
 
 
-def g17_turbine_wind(t: Tables) -> DataFrame:
-    return _live(t, "WindTurbine", "wind_speed_ms", "power_mw").select("turbine_id", "turbine_name", "capacity_mw", "live_wind_speed_ms", "live_power_mw")
+def g17_turbine_wind(t: Tables, clock: Clock | None = None) -> DataFrame:
+    return _live(t, "WindTurbine", clock, "wind_speed_ms", "power_mw").select("turbine_id", "turbine_name", "capacity_mw", "live_wind_speed_ms", "live_power_mw")
 
 
-def g18_inverter_irradiance(t: Tables) -> DataFrame:
-    return _live(t, "SolarInverter", "irradiance_wm2", "power_kw").select("inverter_id", "inverter_name", "capacity_kw", "live_irradiance_wm2", "live_power_kw")
+def g18_inverter_irradiance(t: Tables, clock: Clock | None = None) -> DataFrame:
+    return _live(t, "SolarInverter", clock, "irradiance_wm2", "power_kw").select("inverter_id", "inverter_name", "capacity_kw", "live_irradiance_wm2", "live_power_kw")
 
 
-def g19_grid_state(t: Tables) -> DataFrame:
-    rows = _live(t, "Grid", "frequency_hz", "load_mw", "generation_mw")
+def g19_grid_state(t: Tables, clock: Clock | None = None) -> DataFrame:
+    rows = _live(t, "Grid", clock, "frequency_hz", "load_mw", "generation_mw")
     return rows.select("grid_id", "grid_name", "installed_capacity_mw", "live_frequency_hz", "live_load_mw", "live_generation_mw")
 
 
@@ -165,9 +170,9 @@ def g26_plant_supply(t: Tables, plant: str = "Lavrio Gas CCGT") -> DataFrame:
     return both.select("plant_name", "capacity_mw", "region", "role", "name")
 
 
-def g27_wind_farm_power(t: Tables) -> DataFrame:
+def g27_wind_farm_power(t: Tables, clock: Clock | None = None) -> DataFrame:
     farms = apply_term(t["power_plants"], "wind farm").select(F.col("plant_id"), "plant_name")
-    rows = _live(t, "WindTurbine", "power_mw").join(farms, "plant_id")
+    rows = _live(t, "WindTurbine", clock, "power_mw").join(farms, "plant_id")
     return rows.select("plant_name", "turbine_id", "manufacturer", "capacity_mw", "live_power_mw")
 
 

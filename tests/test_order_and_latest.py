@@ -43,6 +43,17 @@ def test_the_size_of_the_input_decides_the_way(spark):
     assert hot.where("prev_v is null").count() == 1 and hot.where("v - prev_v > 2").count() == 0
 
 
+def test_a_hot_key_is_spread_over_tasks(spark):
+    df = spark.range(40_000).select(F.lit("hot").alias("k"), F.timestamp_seconds("id").alias("timestamp"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = previous_row(df, "k", "timestamp", ["v"], rows_per_slice=500).withColumn("task", F.spark_partition_id())
+        shares = [r["count"] / 40_000 for r in out.groupBy("task").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(shares) == 4 and max(shares) < 0.5
+
+
 def test_previous_row_ignores_rows_without_time(spark):
     df = spark.createDataFrame([("a", None, 0, 1.0, ""), ("a", T0, 1, 1.0, "")], SCHEMA)
     assert previous_row(df, "k", "timestamp", ["v"]).count() == 1
