@@ -1,3 +1,4 @@
+import pathlib
 import re
 
 import duckdb
@@ -67,3 +68,9 @@ def test_views_and_tables_agree(spark, duck):
         want = duck.sql(sql(view, f"select * from {view}")).df()
         assert sorted(df.columns) == sorted(want.columns), view
         assert df.count() == len(want), view
+
+
+def test_nothing_is_pulled_through_the_driver():
+    sources = [p.read_text() for p in pathlib.Path(entry_points.__file__).parent.glob("meltemi/**/*.py")]
+    for word in (".collect(", ".toPandas(", "crossJoin(", "localCheckpoint(", ".rdd", "toLocalIterator("):
+        assert not any(word in text for text in sources), word

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from meltemi.sources import geojson, reference, store, wire
 from meltemi.sources.schemas import FEEDS, REFERENCE
+from meltemi.streaming import ingest
 
 WIND = {"timestamp": "2026-04-14T10:00:00.123456+00:00", "stream_type": "WindTurbineTelemetry", "turbine_id": "WT-1", "power_mw": 1.5, "fault_type": "NONE"}
 
@@ -112,3 +113,18 @@ def test_csv_columns_are_matched_by_name(spark, folder):
         f.write("grid_name,grid_id,population,interconnected,extra\nNaxos Grid,GR-NAX,20000,true,x\n")
     row = reference.read_reference_csv(spark, f"{folder}/g.csv", "island_grids").first()
     assert (row.grid_id, row.grid_name, row.population, row.interconnected, row.region) == ("GR-NAX", "Naxos Grid", 20000, True, None)
+
+
+def test_compaction_keeps_rows_and_other_days(spark, folder):
+    events = spark.range(600).selectExpr("timestamp_seconds(1776000000 + id * 300) as timestamp", "cast(id % 3 = 0 as string) as turbine_id", "id")
+    for n in range(3):
+        ingest.write_batch(events.where(F.col("id") % 3 == n), f"{folder}/in", n)
+    table = store.read_events(spark, f"{folder}/in")
+    days = sorted(str(r[0]) for r in table.select("event_date").distinct().collect())
+    assert len(days) >= 2
+    for day in days:
+        store.compact_day(spark, f"{folder}/in", day, f"{folder}/out", order=("turbine_id", "timestamp"), rows_per_file=100)
+    out = store.read_events(spark, f"{folder}/out")
+    assert sorted(out.select(*table.drop("ingest_batch").columns).collect()) == sorted(table.drop("ingest_batch").collect())
+    files = len([f for f in os.listdir(f"{folder}/out/event_date={days[1]}") if f.endswith(".parquet")])
+    assert files == 3
