@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.operators.latest import as_list
-from meltemi.operators.series import indexed
+from meltemi.operators.series import step_index
 
 
 @dataclass(frozen=True)
@@ -137,14 +137,14 @@ def spectral_residual(
     """
     keys = as_list(keys)
     overlap = cfg.overlap
-    placed = indexed(series.select(*keys, ts, F.col(value).cast("double").alias(value)), keys, step, ts=ts)
+    placed = series.select(*keys, ts, F.col(value).cast("double").alias(value), step_index(ts, step).alias("idx"))
     pos = F.col("idx") % core
     home = F.floor(F.col("idx") / core)
     stretches = F.array_compact(
         F.array(
             home,
             F.when(pos >= core - overlap, home + 1),
-            F.when((pos < overlap) & (home > 0), home - 1),
+            F.when(pos < overlap, home - 1),
         )
     )
     spread = placed.withColumn("_home", home).withColumn("_stretch", F.explode(stretches))

@@ -75,11 +75,9 @@ def make_series(
     return slots.select(*keys, F.col("_slot").alias(ts), F.when(filled, gap).otherwise(after).alias(name), filled.alias("filled"))
 
 
-def indexed(series: DataFrame, keys: Sequence[str], step: str, *, ts: str = "timestamp") -> DataFrame:
-    """The series with ``idx``, the number of steps since the key's first one."""
-    first = series.groupBy(*keys).agg(F.min(ts).alias("_first"))
-    joined = series.join(first, list(keys))
-    return joined.withColumn("idx", ((micros(ts) - micros("_first")) / F.lit(width_us(step))).cast("bigint")).drop("_first")
+def step_index(ts: str, step: str) -> Column:
+    """Number of the step a bucket starts, counted from the epoch: neighbours differ by one, and no series start is needed."""
+    return F.floor(micros(ts) / F.lit(width_us(step))).cast("bigint")
 
 
 def detect_period(series: DataFrame, keys: str | Sequence[str], step: str, lags: Sequence[int], *, ts: str = "timestamp", value: str = "value", minimum: float = 0.6) -> DataFrame:
@@ -89,7 +87,7 @@ def detect_period(series: DataFrame, keys: str | Sequence[str], step: str, lags:
     """
     keys = as_list(keys)
     mean = series.groupBy(*keys).agg(F.avg(value).alias("_m"))
-    dev = indexed(series, keys, step, ts=ts).join(mean, keys).select(*keys, "idx", (F.col(value) - F.col("_m")).alias("_d"))
+    dev = series.join(mean, keys).select(*keys, step_index(ts, step).alias("idx"), (F.col(value) - F.col("_m")).alias("_d"))
     power = dev.groupBy(*keys).agg(F.sum(F.col("_d") * F.col("_d")).alias("_p"))
     shifted = dev.select(*keys, F.explode(F.array(*[F.lit(int(x)) for x in lags])).alias("lag"), "idx", F.col("_d").alias("_e"))
     shifted = shifted.withColumn("idx", F.col("idx") + F.col("lag"))
@@ -120,24 +118,30 @@ def decompose(
     ``accuracy`` switches the two percentiles to a bounded sketch for series too long for the exact form.
     """
     keys = as_list(keys)
-    mean = series.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.min(ts).alias("_first"))
-    base = series.join(mean, keys)
+
+    def tails(col: str) -> Column:
+        return F.percentile(col, F.array(F.lit(0.1), F.lit(0.9))) if accuracy is None else F.percentile_approx(col, [0.1, 0.9], accuracy)
+
     if period is None:
-        base = base.withColumn("baseline", F.col("_mean"))
+        # A flat baseline only shifts the percentiles, so one aggregate gives everything.
+        stats = series.groupBy(*keys).agg(F.avg(value).alias("baseline"), tails(value).alias("_q"))
+        base = series.join(stats, keys).withColumn("_r", F.col(value) - F.col("baseline"))
+        base = base.withColumns({"_lo": F.col("_q")[0] - F.col("baseline"), "_hi": F.col("_q")[1] - F.col("baseline")})
     else:
+        base = series.join(series.groupBy(*keys).agg(F.avg(value).alias("_mean")), keys)
         if isinstance(period, DataFrame):
             base = base.join(period.select(*keys, F.col("period").alias("_period")), keys, "left")
         else:
             base = base.withColumn("_period", F.lit(int(period)))
-        idx = ((micros(ts) - micros("_first")) / F.lit(width_us(step))).cast("bigint")
-        base = base.withColumn("_phase", F.when(F.col("_period").isNotNull(), F.pmod(idx, F.col("_period"))).otherwise(F.lit(-1)))
+        phase = F.pmod(step_index(ts, step), F.col("_period"))
+        base = base.withColumn("_phase", F.when(F.col("_period").isNotNull(), phase).otherwise(F.lit(-1)))
         season = base.groupBy(*keys, "_phase").agg(F.avg(value).alias("_season"))
         base = base.join(season, [*keys, "_phase"]).withColumn("baseline", F.when(F.col("_phase") >= 0, F.col("_season")).otherwise(F.col("_mean")))
-    base = base.withColumn("_r", F.col(value) - F.col("baseline"))
-    tails = F.percentile("_r", F.array(F.lit(0.1), F.lit(0.9))) if accuracy is None else F.percentile_approx("_r", [0.1, 0.9], accuracy)
-    limits = base.groupBy(*keys).agg(tails.alias("_q")).select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+        base = base.withColumn("_r", F.col(value) - F.col("baseline"))
+        limits = base.groupBy(*keys).agg(tails("_r").alias("_q")).select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+        base = base.join(limits, keys)
     r, lo, hi = F.col("_r"), F.col("_lo"), F.col("_hi")
     score = F.when(hi == lo, F.lit(0.0)).when(r > hi, (r - hi) / (hi - lo)).when(r < lo, (r - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    scored = base.join(limits, keys).withColumn("score", score)
+    scored = base.withColumn("score", score)
     flag = F.when(F.abs("score") > threshold, F.signum("score").cast("int")).otherwise(F.lit(0))
     return scored.select(*series.columns, "baseline", "score", flag.alias("anomaly"))
