@@ -122,13 +122,10 @@ def decompose(
     def tails(col: str) -> Column:
         return F.percentile(col, F.array(F.lit(0.1), F.lit(0.9))) if accuracy is None else F.percentile_approx(col, [0.1, 0.9], accuracy)
 
+    base = series.join(series.groupBy(*keys).agg(F.avg(value).alias("_mean")), keys)
     if period is None:
-        # A flat baseline only shifts the percentiles, so one aggregate gives everything.
-        stats = series.groupBy(*keys).agg(F.avg(value).alias("baseline"), tails(value).alias("_q"))
-        base = series.join(stats, keys).withColumn("_r", F.col(value) - F.col("baseline"))
-        base = base.withColumns({"_lo": F.col("_q")[0] - F.col("baseline"), "_hi": F.col("_q")[1] - F.col("baseline")})
+        base = base.withColumn("baseline", F.col("_mean"))
     else:
-        base = series.join(series.groupBy(*keys).agg(F.avg(value).alias("_mean")), keys)
         if isinstance(period, DataFrame):
             base = base.join(period.select(*keys, F.col("period").alias("_period")), keys, "left")
         else:
@@ -137,9 +134,10 @@ def decompose(
         base = base.withColumn("_phase", F.when(F.col("_period").isNotNull(), phase).otherwise(F.lit(-1)))
         season = base.groupBy(*keys, "_phase").agg(F.avg(value).alias("_season"))
         base = base.join(season, [*keys, "_phase"]).withColumn("baseline", F.when(F.col("_phase") >= 0, F.col("_season")).otherwise(F.col("_mean")))
-        base = base.withColumn("_r", F.col(value) - F.col("baseline"))
-        limits = base.groupBy(*keys).agg(tails("_r").alias("_q")).select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-        base = base.join(limits, keys)
+    base = base.withColumn("_r", F.col(value) - F.col("baseline"))
+    # Of the residuals themselves: shifting percentiles of the values would differ in the last bits, and so flag ties otherwise.
+    limits = base.groupBy(*keys).agg(tails("_r").alias("_q")).select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    base = base.join(limits, keys)
     r, lo, hi = F.col("_r"), F.col("_lo"), F.col("_hi")
     score = F.when(hi == lo, F.lit(0.0)).when(r > hi, (r - hi) / (hi - lo)).when(r < lo, (r - lo) / (hi - lo)).otherwise(F.lit(0.0))
     scored = base.withColumn("score", score)
