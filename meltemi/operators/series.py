@@ -141,5 +141,6 @@ def decompose(
     r, lo, hi = F.col("_r"), F.col("_lo"), F.col("_hi")
     score = F.when(hi == lo, F.lit(0.0)).when(r > hi, (r - hi) / (hi - lo)).when(r < lo, (r - lo) / (hi - lo)).otherwise(F.lit(0.0))
     scored = base.withColumn("score", score)
-    flag = F.when(F.abs("score") > threshold, F.signum("score").cast("int")).otherwise(F.lit(0))
+    # A score equal to the threshold but for rounding in the mean does not exceed it.
+    flag = F.when(F.round(F.abs("score"), 9) > threshold, F.signum("score").cast("int")).otherwise(F.lit(0))
     return scored.select(*series.columns, "baseline", "score", flag.alias("anomaly"))

@@ -175,7 +175,7 @@ def decompose_sql(key: str, threshold: float, phase: str = "-1", season: str = "
     t as (select {key}, quantile_cont(value - baseline, 0.1) as lo, quantile_cont(value - baseline, 0.9) as hi from b group by 1),
     z as (select b.*, case when hi = lo then 0.0 when value - baseline > hi then (value - baseline - hi) / (hi - lo)
               when value - baseline < lo then (value - baseline - lo) / (hi - lo) else 0.0 end as score from b join t using ({key})),
-    d as (select {key}, timestamp, value, filled, baseline, score, case when abs(score) > {threshold} then cast(sign(score) as int) else 0 end as anomaly from z)"""
+    d as (select {key}, timestamp, value, filled, baseline, score, case when round(abs(score), 9) > {threshold} then cast(sign(score) as int) else 0 end as anomaly from z)"""
 
 
 add(
