@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import bpe_automaton, token_count
+from meltemi.llm import bpe_automaton, chosen_path, language_id, suffix_match, token_count, toxicity
+from meltemi.llm.frames import crc_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,12 +32,37 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = crc_bucket("doc_id", 5) != 0
+    model = toxicity.fit(docs.where(learned), labels.where(learned))
+    return toxicity.score(docs, model, extra={"held_out": crc_bucket("doc_id", 5) == 0})
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_match.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(crc_bucket("doc_id", 3) != 1))
+    return language_id.predict(docs, model, extra={"held_out": crc_bucket("doc_id", 3) == 1})
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
+    "op5_language_id": op5_language_id,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ import heapq
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from meltemi.llm.frames import map_columns
@@ -111,6 +112,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text:
 
     def work(keys: pa.Array, texts: pa.Array) -> list:
         one = counter(shared.value)
-        return [keys, pa.compute.fill_null(pa.compute.binary_length(texts), 0), [one.text(t) for t in texts.to_pylist()]]
+        return [keys, pc.fill_null(pc.binary_length(texts), 0), [one.text(t) for t in texts.to_pylist()]]
 
     return map_columns(docs.select(key, text), f"`{key}` {kind}, n_bytes long, n_tokens long", work, text=text)

@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
@@ -51,7 +52,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts joined, offsets of each); a null has none."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
