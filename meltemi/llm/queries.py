@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import bpe_automaton, chosen_path, language_id, suffix_match, token_count, toxicity
+from meltemi.llm import bpe_automaton, chosen_path, itq, language_id, line_chunks, suffix_match, token_count, toxicity
 from meltemi.llm.frames import crc_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,10 +49,20 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, extra={"held_out": crc_bucket("doc_id", 3) == 1})
 
 
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_chunks.dedup_lines(docs)
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -62,7 +72,12 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op5_language_id": op5_language_id,
+    "op6_line_chunks": op6_line_chunks,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_near_vectors": op9_near_vectors,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_line_chunks": line_chunks.ORACLE,
+    "op9_near_vectors": itq.oracle(),
+}

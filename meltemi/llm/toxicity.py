@@ -21,13 +21,15 @@ BLANK = np.uint32(32)
 class Settings:
     """The bounded sample that the model is fitted on, and how. At most ``positives + negatives`` texts of at most ``most_bytes`` each reach the driver."""
 
-    positives: int = 2500
-    negatives: int = 4000
-    most_bytes: int = 16_384
+    positives: int = 2000
+    negatives: int = 3000
+    most_bytes: int = 8_192
     width: int = 8
-    epochs: int = 12
+    epochs: int = 16
+    least_steps: int = 400
     batch: int = 128
-    rate: float = 0.02
+    rate: float = 0.05
+    seen_in: int = 2
     decay: float = 1e-5
     seed: int = 7
 
@@ -117,13 +119,15 @@ class Model:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings, prior: float) -> Model:
     """Embeddings and softmax by Adam on mini-batches. ``prior`` is the log odds of label 1 over all labelled rows, for the bias.
 
-    Buckets never seen keep the zero vector and so add nothing.
+    Buckets seen in fewer than ``seen_in`` sampled texts keep the zero vector and so add nothing.
     """
     y = labels.astype(int)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), prior)
     rng = np.random.default_rng(s.seed)
-    used = np.unique(np.concatenate([b for b, _ in bags]))
+    seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=1 << BITS)
+    used = np.flatnonzero(seen >= s.seen_in)
+    bags = [(b[k], w[k]) for b, w in bags for k in [seen[b] >= s.seen_in]]
     slot = np.zeros(1 << BITS, np.int64)
     slot[used] = np.arange(len(used))
     gain = 30.0  # averages of many words are small numbers
@@ -132,9 +136,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
     bias = np.zeros(2, np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
     step = 0
-    for epoch in range(s.epochs):
+    epochs = max(s.epochs, s.least_steps * s.batch // len(y))
+    for epoch in range(epochs):
         order = rng.permutation(len(y))
-        rate = s.rate * (1 - epoch / s.epochs)
+        rate = s.rate * (1 - epoch / epochs)
         for a in range(0, len(y), s.batch):
             rows = order[a : a + s.batch]
             ids = slot[np.concatenate([bags[i][0] for i in rows])]
