@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import bpe_automaton, chosen_path, itq, language_id, line_chunks, suffix_match, token_count, toxicity
+from meltemi.llm import attention_lm, bpe_automaton, bwt_merge, chosen_path, itq, language_id, line_chunks, suffix_match, token_count, toxicity
 from meltemi.llm.frames import crc_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_match.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train = docs.where(crc_bucket("doc_id", 7) != 2)
+    return attention_lm.score(docs, train, vocabulary(), extra={"held_out": crc_bucket("doc_id", 7) == 2})
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(crc_bucket("doc_id", 3) != 1))
@@ -55,6 +61,10 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_merge.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,8 +81,10 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_attention_lm": op4_attention_lm,
     "op5_language_id": op5_language_id,
     "op6_line_chunks": op6_line_chunks,
+    "op7_repeated_bytes": op7_repeated_bytes,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_near_vectors": op9_near_vectors,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
