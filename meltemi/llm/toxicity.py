@@ -200,3 +200,10 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
         return [keys, *rest, p, (p >= 0.5).astype(np.int32)]
 
     return map_columns(kept, ", ".join([*fields, "score double", "predicted int"]), work, text=text, max_bytes=1 << 20)
+
+
+def accepted(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all their columns, that the model does not call toxic. Rows pass through the scoring map whole; nothing is joined."""
+    carried = {f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
+    rows = score(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *[c.alias(n) for n, c in carried.items()]), model, key="_key", text="_text", extra={n: F.col(n) for n in carried})
+    return rows.where("predicted = 0").select(*[F.col(n).alias(c) for n, c in zip(carried, docs.columns)])
