@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.llm.components import components
@@ -19,15 +19,15 @@ class Paths:
     """Shape of the search.
 
     ``trees`` independent trees; at its root a set chooses one or two of its ``tokens`` minwise tokens (1 / similarity of them on average), below
-    ``deeper``. A node of at most ``small`` sets is compared exhaustively. ``slack``: a pair is set aside where its minwise tokens agree so rarely that a similarity at the threshold is out of question
+    ``deeper``. A node of at most ``small`` sets is compared exhaustively, and so are the sets outside a larger node's main component, if they are as few. ``slack``: a pair is set aside where its minwise tokens agree so rarely that a similarity at the threshold is out of question
     (five standard deviations). With 12 trees a pair at the threshold meets at no root once in 2 * 10^9 times.
     """
 
     trees: int = 12
     tokens: int = 64
-    small: int = 24
+    small: int = 48
     deeper: int = 2
-    levels: int = 10
+    levels: int = 6
     slack: float = 0.27
     seed: int = 11
 
@@ -99,44 +99,65 @@ def signatures(docs: DataFrame, p: Paths, *, key: str, text: str, size: int) ->
     return map_columns(docs.select(key, text), f"`{key}` {kind}, n_shingles long, set_id long, sketch binary, roots array<long>", work, text=text, max_bytes=2 << 20)
 
 
-def _similar_sizes(a: Column, b: Column, threshold: int) -> Column:
-    """Only sets of such sizes can reach the threshold."""
-    return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
+_MINE = ("set_id", "sketch", "n_shingles", "component")
 
 
-def _agreeing(pairs: DataFrame, p: Paths, threshold: int) -> DataFrame:
-    """Pairs (a, b) from rows (a, x, b, y) whose sketches agree in enough places."""
-    least = int(p.tokens * (threshold / 100 - p.slack))
-
-    def work(a: pa.Array, x: pa.Array, b: pa.Array, y: pa.Array) -> list:
-        left, right = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), -1) for s in (x, y))
-        near = pa.array((left == right).sum(axis=1) >= least)
-        return [a.filter(near), b.filter(near)]
-
-    return map_columns(pairs.select("a", "x", "b", "y"), "a long, b long", work)
-
+def _members(rows: DataFrame) -> DataFrame:
+    """Rows of nodes with at least two components, with the node's size, its pivot (a member of its largest component) and how many stand outside that component."""
+    parts = rows.groupBy("node", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("set_id", "node").alias("h"), "set_id", "sketch", "n_shingles")).alias("m"))
+    nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component", "m")).alias("p"), F.count("*").alias("parts")).where("parts > 1")
+    pivot = F.struct("p.m.set_id", "p.m.sketch", "p.m.n_shingles", "p.component").alias("pivot")
+    return rows.join(nodes.select("node", "size", (F.col("size") - F.col("p.n")).alias("outside"), pivot), "node")
 
-def _members(rows: DataFrame, p: Paths) -> DataFrame:
-    """Rows of nodes with at least two components, with the node's size and its pivot: its first member by a hash."""
-    pivot = F.min(F.struct(F.xxhash64("set_id", "node").alias("h"), "set_id", "sketch", "n_shingles", "component"))
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), pivot.alias("pivot"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    return rows.join(nodes.where("_lo < _hi").drop("_lo", "_hi"), "node")
 
+def _compared(sides: DataFrame, p: Paths, threshold: int) -> DataFrame:
+    """Pairs (a, b) from rows (left, right) of two short lists: every pair across components whose sketches and sizes allow the threshold."""
+    least = int(p.tokens * (threshold / 100 - p.slack))
 
-def _pairs(members: DataFrame, p: Paths, threshold: int) -> DataFrame:
-    """Candidate pairs of sets in different components: all of a small node, those with the pivot in a large one."""
-    mine = F.struct("set_id", "sketch", "n_shingles", "component")
-    # A small node's members are few, so they meet in one row.
-    whole = members.where(F.col("size") <= p.small).groupBy("node").agg(F.collect_list(mine).alias("all"))
-    one = whole.select("all", F.explode("all").alias("l"))
-    both = one.select("l", F.explode(F.filter("all", lambda r: (r["set_id"] > F.col("l.set_id")) & (r["component"] != F.col("l.component")))).alias("r"))
-    wide = members.where(F.col("size") > p.small).select(mine.alias("l"), F.col("pivot").alias("r")).where("l.component != r.component")
-    every = both.select("l", F.col("r.set_id").alias("b"), F.col("r.sketch").alias("y"), F.col("r.n_shingles").alias("nr")).unionByName(
-        wide.select("l", F.col("r.set_id").alias("b"), F.col("r.sketch").alias("y"), F.col("r.n_shingles").alias("nr"))
-    )
-    close = every.where(_similar_sizes(F.col("l.n_shingles"), F.col("nr"), threshold)).select(F.col("l.set_id").alias("a"), F.col("l.sketch").alias("x"), "b", "y")
-    near = _agreeing(close, p, threshold)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def columns(lists: pa.Array) -> tuple:
+        flat = lists.flatten()
+        sketch = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint8).reshape(len(flat), -1)
+        cut = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        return flat.field(0).to_numpy(), sketch, flat.field(2).to_numpy(), flat.field(3).to_numpy(), cut
+
+    def work(left: pa.Array, right: pa.Array) -> list:
+        (i, x, m, c, at), (j, y, n, d, bt) = columns(left), columns(right)
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        single = len(i) == len(j) == len(left) and (np.diff(at) == 1).all() and (np.diff(bt) == 1).all()
+        if single:
+            near = (c != d) & (100 * np.minimum(m, n) >= threshold * np.maximum(m, n)) & ((x == y).sum(axis=1) >= least)
+            one, two = [i[near]], [j[near]]
+        for k in range(0 if single else len(left)):
+            u, v = slice(at[k], at[k + 1]), slice(bt[k], bt[k + 1])
+            small, large = np.minimum(m[u, None], n[None, v]), np.maximum(m[u, None], n[None, v])
+            near = (c[u, None] != d[None, v]) & (100 * small >= threshold * large)
+            a, b = np.nonzero(near)
+            agree = (x[u][a] == y[v][b]).sum(axis=1) >= least
+            one.append(i[u][a[agree]])
+            two.append(j[v][b[agree]])
+        a, b = np.concatenate(one), np.concatenate(two)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        pairs = np.unique(np.stack([low, high], axis=1), axis=0)
+        return [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])]
+
+    return map_columns(sides.select("left", "right"), "a long, b long", work)
+
+
+def _pairs(members: DataFrame, p: Paths, threshold: int, *, last: bool = False) -> DataFrame:
+    """Candidate pairs of sets in different components of a node.
+
+    All of a small node. Of a large one those with its pivot; and where few stand outside the main component, those few with every member. After the last
+    level the ones outside are met by every member in blocks, however many they are.
+    """
+    mine = F.struct(*_MINE)
+    small = members.where(F.col("size") <= p.small).groupBy("node").agg(F.collect_list(mine).alias("left")).select("left", F.col("left").alias("right"))
+    large = members.where(F.col("size") > p.small)
+    pivots = large.where("component != pivot.component").select(F.array(mine).alias("left"), F.array("pivot").alias("right"))
+    open_ = large if last else large.where(F.col("outside") <= p.small)
+    block = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("outside") / p.small)) if last else F.lit(0)
+    few = open_.where("component != pivot.component").withColumn("block", block).groupBy("node", "block").agg(F.collect_list(mine).alias("right"))
+    wide = open_.select("node", F.array(mine).alias("left")).join(few, "node").select("left", "right")
+    return _compared(small.unionByName(pivots).unionByName(wide), p, threshold).distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, *, key: str, text: str, size: int, threshold: int) -> DataFrame:
@@ -162,8 +183,8 @@ def _children(members: DataFrame, level: int, p: Paths) -> DataFrame:
     for k in range(p.deeper):
         token = F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(p.tokens)).cast("int")
         values.append(F.xxhash64("node", token, F.substr("sketch", token + 1, F.lit(1))))
-    large = members.where(F.col("size") > p.small).select("set_id", "sketch", "n_shingles", "component", F.explode(F.array(*values)).alias("node"))
-    return large.dropDuplicates(["node", "set_id"])
+    open_ = members.where((F.col("size") > p.small) & (F.col("outside") > p.small))
+    return open_.select(*_MINE, F.explode(F.array_distinct(F.array(*values))).alias("node")).dropDuplicates(["node", "set_id"])
 
 
 def near_duplicates(
@@ -176,7 +197,7 @@ def near_duplicates(
     null, has none and stands alone. Rows of equal key are one document if their texts are equal. A row with a null key is linked with nothing, has a null component and is kept. An empty table gives an empty result.
 
     Equal sets are one set from the start, so copies form no pairs. Trees share no state and run side by side, level by level: nodes with one component are
-    done, small ones are compared exhaustively, large ones with a pivot, and what stays in several components branches further. Every link is confirmed on full sets.
+    done, small ones are compared exhaustively, large ones with a pivot, and those with many sets outside their main component branch further. Every link is confirmed on full sets.
     """
     signed = settled(signatures(docs, paths, key=key, text=text, size=size), "signatures")
     own = signed.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
@@ -185,18 +206,14 @@ def near_duplicates(
     links: DataFrame | None = None
     labels: DataFrame | None = None
     for level in range(paths.levels + 1):
-        members = settled(_members(rows, paths), "nodes")
-        if level == paths.levels:
-            # Whatever still stands in large nodes is compared in blocks.
-            pairs = _rest(members, paths, threshold)
-        else:
-            pairs = _pairs(members, paths, threshold)
-        pairs = settled(pairs, "pairs")
-        if not pairs.isEmpty():
-            new = _confirmed(pairs, docs, sets, key=key, text=text, size=size, threshold=threshold)
-            links = settled(new if links is None else new.unionByName(links), "confirmed")
+        members = settled(_members(rows), "nodes")
+        last = level == paths.levels
+        pairs = settled(_pairs(members, paths, threshold, last=last), "pairs")
+        new = None if pairs.isEmpty() else settled(_confirmed(pairs, docs, sets, key=key, text=text, size=size, threshold=threshold), "confirmed")
+        if new is not None and not new.isEmpty():
+            links = new if links is None else new.unionByName(links)
             labels = settled(components(links), "labels")
-        if level == paths.levels or members.where(F.col("size") > paths.small).isEmpty():
+        if last or members.where((F.col("size") > paths.small) & (F.col("outside") > paths.small)).isEmpty():
             break
         rows = _children(members, level, paths)
         if labels is not None:
@@ -212,14 +229,3 @@ def near_duplicates(
     out = signed.select(key, "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col(key).isNull(), F.lit(None)).when(alone, F.col(key)).otherwise(F.col("component_id"))
     return out.select(key, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
-
-
-def _rest(members: DataFrame, p: Paths, threshold: int) -> DataFrame:
-    """All pairs across components of the nodes that are still large after the last level, block against block."""
-    blocks = F.ceil(F.col("size") / p.small)
-    rows = members.where(F.col("size") > p.small).withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(5)), blocks))
-    left = rows.select("node", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"), *[F.col(c).alias(f"l_{c}") for c in ("set_id", "sketch", "n_shingles", "component")])
-    met = left.join(rows.withColumnRenamed("block", "j"), ["node", "j"])
-    close = met.where((F.col("l_set_id") < F.col("set_id")) & (F.col("l_component") != F.col("component")) & _similar_sizes(F.col("l_n_shingles"), F.col("n_shingles"), threshold))
-    deep = _agreeing(close.select(F.col("l_set_id").alias("a"), F.col("l_sketch").alias("x"), F.col("set_id").alias("b"), F.col("sketch").alias("y")), p, threshold)
-    return _pairs(members.where(F.col("size") <= p.small), p, threshold).unionByName(deep).distinct()
