@@ -1,4 +1,7 @@
-"""Asset analytics: performance gap, solar ratio, cloud index, grid balance, cadence."""
+"""Asset analytics: performance gap, solar ratio, cloud index, grid balance, cadence.
+
+Assets that report but are missing from the reference table stay listed; what depends on it is NULL there.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ from meltemi.operators.order import previous_row
 def wind_performance(telemetry: DataFrame, turbines: DataFrame, width: str, *, ts: str = "timestamp") -> DataFrame:
     """Per turbine and window: mean actual and expected power, the gap, and the capacity factor."""
     dims = turbines.select("turbine_id", "capacity_mw", "cut_in_speed_ms", "rated_speed_ms", "cut_out_speed_ms")
-    rows = telemetry.select("turbine_id", ts, "power_mw", "wind_speed_ms").join(dims, "turbine_id")
+    rows = telemetry.select("turbine_id", ts, "power_mw", "wind_speed_ms").join(dims, "turbine_id", "left")
     due = expected_wind_mw("wind_speed_ms", "cut_in_speed_ms", "rated_speed_ms", "cut_out_speed_ms", "capacity_mw")
     # The capacity is constant per turbine, so it is averaged rather than grouped by.
     grouped = rows.withColumn("_due", due).groupBy("turbine_id", bucket(ts, width).alias(ts)).agg(
@@ -35,7 +38,7 @@ def wind_performance(telemetry: DataFrame, turbines: DataFrame, width: str, *, t
 def solar_performance(telemetry: DataFrame, inverters: DataFrame, width: str, *, ts: str = "timestamp", drop_factor: float = 2.0) -> DataFrame:
     """Per inverter and window: produced against expected power; ``soiled`` when output fell by the drop factor or more."""
     dims = inverters.select("inverter_id", "capacity_kw")
-    rows = telemetry.select("inverter_id", ts, "power_kw", "irradiance_wm2", "panel_temp_c").join(dims, "inverter_id")
+    rows = telemetry.select("inverter_id", ts, "power_kw", "irradiance_wm2", "panel_temp_c").join(dims, "inverter_id", "left")
     due = expected_solar_kw("capacity_kw", "irradiance_wm2", "panel_temp_c")
     grouped = rows.withColumn("_due", due).groupBy("inverter_id", bucket(ts, width).alias(ts)).agg(
         F.sum("power_kw").alias("actual_kw"), F.sum("_due").alias("expected_kw")
@@ -54,7 +57,7 @@ def solar_performance(telemetry: DataFrame, inverters: DataFrame, width: str, *,
 def cloud_index(telemetry: DataFrame, inverters: DataFrame, *, ts: str = "timestamp", utc_offset_h: float = 3.0) -> DataFrame:
     """Per park and hour: measured irradiance over the clear-sky expectation for the real date and time."""
     dims = inverters.select("inverter_id", F.col("plant_id").alias("park"), F.col("latitude").alias("_lat"))
-    rows = telemetry.select("inverter_id", ts, "irradiance_wm2").join(dims, "inverter_id")
+    rows = telemetry.select("inverter_id", ts, "irradiance_wm2").join(dims, "inverter_id", "left")
     hour = F.hour(ts) + F.minute(ts) / F.lit(60.0) + F.lit(utc_offset_h)
     local = F.pmod(hour, F.lit(24.0))
     clear = clear_sky_wm2("_lat", F.dayofyear(ts), local)
@@ -67,7 +70,7 @@ def cloud_index(telemetry: DataFrame, inverters: DataFrame, *, ts: str = "timest
 def grid_balance(telemetry: DataFrame, grids: DataFrame, width: str, *, ts: str = "timestamp", tolerance_hz: float = 0.2, cadence_s: float = 2.0) -> DataFrame:
     """Per grid and window: mean balance, worst deviation from nominal, minutes spent out of band."""
     dims = grids.select("grid_id", "nominal_frequency_hz")
-    rows = telemetry.select("grid_id", ts, "frequency_hz", "load_mw", "generation_mw").join(dims, "grid_id")
+    rows = telemetry.select("grid_id", ts, "frequency_hz", "load_mw", "generation_mw").join(dims, "grid_id", "left")
     rows = rows.withColumn("_dev", F.abs(F.col("frequency_hz") - F.col("nominal_frequency_hz")))
     return rows.groupBy("grid_id", bucket(ts, width).alias(ts)).agg(
         F.avg(F.col("generation_mw") - F.col("load_mw")).alias("balance_mw"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltemi.operators.latest import as_list
@@ -42,80 +43,75 @@ class SpectralResidual:
     def margin(self) -> float:
         return (100 - self.sensitivity) / 10.0
 
+    @property
+    def reach(self) -> int:
+        """Points on each side that a point's baseline comes from: two whole periods."""
+        return max(self.history + self.ahead, 2 * self.periodicity)
+
+    @property
+    def window(self) -> int:
+        """Points, up to and with the judged one, that the transform sees; ``ahead`` more lie behind it."""
+        return max(self.history + 1, 2 * self.periodicity)
+
     @property
     def overlap(self) -> int:
-        return max(self.history + self.ahead, self.periodicity)
+        """Points beyond its own ones that a stretch needs, so that where it is cut changes nothing."""
+        return 2 * self.reach + self.window
 
 
-def _saliency(x: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
-    """Saliency map: the inverse transform of what the log spectrum has beyond its local mean."""
-    spectrum = np.fft.fft(x)
+def _around(x: np.ndarray, before: int, after: int, fill: float) -> np.ndarray:
+    """Row i: the values from ``before`` places before i to ``after`` places behind it."""
+    padded = np.concatenate([np.full(before, fill), x, np.full(after, fill)])
+    return np.lib.stride_tricks.sliding_window_view(padded, before + after + 1)
+
+
+def _saliency(rows: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
+    """Saliency map of each row: the inverse transform of what the log spectrum has beyond its local mean."""
+    spectrum = np.fft.fft(rows, axis=1)
     amplitude = np.abs(spectrum)
     quiet = amplitude < 1e-12
     safe = np.where(quiet, 1.0, amplitude)
     log_amp = np.log(safe)
     before = cfg.smooth // 2
-    padded = np.concatenate([np.repeat(log_amp[0], before), log_amp, np.repeat(log_amp[-1], cfg.smooth - 1 - before)])
-    local = np.convolve(padded, np.full(cfg.smooth, 1.0 / cfg.smooth), mode="valid")
+    padded = np.pad(log_amp, ((0, 0), (before, cfg.smooth - 1 - before)), mode="edge")
+    total = np.pad(np.cumsum(padded, axis=1), ((0, 0), (1, 0)))
+    local = (total[:, cfg.smooth :] - total[:, : -cfg.smooth]) / cfg.smooth
     unit = np.where(quiet, 0.0, spectrum / safe)
-    return np.abs(np.fft.ifft(np.exp(log_amp - local) * unit))
-
-
-def _seasonal_median(values: np.ndarray, idx: np.ndarray, period: int) -> np.ndarray:
-    """Median of each step's phase: one spike does not lift its whole phase."""
-    phase = idx % period
-    order = np.lexsort((values, phase))
-    counts = np.bincount(phase, minlength=period)
-    starts = np.cumsum(counts) - counts
-    low = np.minimum(starts + np.maximum(counts - 1, 0) // 2, len(values) - 1)
-    high = np.minimum(starts + counts // 2, len(values) - 1)
-    ranked = values[order]
-    return ((ranked[low] + ranked[high]) / 2)[phase]
-
-
-def _mean_before(x: np.ndarray, width: int) -> np.ndarray:
-    """Mean of up to ``width`` values before each one; the first has itself."""
-    total = np.concatenate([[0.0], np.cumsum(x)])
-    end = np.arange(len(x))
-    start = np.maximum(end - width, 0)
-    out = (total[end] - total[start]) / np.maximum(end - start, 1)
-    out[0] = x[0]
-    return out
-
-
-def _scores(values: np.ndarray, idx: np.ndarray, cfg: SpectralResidual) -> tuple[np.ndarray, np.ndarray]:
-    """(baseline, score) of one contiguous stretch."""
-    n = len(values)
-    seasonal = cfg.periodicity > 1 and n >= 2 * cfg.periodicity
-    baseline = _seasonal_median(values, idx, cfg.periodicity) if seasonal else np.full(n, values.mean())
-    rest = values - baseline
-    if n < 2 or rest.max() - rest.min() < 1e-9:
-        return baseline, np.zeros(n)
-    # Points estimated past the end keep the transform from treating the last value as an edge.
-    m = min(cfg.ahead, n - 1)
-    back = np.arange(1, m + 1)
-    slope = ((rest[-1] - rest[-1 - back]) / back).mean()
-    tail = np.full(cfg.ahead, rest[-m] + slope * m)
-    sal = _saliency(np.concatenate([rest, tail]), cfg)[:n]
-    local = _mean_before(sal, cfg.history)
-    floor = max(1e-9, 0.05 * float(sal.mean()))
-    return baseline, np.maximum((sal - local) / np.maximum(local, floor), 0.0)
-
-
-def _judged(values: np.ndarray, idx: np.ndarray, mine: np.ndarray, cfg: SpectralResidual) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(baseline, score, flag) of one stretch; only core points are flagged, at most the allowed share of them."""
-    known = ~np.isnan(values)
-    if not known.all():
-        at = np.flatnonzero(known)
-        values = np.interp(np.arange(len(values)), at, values[at]) if len(at) else np.zeros(len(values))
-    baseline, score = _scores(values, idx, cfg)
-    off = np.abs(values - baseline - np.median(values - baseline))
-    spread = 1.4826 * np.median(off)
-    flag = mine & (score >= cfg.min_score) & (off > max(cfg.margin * spread, 1e-9))
-    limit = int(cfg.max_anomaly_ratio * mine.sum())
-    if flag.sum() > limit:
-        flag[np.argsort(-np.where(flag, score, -1.0), kind="stable")[limit:]] = False
-    return baseline, score, flag
+    return np.abs(np.fft.ifft(np.exp(log_amp - local) * unit, axis=1))
+
+
+def _baseline(values: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
+    """Median of the same phase in the two periods on each side; the mean of what is near where a series is shorter than two periods."""
+    near = _around(values, cfg.reach, cfg.reach, np.nan)
+    known = np.ones(len(values))
+    seen = np.nansum(_around(known, cfg.reach, cfg.reach, 0.0), axis=1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # rows without a value
+        plain = np.nan_to_num(np.nanmean(near, axis=1))
+        if cfg.periodicity <= 1:
+            return plain
+        phase = near[:, cfg.reach % cfg.periodicity :: cfg.periodicity]
+        seasonal = np.nanmedian(phase, axis=1)
+    return np.where((seen >= 2 * cfg.periodicity) & ~np.isnan(seasonal), seasonal, plain)
+
+
+def _judged(values: np.ndarray, cfg: SpectralResidual) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(baseline, score, flag) of every point, each from the points around it alone. Missing values count as lying on the baseline."""
+    baseline = _baseline(values, cfg)
+    rest = np.nan_to_num(values - baseline)
+    # A few points behind the judged one keep the transform from treating it as an edge; past the end they lie on the baseline.
+    rows = _around(rest, cfg.window - 1, cfg.ahead, 0.0)
+    at = cfg.window - 1
+    sal = _saliency(rows, cfg)
+    local = sal[:, at - cfg.history : at].mean(axis=1)
+    floor = np.maximum(1e-9, 0.05 * sal.mean(axis=1))
+    score = np.maximum((sal[:, at] - local) / np.maximum(local, floor), 0.0)
+    score[rows.max(axis=1) - rows.min(axis=1) < 1e-9] = 0.0
+    near = _around(rest, cfg.reach, cfg.reach, np.nan)
+    middle = np.nanmedian(near, axis=1)
+    spread = 1.4826 * np.nanmedian(np.abs(near - middle[:, None]), axis=1)
+    off = np.abs(rest - middle)
+    return baseline, score, (score >= cfg.min_score) & (off > np.maximum(cfg.margin * spread, 1e-9)) & ~np.isnan(values)
 
 
 def spectral_residual(
@@ -130,6 +126,7 @@ def spectral_residual(
 ) -> DataFrame:
     """A gap-free series with ``baseline``, ``score`` and ``anomaly`` (0 or 1).
 
+    Baseline, score and flag of a point come from a fixed number of points around it, so where the series is cut makes no difference.
     An entity's series is cut into stretches of ``core`` steps, each given with an overlap on both
     sides, so a stretch holds at most ``core + 2 * overlap`` rows whatever the entity's history, and
     a long history is spread over many tasks. Stretches arrive sorted, many to an Arrow batch; only
@@ -137,6 +134,7 @@ def spectral_residual(
     """
     keys = as_list(keys)
     overlap = cfg.overlap
+    core = max(core, overlap)  # a point then lies in its own stretch and at most one neighbour
     placed = series.select(*keys, ts, F.col(value).cast("double").alias(value), step_index(ts, step).alias("idx"))
     pos = F.col("idx") % core
     home = F.floor(F.col("idx") / core)
@@ -155,12 +153,12 @@ def spectral_residual(
     parts = [*keys, "_stretch"]
 
     def judge(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        values, idx = pdf[value].to_numpy(dtype=float), pdf["idx"].to_numpy()
+        values = pdf[value].to_numpy(dtype=float)
         mine = (pdf["_home"] == pdf["_stretch"]).to_numpy()
         baseline, score, flag = np.zeros(len(pdf)), np.zeros(len(pdf)), np.zeros(len(pdf), dtype=bool)
         for a, b in zip(starts, [*starts[1:], len(pdf)]):
             if mine[a:b].any():
-                baseline[a:b], score[a:b], flag[a:b] = _judged(values[a:b], idx[a:b], mine[a:b], cfg)
+                baseline[a:b], score[a:b], flag[a:b] = _judged(values[a:b], cfg)
         out = pdf[[*keys, ts, value]].assign(baseline=baseline, score=score, anomaly=flag.astype("int32"))
         return out.loc[mine]
 
@@ -180,7 +178,17 @@ def spectral_residual(
         if held is not None:
             yield judge(held, np.array([0]))
 
-    return spread.mapInPandas(detect, out_schema)
+    return _strongest(spread.mapInPandas(detect, out_schema), keys, ts, cfg.max_anomaly_ratio)
+
+
+def _strongest(flagged: DataFrame, keys: list[str], ts: str, ratio: float) -> DataFrame:
+    """At most ``ratio`` of a key's points stay flagged: the ones that score highest, the earlier of equals. Keys below the ratio, by their counts, are left as they are and ranked nowhere."""
+    counts = flagged.groupBy(*keys).agg(F.floor(F.count("*") * ratio).alias("_room"), F.count_if(F.col("anomaly") == 1).alias("_on"))
+    above = counts.where("_on > _room").select(*keys, "_room")
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), ts)
+    weak = flagged.where("anomaly = 1").join(above, keys).withColumn("_rank", F.row_number().over(order)).where("_rank > _room")
+    joined = flagged.join(weak.select(*keys, ts, F.lit(True).alias("_weak")), [*keys, ts], "left")
+    return joined.withColumn("anomaly", F.when(F.col("_weak"), F.lit(0)).otherwise(F.col("anomaly"))).select(*flagged.columns)
 
 
 def anomaly_events(flagged: DataFrame, entity: str, detector: str, *, ts: str = "timestamp", value: str = "value", publish: bool = False) -> DataFrame:

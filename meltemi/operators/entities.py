@@ -13,9 +13,6 @@ from meltemi.operators.latest import latest
 
 Tables = Mapping[str, DataFrame]
 
-# Keys of a few bytes each: well below any executor's memory.
-BROADCAST_KEYS = 500_000
-
 
 @dataclass(frozen=True)
 class LiveBinding:
@@ -57,7 +54,7 @@ def live_values(tables: Tables, binding: LiveBinding, *, clock: Clock | None = N
     events = tables[binding.table]
     if clock is not None and span is not None:
         events = within(events, clock, span, ts=binding.ts)
-    newest = latest(events, binding.key, ts=binding.ts, cols=list(wanted), unique_ts=True)
+    newest = latest(events, binding.key, ts=binding.ts, cols=list(wanted))
     return newest.select(binding.key, F.col(binding.ts).alias("live_time"), *[F.col(src).alias(f"live_{prop}") for src, prop in wanted.items()])
 
 
@@ -90,8 +87,8 @@ def entity_view(
 def _newest_part_first(tables: Tables, entity: Entity, clock: Clock, recent: str, props: Sequence[str] | None) -> DataFrame:
     """Latest values per asset of the static table: from the recent events, and from older ones for those missing there.
 
-    The missing assets are counted first. None: the older events stay unread. Few: their keys are broadcast.
-    Many: the keys are joined by shuffle.
+    One plan whatever the number of missing assets: older events meet their keys in a semi-join, which Spark broadcasts where it has measured
+    them to be small.
     """
     live = entity.live
     assert live is not None
@@ -99,12 +96,8 @@ def _newest_part_first(tables: Tables, entity: Entity, clock: Clock, recent: str
     found = live_values(tables, live, clock=at, span="recent", props=props)
     keys = tables[entity.table].select(F.col(entity.key).alias(live.key)).distinct()
     missing = keys.join(found.select(live.key), live.key, "left_anti")
-    n = missing.count()
-    if n == 0:
-        return found
-    wanted = F.broadcast(missing) if n <= BROADCAST_KEYS else missing
     events = tables[live.table]
-    older = events.where(F.col(live.ts) <= at.back("recent")).join(wanted, live.key, "left_semi")
+    older = events.where(F.col(live.ts) <= at.back("recent")).join(missing, live.key, "left_semi")
     return found.unionByName(live_values({live.table: older}, live, props=props))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.operators.entities import Entity, Ontology, Tables
+from meltemi.session import settled
 
 
 def edges(tables: Tables, ontology: Ontology, relationships: Sequence[str] | None = None) -> DataFrame:
@@ -53,15 +54,17 @@ def subgraph(
     all_edges = edges(tables, ontology, relationships)
     if seeds is None:
         return endpoints(all_edges), all_edges
-    frontier = seeds.select("type", F.col("id").cast("string").alias("id")).distinct()
+    frontier = settled(seeds.select("type", F.col("id").cast("string").alias("id")).distinct(), "frontier")
     chosen = all_edges
-    for _ in range(hops):
-        s = frontier.select(F.col("type").alias("_t"), F.col("id").alias("_i"))
-        from_seed = all_edges.join(s, (F.col("src_type") == F.col("_t")) & (F.col("src_id") == F.col("_i")), "left_semi")
-        into_seed = all_edges.join(s, (F.col("dst_type") == F.col("_t")) & (F.col("dst_id") == F.col("_i")), "left_semi")
-        chosen = from_seed.unionByName(into_seed).distinct()
-        frontier = endpoints(chosen)
-    return frontier, chosen
+    for hop in range(hops):
+        # The frontier is written out after each hop, so a hop reads the edges once however many came before.
+        source = frontier.select(F.col("type").alias("src_type"), F.col("id").alias("src_id"), F.lit(True).alias("_from"))
+        target = frontier.select(F.col("type").alias("dst_type"), F.col("id").alias("dst_id"), F.lit(True).alias("_into"))
+        met = all_edges.join(source, ["src_type", "src_id"], "left").join(target, ["dst_type", "dst_id"], "left")
+        chosen = met.where(F.col("_from") | F.col("_into")).select(*all_edges.columns).distinct()
+        if hop + 1 < hops:
+            frontier = settled(endpoints(chosen), "frontier")
+    return endpoints(chosen), chosen
 
 
 def dangling(tables: Tables, ontology: Ontology, relationships: Sequence[str] | None = None) -> DataFrame:

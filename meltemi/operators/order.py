@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,19 +11,25 @@ from pyspark.sql import functions as F
 from meltemi.functions.clock import micros
 from meltemi.operators.latest import as_list, fixed_width
 
-ROWS_PER_SLICE = 2_000_000
 
+def with_time_slice(rows: DataFrame, ts: str, slices: int, *, times: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``_slice``: the number of the time slice, of ``slices`` that hold about the same number of rows.
 
-def slice_width_us(df: DataFrame, ts: str, rows_per_slice: int = ROWS_PER_SLICE) -> int | None:
-    """Width of a time slice, in microseconds, that holds about ``rows_per_slice`` rows of all keys together.
-
-    None when the whole table is no larger than one slice. A key that owns every row of the table still
-    gets no more than that many rows per slice at an even rate. Looked up from the time column alone, one row comes back.
+    Borders are approximate quantiles of the time column (of ``times``, if given), so neither a burst nor a single wrong time changes how evenly rows are dealt. They
+    are a scalar subquery of the same plan: nothing is looked up beforehand. Two short searches find a row's place among them.
     """
-    t = micros(ts)
-    size = df.agg(F.count(t).alias("n"), (F.max(t) - F.min(t) + F.lit(1)).alias("span")).first()
-    slices = -(-size["n"] // rows_per_slice)
-    return None if slices <= 1 else max(1, -(-size["span"] // slices))
+    shares = [i / slices for i in range(1, slices)]
+    if not shares:
+        return rows.withColumn("_slice", F.lit(0))
+    quantiles = F.percentile_approx(micros(ts), shares, max(10_000, 20 * slices))
+    source = rows if times is None else times
+    step, at = isqrt(len(shares)), F.col("_at")
+    # The last border of each run of ``step`` tells the run, the borders inside it the place.
+    ends = F.array(*[F.get("_borders", F.lit(i)) for i in range(step - 1, len(shares), step)])
+    below = lambda borders: F.size(F.filter(borders, lambda b: b <= at))
+    placed = rows.withColumn("_at", micros(ts)).withColumn("_borders", source.agg(quantiles.alias("borders")).scalar())
+    placed = placed.withColumn("_run", below(ends) * step)
+    return placed.withColumn("_slice", F.col("_run") + below(F.slice("_borders", F.col("_run") + 1, F.lit(step)))).drop("_at", "_borders", "_run")
 
 
 def previous_row(
@@ -32,30 +39,26 @@ def previous_row(
     cols: Sequence[str],
     *,
     prefix: str = "prev_",
-    slice_us: int | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    slices: int | None = None,
     unique_ts: bool = False,
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Every row with ``cols`` and the order columns of the row before it, as ``prev_*`` (NULL at the first).
 
-    ``order`` starts with the event time; further columns settle ties. The size of the input decides the way. A
-    table of at most one slice's rows takes a window over the key. In a larger one that could put a hot key into one task,
-    so rows are split by (key, time slice): the last row of each slice, found by partial aggregation, is handed to
-    the key's next slice as a carried row, and the window that links slices sees one row per slice only.
+    ``order`` starts with the event time; further columns settle ties. Rows are split by (key, time slice): the last row of each slice, found by
+    partial aggregation, is handed to the key's next slice as a carried row, and the window that links slices sees one row per slice only. A key that has a
+    third of all rows, or all of them, is so many tasks. The way is the same for every size.
 
-    ``slice_us`` sets the width and skips the look-up. ``unique_ts`` says that a key has one row per instant, which
-    lets fixed-width columns be carried by a hash aggregate.
+    ``slices`` is their number, by default that of the shuffle partitions. ``times`` may name another table whose time column has the same
+    spread and is cheaper to read. ``unique_ts`` says that a key has one row per instant, which lets fixed-width columns be carried by a hash aggregate. Rows
+    of one instant stay in one slice.
     """
     keys, order = as_list(keys), as_list(order)
     ts = order[0]
     kept = list(dict.fromkeys([*order, *cols]))
     rows = df.where(F.col(ts).isNotNull())
-    width = slice_us or slice_width_us(rows, ts, rows_per_slice)
-    if width is None:
-        earlier = Window.partitionBy(*keys).orderBy(*kept)
-        return rows.select(*df.columns, *[F.lag(c).over(earlier).alias(f"{prefix}{c}") for c in kept])
-
-    rows = rows.withColumn("_slice", F.floor(micros(ts) / F.lit(width)))
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = with_time_slice(rows, ts, n, times=times)
     types = {f.name: f.dataType for f in df.schema.fields}
     if kept == [ts] or (unique_ts and all(fixed_width(types[c]) for c in kept)):
         carry = [F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in kept[1:]]]

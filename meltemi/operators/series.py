@@ -13,7 +13,8 @@ from meltemi.operators.latest import as_list
 from meltemi.operators.order import previous_row
 
 _UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
-_SLOTS_PER_SLICE = 500_000
+#: Steps of a gap that one row holds before they become rows.
+_STEPS_PER_BLOCK = 10_000
 
 
 def width_us(width: str) -> int:
@@ -44,25 +45,27 @@ def make_series(
     name: str = "value",
     fill: str = "default",
     default: float = 0.0,
-    span: str | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """A row for every step from a key's first bucket to its last: keys, ``ts``, ``name``, ``filled``.
 
     Empty steps get ``default`` (0, the query language's rule), or with ``fill`` 'null',
     'ffill' (last value carried on) or 'linear'. Each bucket emits the gap before it, so
-    filling needs the preceding bucket only and no second pass over a calendar. ``span`` tells how far back ``df``
-    reaches, where a lookback bounds it: a key then has few enough buckets for a window of its own.
+    filling needs the preceding bucket only and no second pass over a calendar. A long gap is cut in blocks
+    that are dealt over the tasks before their steps become rows. ``slices``: see :func:`previous_row`.
     """
     keys = as_list(keys)
     step_us = width_us(step)
     bins = bucketed(df, step, {name: value}, keys=keys, ts=ts, out=ts)
-    if span is not None and width_us(span) <= step_us * _SLOTS_PER_SLICE:
-        earlier = Window.partitionBy(*keys).orderBy(ts)
-        linked = bins.select("*", F.lag(ts).over(earlier).alias(f"prev_{ts}"), F.lag(name).over(earlier).alias(f"prev_{name}"))
-    else:
-        linked = previous_row(bins, keys, ts, [name], slice_us=step_us * _SLOTS_PER_SLICE, unique_ts=True)
+    linked = previous_row(bins, keys, ts, [name], unique_ts=True, slices=slices, times=df)
     start = F.coalesce(F.col(f"prev_{ts}") + F.expr(f"INTERVAL {step}"), F.col(ts))
-    slots = linked.withColumn("_slot", F.explode(F.sequence(start, F.col(ts), F.expr(f"INTERVAL {step}"))))
+    many = F.floor((micros(ts) - micros("_start")) / F.lit(step_us * _STEPS_PER_BLOCK)).cast("int")
+    blocks = linked.withColumn("_start", start).withColumn("_block", F.explode(F.sequence(F.lit(0), many)))
+    dealt = blocks.repartition(*[F.col(k) for k in keys], F.col(ts), F.col("_block"))
+    wide = width_us(step) * _STEPS_PER_BLOCK
+    first = F.col("_start") + F.make_dt_interval(secs=F.col("_block") * F.lit(wide / 1e6))
+    last = F.least(F.col(ts), first + F.expr(f"INTERVAL {(wide - step_us) // 1_000_000} SECOND"))
+    slots = dealt.withColumn("_slot", F.explode(F.sequence(first, last, F.expr(f"INTERVAL {step}"))))
     filled = F.col("_slot") != F.col(ts)
     before, after = F.col(f"prev_{name}"), F.col(name)
     along = (micros("_slot") - micros(f"prev_{ts}")) / (micros(ts) - micros(f"prev_{ts}"))

@@ -87,9 +87,9 @@ def time_to_go(positions: DataFrame, route_legs: DataFrame, *, vessel: str = "ve
     """Positions with the leg they are on, the distance left along the route and the hours that takes.
 
     A position is on the leg it lengthens least; equal detours go to the earlier leg. A vessel
-    that is not moving has no hours to go. Routes are joined as one row per vessel, so positions are never multiplied.
+    that is not moving has no hours to go; one without a route stays listed with a NULL leg. Routes are joined as one row per vessel, so positions are never multiplied.
     """
-    joined = positions.join(packed_routes(route_legs, vessel=vessel), vessel)
+    joined = positions.join(packed_routes(route_legs, vessel=vessel), vessel, "left")
     options = F.transform(
         "legs",
         lambda leg: F.struct(
@@ -104,5 +104,5 @@ def time_to_go(positions: DataFrame, route_legs: DataFrame, *, vessel: str = "ve
         ),
     )
     chosen = joined.withColumn("_leg", F.array_min(options)).drop("legs")
-    hours = F.when(F.col(speed) > 0, F.col("_leg.left_nm") / F.col(speed)).otherwise(F.lit(0.0))
+    hours = F.when(F.col(speed) > 0, F.col("_leg.left_nm") / F.col(speed)).when(F.col("_leg").isNotNull(), F.lit(0.0))
     return chosen.select(*positions.columns, F.col("_leg.leg_no").alias("leg_no"), F.col("_leg.left_nm").alias("remaining_nm"), hours.alias("eta_h"))

@@ -17,7 +17,7 @@ from meltemi.plans.ontology import ENTITIES, ONTOLOGY
 RECENT = "1 day"
 
 
-def _hop(df: DataFrame, t: Tables, rel: str, how: str = "inner", **kwargs) -> DataFrame:
+def _hop(df: DataFrame, t: Tables, rel: str, how: str = "left", **kwargs) -> DataFrame:
     return follow(df, t, ONTOLOGY, rel, how=how, **kwargs)
 
 

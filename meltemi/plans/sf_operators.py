@@ -423,7 +423,7 @@ add(
     "D03_three_hops",
     # Order -> plant -> grid, and the order's turbine, all many-to-one.
     lambda t, c: follow(
-        follow(t["maintenance_orders"], t, ONTOLOGY, "servicing_asset", cols={"plant_name": "plant_name", "grid_zone": "grid_zone"}),
+        follow(t["maintenance_orders"], t, ONTOLOGY, "servicing_asset", cols={"plant_name": "plant_name", "grid_zone": "grid_zone"}, how="left"),
         t,
         ONTOLOGY,
         "feeds_grid",
@@ -434,7 +434,7 @@ add(
     .join(t["wind_turbines"].select(F.col("turbine_id").alias("asset_id"), "turbine_name"), "asset_id", "left")
     .select("order_id", "turbine_name", "plant_name", "grid_name"),
     "maintenance_orders power_plants island_grids wind_turbines",
-    """select order_id, turbine_name, plant_name, grid_name from maintenance_orders join power_plants using (plant_id)
+    """select order_id, turbine_name, plant_name, grid_name from maintenance_orders left join power_plants using (plant_id)
        left join island_grids on grid_id = grid_zone left join wind_turbines on turbine_id = asset_id""",
 )
 add(
@@ -458,24 +458,29 @@ add(
 --
 select * from e where dst_type = 'PowerPlant' and dst_id in (select plant_id::varchar from power_plants where region = 'ASIA')""",
 )
-add(
-    "D04_subgraph_two_hops",
-    lambda t, c: graph.subgraph(
-        t,
-        ONTOLOGY,
-        ["supplies_plant", "fed_by_plant", "feeds_grid"],
-        seeds=t["island_grids"].where(F.col("grid_name") == "ASIA").select(F.lit("Grid").alias("type"), F.col("grid_id").alias("id")),
-        hops=2,
-    )[0],
-    _EDGE_VIEWS,
-    f"""with e as ({_edge_sql('supplies_plant', 'fed_by_plant', 'feeds_grid')}),
-    s as (select 'Grid' as type, grid_id::varchar as id from island_grids where grid_name = 'ASIA'),
-    e1 as (select * from e where exists (select 1 from s where type = src_type and id = src_id) or exists (select 1 from s where type = dst_type and id = dst_id)),
-    n1 as (select src_type as type, src_id as id from e1 union select dst_type, dst_id from e1),
-    e2 as (select * from e where exists (select 1 from n1 where type = src_type and id = src_id) or exists (select 1 from n1 where type = dst_type and id = dst_id))
---
-select src_type as type, src_id as id from e2 union select dst_type, dst_id from e2""",
-)
+def _hops_sql(hops: int) -> str:
+    """Nodes within so many hops of the seed grids."""
+    touched = "exists (select 1 from {n} where type = src_type and id = src_id) or exists (select 1 from {n} where type = dst_type and id = dst_id)"
+    parts = [f"with e as ({_edge_sql('supplies_plant', 'fed_by_plant', 'feeds_grid')})", "n0 as (select 'Grid' as type, grid_id::varchar as id from island_grids where grid_name = 'ASIA')"]
+    for k in range(1, hops + 1):
+        parts.append(f"e{k} as (select * from e where {touched.format(n=f'n{k - 1}')})")
+        parts.append(f"n{k} as (select src_type as type, src_id as id from e{k} union select dst_type, dst_id from e{k})")
+    return ",\n".join(parts) + f"\n--\nselect * from n{hops}"
+
+
+for _hops, _name in ((2, "two"), (3, "three")):
+    add(
+        f"D04_subgraph_{_name}_hops",
+        lambda t, c, n=_hops: graph.subgraph(
+            t,
+            ONTOLOGY,
+            ["supplies_plant", "fed_by_plant", "feeds_grid"],
+            seeds=t["island_grids"].where(F.col("grid_name") == "ASIA").select(F.lit("Grid").alias("type"), F.col("grid_id").alias("id")),
+            hops=n,
+        )[0],
+        _EDGE_VIEWS,
+        _hops_sql(_hops),
+    )
 add(
     "D05_dangling_edges",
     lambda t, c: graph.dangling(t, ONTOLOGY),
@@ -719,7 +724,7 @@ select {_ORDER_ID} as order_id, 'Corrective' as order_type, 'Critical' as priori
 
 
 def _turbine_spots(t: SfTables) -> DataFrame:
-    return latest(t["wind"], "turbine_id", cols=["latitude", "longitude"], unique_ts=True)
+    return latest(t["wind"], "turbine_id", cols=["latitude", "longitude"])
 
 
 _SPOTS = "sp as (select turbine_id, arg_max(latitude, timestamp) as lat, arg_max(longitude, timestamp) as lon from wind group by 1)"
@@ -777,12 +782,12 @@ add(
     f"""with lg as (select vessel_id, leg_no, lat, lon, lead(lat) over w as to_lat, lead(lon) over w as to_lon from route_legs window w as (partition by vessel_id order by leg_no)),
     ln as (select *, {distance('lat', 'lon', 'to_lat', 'to_lon')} as nm from lg where to_lat is not null),
     sf as (select *, coalesce(sum(nm) over (partition by vessel_id order by leg_no desc rows between unbounded preceding and 1 preceding), 0.0) as after_nm from ln),
-    o as (select event_id, vessel_id, leg_no, speed_knots,
+    o as (select event_id, pos.vessel_id, leg_no, speed_knots,
           round({distance('latitude', 'longitude', 'lat', 'lon')} + {distance('latitude', 'longitude', 'to_lat', 'to_lon')} - nm, 6) as detour,
-          {distance('latitude', 'longitude', 'to_lat', 'to_lon')} + after_nm as left_nm from pos join sf using (vessel_id)),
+          {distance('latitude', 'longitude', 'to_lat', 'to_lon')} + after_nm as left_nm from pos left join sf using (vessel_id)),
     f as (select *, row_number() over (partition by event_id order by detour, leg_no) as rn from o)
 --
-select event_id, vessel_id, leg_no, left_nm as remaining_nm, case when speed_knots > 0 then left_nm / speed_knots else 0.0 end as eta_h from f where rn = 1""",
+select event_id, vessel_id, leg_no, left_nm as remaining_nm, case when speed_knots > 0 then left_nm / speed_knots when left_nm is not null then 0.0 end as eta_h from f where rn = 1""",
     "remaining_nm,eta_h",
 )
 
@@ -819,7 +824,7 @@ add(
     lambda t, c: assets.cloud_index(t["solar"], t["solar_inverters"]),
     "solar solar_inverters",
     """with a as (select plant_id as park, timestamp, irradiance_wm2, i.latitude as lat, dayofyear(timestamp) as doy,
-          (hour(timestamp) + minute(timestamp) / 60.0::double + 3.0) % 24.0 as h from solar s join solar_inverters i using (inverter_id)),
+          (hour(timestamp) + minute(timestamp) / 60.0::double + 3.0) % 24.0 as h from solar s left join solar_inverters i using (inverter_id)),
     b as (select *, radians(23.45::double * sin(radians(360.0::double / 365.0 * (doy - 81)))) as decl, radians(15.0::double * (h - 12.5)) as ha, radians(lat) as phi from a),
     u as (select *, sin(decl) * sin(phi) + cos(decl) * cos(phi) * cos(ha) as up from b),
     w as (select *, case when up <= 0.02 then 0.0 else 1361.0::double * pow(0.7::double, pow(1.0 / (up + 0.50572::double * pow(degrees(asin(least(up, 1.0::double))) + 6.07995, -1.6364)), 0.678)) * up end as clear from u),
@@ -833,7 +838,7 @@ add(
     lambda t, c: assets.grid_balance(t["grid"], t["island_grids"], "1 day"),
     "grid island_grids",
     """select grid_id, time_bucket(interval 1 day, timestamp) as timestamp, avg(generation_mw - load_mw) as balance_mw, max(abs(frequency_hz - nominal_frequency_hz)) as max_deviation_hz,
-       count(*) filter (where abs(frequency_hz - nominal_frequency_hz) > 0.2) * 2.0 / 60.0 as out_of_band_min from grid join island_grids using (grid_id) group by 1, 2""",
+       count(*) filter (where abs(frequency_hz - nominal_frequency_hz) > 0.2) * 2.0 / 60.0 as out_of_band_min from grid left join island_grids using (grid_id) group by 1, 2""",
     "balance_mw,max_deviation_hz,out_of_band_min",
 )
 add(

@@ -270,7 +270,7 @@ add(
     e.e30_gas_layer,
     "gas power_plants",
     f"""select plant_id, p.plant_name, co2_kg_per_hour, p.latitude, p.longitude
-        from {_now('gas', 'plant_id', '2m', 'co2_kg_per_hour')} join power_plants p using (plant_id)""",
+        from {_now('gas', 'plant_id', '2m', 'co2_kg_per_hour')} left join power_plants p using (plant_id)""",
     "co2_kg_per_hour,latitude,longitude",
 )
 
@@ -290,7 +290,7 @@ _ask(
     "G02_turbines_by_plant",
     g.g02_turbines_by_plant,
     "wind_turbines power_plants",
-    "select p.plant_name, turbine_id, turbine_name, manufacturer, model, w.capacity_mw from wind_turbines w join power_plants p using (plant_id)",
+    "select p.plant_name, turbine_id, turbine_name, manufacturer, model, w.capacity_mw from wind_turbines w left join power_plants p using (plant_id)",
     "capacity_mw",
 )
 _ask(
@@ -342,13 +342,13 @@ _ask(
     "G11_turbine_sites",
     g.g11_turbine_sites,
     "wind_turbines power_plants",
-    "select turbine_id, turbine_name, plant_name, region, prefecture from wind_turbines join power_plants using (plant_id)",
+    "select turbine_id, turbine_name, plant_name, region, prefecture from wind_turbines left join power_plants using (plant_id)",
 )
 _ask(
     "G12_inverter_grids",
     g.g12_inverter_grids,
     "solar_inverters power_plants island_grids",
-    "select inverter_id, inverter_name, plant_name, grid_name from solar_inverters join power_plants using (plant_id) left join island_grids on grid_id = grid_zone",
+    "select inverter_id, inverter_name, plant_name, grid_name from solar_inverters left join power_plants using (plant_id) left join island_grids on grid_id = grid_zone",
 )
 _ask(
     "G13_vessel_positions",

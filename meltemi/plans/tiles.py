@@ -29,7 +29,7 @@ MAINLAND = "GR-MAIN"
 
 
 def _now(t: Tables, feed: str, key: str, clock: Clock, span: str, cols: Sequence[str]) -> DataFrame:
-    return latest(within(t[feed], clock, span), key, cols=cols, unique_ts=True)
+    return latest(within(t[feed], clock, span), key, cols=cols)
 
 
 def generation_snapshot(t: Tables, clock: Clock) -> DataFrame:
@@ -52,7 +52,7 @@ def e02_renewable_pct(t: Tables, clock: Clock) -> DataFrame:
 
 def e03_mainland_frequency(t: Tables, clock: Clock, mainland=MAINLAND) -> DataFrame:
     rows = within(t["grid"], clock, "2m").where(F.col("grid_id") == mainland)
-    return newest(rows.select("timestamp", "frequency_hz")).select(rounded("frequency_hz", 3).alias("Hz"))
+    return newest(rows.select("timestamp", "frequency_hz"), tiebreak="frequency_hz").select(rounded("frequency_hz", 3).alias("Hz"))
 
 
 def e04_critical_faults(t: Tables, clock: Clock, approximate: bool = False) -> DataFrame:
@@ -161,7 +161,7 @@ def e14_statistical_anomalies(t: Tables, clock: Clock, assets: Sequence | None =
     if assets is not None:
         rows = rows.where(F.col("turbine_id").isin(*assets))
     step = clock.width("bin5s")
-    series = make_series(rows, "turbine_id", step, F.avg("vibration_mm_s"), name="vibration", fill=fill, span=clock.width("20m"))
+    series = make_series(rows, "turbine_id", step, F.avg("vibration_mm_s"), name="vibration", fill=fill)
     out = decompose(series, "turbine_id", step, threshold=threshold, period=period, value="vibration")
     return out.select("turbine_id", "timestamp", "vibration", F.col("anomaly").alias("anomalies"), "score", "baseline")
 
@@ -271,9 +271,9 @@ def e29_solar_layer(t: Tables, clock: Clock) -> DataFrame:
 
 
 def e30_gas_layer(t: Tables, clock: Clock) -> DataFrame:
-    """The emission feed has no coordinates; they come from the plant table."""
+    """The emission feed has no coordinates; they come from the plant table. Plants missing there stay listed without."""
     now = _now(t, "emissions", "plant_id", clock, "2m", ["co2_kg_per_hour"])
-    return now.join(t["power_plants"].select("plant_id", "plant_name", "latitude", "longitude"), "plant_id").select(
+    return now.join(t["power_plants"].select("plant_id", "plant_name", "latitude", "longitude"), "plant_id", "left").select(
         "plant_id", "plant_name", "co2_kg_per_hour", "latitude", "longitude"
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,12 +31,12 @@ def build_session(app: str = "meltemi", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local-mode session
-    without the setting gets a temporary folder of this machine.
+    The cluster names that folder in ``spark.checkpoint.dir``; whoever starts a session by hand names one too.
+    Only a session inside one process (master ``local`` or ``local[...]``) that has no such setting gets a temporary folder of this machine, which all its tasks share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = os.path.join(tempfile.gettempdir(), "meltemi")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -44,19 +44,29 @@ def test_no_gaps_and_counts_kept(spark, seconds):
     assert sum(r.value for r in got) == len(seconds)
 
 
-def test_series_crosses_slices(spark, monkeypatch):
-    monkeypatch.setattr("meltemi.operators.series._SLOTS_PER_SLICE", 2)
-    got = make_series(readings(spark, [(0, 1), (50, 2), (55, 3), (120, 4)]), "k", "5 seconds", F.avg("v"), fill="ffill").orderBy("timestamp").collect()
+def test_series_crosses_slices_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr("meltemi.operators.series._STEPS_PER_BLOCK", 3)
+    got = make_series(readings(spark, [(0, 1), (50, 2), (55, 3), (120, 4)]), "k", "5 seconds", F.avg("v"), fill="ffill", slices=3).orderBy("timestamp").collect()
     assert len(got) == 25 and [r.value for r in got][9:12] == [1, 2, 3] and got[-2].value == 3
 
 
-def test_known_span_gives_the_same_series(spark):
+def test_slices_give_the_same_series(spark):
     df = readings(spark, [(0, 1), (50, 2), (55, 3), (120, 4)]).unionByName(readings(spark, [(7, 1), (33, 2)], "b"))
     for fill in ("default", "linear"):
-        a, b = (make_series(df, "k", "5 seconds", F.avg("v"), fill=fill, span=s) for s in (None, "20 minutes"))
+        a, b = (make_series(df, "k", "5 seconds", F.avg("v"), fill=fill, slices=s) for s in (1, 7))
         assert sorted(a.collect()) == sorted(b.collect())
 
 
+def test_a_long_gap_is_dealt_over_tasks(spark):
+    df = readings(spark, [(0, 1), (2_000_000, 2)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = make_series(df, "k", "5 seconds", F.avg("v")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in got) == 400_001 and max(r["count"] for r in got) < 300_000
+
+
 def test_buckets_drop_rows_without_time(spark):
     df = readings(spark, [(0, 1), (9, 2), (10, 4)]).unionByName(spark.sql("select 'a' as k, cast(null as timestamp) as timestamp, 1.0D as v"))
     got = {r.timestamp.second: (r.n, r.s) for r in bucketed(df, "10 seconds", {"n": F.count("*"), "s": F.sum("v")}).collect()}
@@ -136,6 +146,14 @@ def test_spectral_residual_in_stretches_keeps_every_row_once(spark):
     assert {("a", 100), ("a", 450), ("b", 30)} <= flagged
 
 
+def test_results_do_not_depend_on_the_cut(spark):
+    s = series(spark, _spiky(1445, (100, 199, 200, 450, 1440)))
+    runs = [sorted((r.timestamp, round(r.baseline, 9), round(r.score, 6), r.anomaly) for r in spectral_residual(s, "k", "5 seconds", core=core).collect()) for core in (90, 200, 1440, 2000)]
+    assert len(runs[0]) == 1445 and all(run == runs[0] for run in runs[1:])
+    # Also where the last stretch has only a few points: the season is known from the ones before.
+    assert max(b for _, b, _, _ in runs[0][-5:]) - min(b for _, b, _, _ in runs[0][-5:]) > 0.3
+
+
 def test_detector_settings(spark):
     assert SpectralResidual(confidence=75).min_score == 3.0
     assert SpectralResidual(threshold=1.5).min_score == 1.5

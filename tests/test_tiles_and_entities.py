@@ -188,6 +188,15 @@ def test_subgraph_of_a_seed(spark, static):
     assert all_nodes.where("type = 'Grid'").count() == 5
 
 
+def test_hops_add_a_constant_to_the_plan(spark, static):
+    seed = spark.createDataFrame([("PowerPlant", "PP-NAX-01")], "type string, id string")
+    sizes = []
+    for hops in range(1, 6):
+        nodes, _ = graph.subgraph(static, ONTOLOGY, ["belongs_to_plant", "fed_by_plant", "supplies_plant"], seeds=seed, hops=hops)
+        sizes.append(len(nodes._jdf.queryExecution().executedPlan().toString().splitlines()))
+    assert len(set(sizes)) == 1
+
+
 def test_entity_view_keeps_silent_assets_and_renames(spark, clock):
     t = tables(spark, vessel_positions=[{"vessel_id": "VE-SVC-01", "ago": 3, "cargo_status": "On station"}, {"vessel_id": "VE-SVC-01", "ago": 300, "cargo_status": "Loaded"}, {"vessel_id": "VE-LNG-01", "ago": 4000, "cargo_status": "Loaded"}])
     now = {r.vessel_id: r.live_status for r in entity_view(t, ENTITIES["Vessel"], clock=clock, span="2m").collect()}
@@ -196,9 +205,7 @@ def test_entity_view_keeps_silent_assets_and_renames(spark, clock):
     assert ever["VE-LNG-01"] == "Loaded"
 
 
-@pytest.mark.parametrize("few", [0, 500_000])
-def test_recent_events_first_gives_the_same_view(spark, clock, monkeypatch, few):
-    monkeypatch.setattr("meltemi.operators.entities.BROADCAST_KEYS", few)
+def test_recent_events_first_gives_the_same_view(spark, clock):
     rows = [wind("WT-NAX-01", 5, power_mw=1.0), wind("WT-NAX-01", 5000, power_mw=2.0), wind("WT-NAX-02", 7200, power_mw=3.0), wind("WT-NAX-02", 9000, power_mw=4.0), wind("WT-UNKNOWN", 9000, power_mw=9.0)]
     t = tables(spark, wind=rows)
     cols = ["turbine_id", "live_power_mw"]
@@ -207,10 +214,11 @@ def test_recent_events_first_gives_the_same_view(spark, clock, monkeypatch, few)
     assert whole == parts and ("WT-NAX-02", 3.0) in parts and len(parts) == 20
 
 
-def test_older_events_stay_unread_when_all_reported(spark, clock):
+def test_older_events_are_read_for_missing_keys_only(spark, clock):
     t = tables(spark, vessel_positions=[{"vessel_id": v, "ago": 3, "cargo_status": "Loaded"} for v in ("VE-LNG-01", "VE-LNG-02", "VE-SVC-01")])
-    plan = entity_view(t, ENTITIES["Vessel"], clock=clock, recent="1 hour")._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftSemi" not in plan and "Union" not in plan
+    view = entity_view(t, ENTITIES["Vessel"], clock=clock, recent="1 hour")
+    assert "LeftSemi" in view._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.live_status for r in view.where("live_status is not null").collect()} == {"Loaded"}
 
 
 def test_ledger_rollup_matches_the_seed(static):
