@@ -43,14 +43,9 @@ def _user_lon() -> Column:
     return F.lit(20.0) + F.col("user_id") % 100 / F.lit(10.0)
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table; its schema is read from the files once per process, which spares a job per query."""
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A parquet table as it is now: a rewritten one is read with its new schema."""
+    return spark.read.parquet(path)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

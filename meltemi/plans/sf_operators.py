@@ -60,13 +60,22 @@ _TOTALS = " union all ".join(
     for view, col in (("wind", "vibration_mm_s"), ("solar", "irradiance_wm2"), ("pos", "speed_knots"), ("gas", "cumulative_co2_tonnes_today"), ("grid", "voltage_kv"))
 )
 add("A02_route_by_discriminator", _routed_totals, "wind solar pos gas grid", _TOTALS, "total")
+_CHANNELS = {"wind": ("wind", "vibration_mm_s"), "solar": ("solar", "irradiance_wm2"), "vessel_positions": ("pos", "speed_knots"), "emissions": ("gas", "cumulative_co2_tonnes_today"), "grid": ("grid", "voltage_kv")}
 add(
     "A01_json_events",
-    lambda t, c: wire.parsed_feed(wire_of({"wind": t["wind"]}), FEEDS["wind"]).select(
-        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "turbine_id", "power_mw", "wind_speed_ms", "vibration_mm_s", "fault_type"
+    # All five feeds, each through its own JSON text and schema.
+    lambda t, c: reduce(
+        DataFrame.unionByName,
+        [
+            wire.parsed_feed(wire_of({name: t[name]}), FEEDS[name]).select(
+                "stream_type", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.col(FEEDS[name].key).alias("asset"), F.col(channel).cast("double").alias("reading")
+            )
+            for name, (_, channel) in _CHANNELS.items()
+        ],
     ),
-    "wind",
-    "select timestamp, turbine_id::varchar as turbine_id, power_mw, wind_speed_ms, vibration_mm_s, fault_type from wind",
+    "wind solar pos gas grid",
+    " union all ".join(f"select stream_type, timestamp, {FEEDS[n].key}::varchar as asset, {col}::double as reading from {view}" for n, (view, col) in _CHANNELS.items()),
+    "reading",
 )
 add(
     "A03_schema_on_write",
@@ -91,26 +100,38 @@ add(
 )
 
 
-def _csv_round_trip(t: SfTables, c: Clock) -> DataFrame:
-    """Orders written as CSV, then loaded through the typed reader and its overwriting table write."""
+def _csv_round_trip(t: SfTables, tables: list[str]) -> dict[str, DataFrame]:
+    """Tables written as CSV, then loaded through the typed reader and its overwriting table write."""
     spark = t.spark
     base = shared_dir(spark, "reference")
-    schemas = {"maintenance_orders": REFERENCE["maintenance_orders"]}
-    wanted = [f.name for f in schemas["maintenance_orders"]]
-    rows = t["maintenance_orders"]
-    filled = rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in wanted])
-    filled.write.csv(f"{base}/csv/maintenance_orders.csv", header=True)
+    schemas = {name: REFERENCE[name] for name in tables}
+    for name, schema in schemas.items():
+        rows = t[name]
+        filled = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast("string").alias(f.name) for f in schema])
+        filled.write.csv(f"{base}/csv/{name}.csv", header=True)
     reference.load_reference(spark, f"{base}/csv", f"{base}/tables", schemas=schemas)
-    return spark.read.parquet(f"{base}/tables/maintenance_orders").select("order_id", "priority", "status", "asset_id", "plant_id", "created_date", "completed_date", "cost_eur")
+    return {name: spark.read.schema(schema).parquet(f"{base}/tables/{name}") for name, schema in schemas.items()}
 
 
 add(
     "A05_reference_csv",
-    _csv_round_trip,
+    lambda t, c: _csv_round_trip(t, ["maintenance_orders"])["maintenance_orders"].select(
+        "order_id", "priority", "status", "asset_id", "plant_id", "created_date", "completed_date", "cost_eur"
+    ),
     "maintenance_orders",
     """select order_id::varchar as order_id, priority, status, asset_id::varchar as asset_id, plant_id::varchar as plant_id,
        created_date::timestamp as created_date, completed_date::timestamp as completed_date, cost_eur from maintenance_orders""",
 )
+add(
+    "A05_all_reference_tables",
+    # Every row of all eight tables by its key, which is each table's first column.
+    lambda t, c: reduce(
+        DataFrame.unionByName,
+        [df.select(F.lit(name).alias("reference"), F.col(REFERENCE[name][0].name).alias("key")) for name, df in _csv_round_trip(t, list(REFERENCE)).items()],
+    ),
+    " ".join(REFERENCE),
+    " union all ".join(f"select '{name}' as reference, {schema[0].name}::varchar as key from {name}" for name, schema in REFERENCE.items()),
+)
 add(
     "A06_schema_merge",
     lambda t, c: wire.merged(
@@ -776,7 +797,7 @@ select vessel_id, event_id, timestamp from (select *, lag(near) over (partition
 add(
     "F11_time_to_go",
     lambda t, c: tracks.time_to_go(t["vessel_positions"].select("event_id", "vessel_id", "latitude", "longitude", "speed_knots"), t["route_legs"]).select(
-        "event_id", "vessel_id", "leg_no", "remaining_nm", "eta_h"
+        "event_id", "vessel_id", F.col("leg_no").cast("double").alias("leg_no"), "remaining_nm", "eta_h"
     ),
     "pos route_legs",
     f"""with lg as (select vessel_id, leg_no, lat, lon, lead(lat) over w as to_lat, lead(lon) over w as to_lon from route_legs window w as (partition by vessel_id order by leg_no)),
@@ -787,7 +808,7 @@ add(
           {distance('latitude', 'longitude', 'to_lat', 'to_lon')} + after_nm as left_nm from pos left join sf using (vessel_id)),
     f as (select *, row_number() over (partition by event_id order by detour, leg_no) as rn from o)
 --
-select event_id, vessel_id, leg_no, left_nm as remaining_nm, case when speed_knots > 0 then left_nm / speed_knots when left_nm is not null then 0.0 end as eta_h from f where rn = 1""",
+select event_id, vessel_id, leg_no::double as leg_no, left_nm as remaining_nm, case when speed_knots > 0 then left_nm / speed_knots when left_nm is not null then 0.0 end as eta_h from f where rn = 1""",
     "remaining_nm,eta_h",
 )
 

@@ -22,10 +22,10 @@ from meltemi.streaming.alerts import ChangeAlerts, dispatch_sink
 def stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, bound like the batch table; event time gets a zone so that watermarks accept it.
 
-    The pattern admits a single file as well as a folder of files.
+    The pattern matches this one name, whether it is a file or a folder of files.
     """
     schema = sf.read_table(spark, f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("timestamp"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k")
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meltemi.functions.clock import Clock, within
 
@@ -21,9 +22,11 @@ def append(df: DataFrame, path: str, *, ts: str = "timestamp", fmt: str = "parqu
     with_day(df, ts).write.mode("append").format(fmt).partitionBy(DAY).save(path)
 
 
-def read_events(spark: SparkSession, path: str, *, fmt: str = "parquet") -> DataFrame:
-    """The table with columns of all its files merged."""
+def read_events(spark: SparkSession, path: str, *, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """The table with the columns of ``schema``, which spares looking into every file; without one, columns of all files are merged."""
     reader = spark.read.format(fmt)
+    if schema is not None:
+        return reader.schema(schema).load(path)
     return (reader.option("mergeSchema", "true") if fmt == "parquet" else reader).load(path)
 
 
