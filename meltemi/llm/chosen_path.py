@@ -27,7 +27,7 @@ class Paths:
     tokens: int = 64
     small: int = 48
     deeper: int = 2
-    levels: int = 6
+    levels: int = 3
     slack: float = 0.27
     seed: int = 11
 
@@ -204,7 +204,6 @@ def near_duplicates(
     sets = settled(own.groupBy("set_id").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "distinct")
     rows = sets.select("set_id", "sketch", "n_shingles", F.col("set_id").alias("component"), F.explode("roots").alias("node"))
     links: DataFrame | None = None
-    labels: DataFrame | None = None
     for level in range(paths.levels + 1):
         members = settled(_members(rows), "nodes")
         last = level == paths.levels
@@ -212,14 +211,16 @@ def near_duplicates(
         new = None if pairs.isEmpty() else settled(_confirmed(pairs, docs, sets, key=key, text=text, size=size, threshold=threshold), "confirmed")
         if new is not None and not new.isEmpty():
             links = new if links is None else new.unionByName(links)
-            labels = settled(components(links), "labels")
         if last or members.where((F.col("size") > paths.small) & (F.col("outside") > paths.small)).isEmpty():
             break
         rows = _children(members, level, paths)
-        if labels is not None:
+        if links is not None:
+            # Only to spare pairs that are connected already: a few rounds do.
+            labels = settled(components(links, rounds=2), "labels")
             rows = rows.drop("component").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = sets.select("set_id", "rep")
-    if labels is not None:
+    if links is not None:
+        labels = components(links)
         named = named.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         least = named.groupBy("component").agg(F.min("rep").alias("least"))
         named = named.join(least, "component").select("set_id", F.col("least").alias("component_id"))

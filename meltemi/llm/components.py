@@ -21,26 +21,30 @@ def _stars(edges: DataFrame, *, small: bool) -> DataFrame:
         moved = joined.select(F.col("b").alias("x"), F.col("m")).unionByName(least.select(F.col("_n").alias("x"), "m"))
     else:
         moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("x"), F.col("m"))
-    return moved.where(F.col("x") > F.col("m")).select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+    return moved.where(F.col("x") > F.col("m")).select(F.col("x").alias("a"), F.col("m").alias("b"))
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, *, rounds: int | None = None) -> DataFrame:
     """Rows (``node``, ``component``) of every node that has a link in (``a``, ``b``): the smallest node reachable.
 
-    Rounds grow with the logarithm of the links. Each is written to the shared folder; only a count and a checksum come to the driver.
+    Rounds grow with the logarithm of the links. Each is written to the shared folder; only a count and a checksum come to the driver. With a number of ``rounds`` it stops
+    there: nodes of one component may then still have several, never nodes of two components the same one.
     """
     start = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     edges = settled(start, "links")
-    last = _state(edges)
-    while True:
-        edges = settled(_stars(_stars(edges, small=False), small=True), "stars")
-        now = _state(edges)
-        if now == last:
+    last, done = None, 0
+    while rounds is None or done < rounds:
+        edges = settled(_stars(_stars(edges, small=False), small=True).distinct(), "stars")
+        done += 1
+        now = _state(edges) if rounds is None else None
+        if now is not None and now == last:
             break
         last = now
-    roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    # A node may still have several smaller neighbours when rounds ran out.
+    named = edges.groupBy("a").agg(F.min("b").alias("b"))
+    roots = named.select(F.col("b").alias("node")).distinct().join(named.select(F.col("a").alias("node")), "node", "left_anti")
+    return named.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
