@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from meltemi.session import settled
 
-__all__ = ["REGISTRY_BYTES", "bounded_broadcast", "crc_bucket", "map_columns", "sliced", "settled"]
+__all__ = ["REGISTRY_BYTES", "bounded_broadcast", "crc_bucket", "first_by_hash", "map_columns", "sliced", "settled"]
 
 #: Most bytes of model or query data that an operator hands to every executor.
 REGISTRY_BYTES = 64 << 20
@@ -24,6 +24,12 @@ def crc_bucket(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
 
 
+def first_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows with the ``n`` keys that come first by a hash: a bounded sample. Only keys are sorted, and at most n of them are broadcast."""
+    keys = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(n).distinct()
+    return df.join(F.broadcast(keys), key, "left_semi")
+
+
 def sliced(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about ``max_bytes`` of the given text column; a longer single row is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meltemi.llm.frames import bounded_broadcast, map_columns
+from meltemi.llm.frames import bounded_broadcast, first_by_hash, map_columns
 
 BITS = 17
 ORDERS = (3, 4, 5)
@@ -178,9 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), *, key: st
     share = {r["_y"]: r["n"] for r in named.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     prior = float(np.log((share.get(1, 0) + 0.5) / (share.get(0, 0) + 0.5)))
     short = docs.select(F.col(key), F.col(text)).where(F.col(text).isNotNull() & (F.octet_length(text) <= s.most_bytes))
-    ranked = short.join(named, key).select(key, text, "_y")
-    first = [ranked.where(F.col("_y") == y).orderBy(F.xxhash64(key), key).limit(n).select(text, "_y") for y, n in ((1, s.positives), (0, s.negatives))]
-    got = map_columns(first[0].unionByName(first[1]), "ids array<int>, w array<float>, y int", lambda t, y: [*_bags(t), y], text=text).toArrow()
+    judged = short.select(key).join(named, key)
+    wanted = [first_by_hash(judged.where(F.col("_y") == y), key, n) for y, n in ((1, s.positives), (0, s.negatives))]
+    rows = short.join(F.broadcast(wanted[0].unionByName(wanted[1]).distinct()), key).select(text, "_y")
+    got = map_columns(rows, "ids array<int>, w array<float>, y int", lambda t, y: [*_bags(t), y], text=text).toArrow()
     bags = [(np.asarray(a.values), np.asarray(b.values)) for a, b in zip(got.column("ids"), got.column("w"))] if got.num_rows else []
     return train(bags, got.column("y").to_numpy(), s, prior)
 
