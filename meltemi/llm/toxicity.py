@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from meltemi.llm.frames import bounded_broadcast, first_by_hash, map_columns
 
 BITS = 17
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6)
 BLANK = np.uint32(32)
 
 
@@ -127,42 +127,42 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
     rng = np.random.default_rng(s.seed)
     seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=1 << BITS)
     used = np.flatnonzero(seen >= s.seen_in)
-    bags = [(b[k], w[k]) for b, w in bags for k in [seen[b] >= s.seen_in]]
     slot = np.zeros(1 << BITS, np.int64)
     slot[used] = np.arange(len(used))
     gain = 30.0  # averages of many words are small numbers
+    bags = [(slot[b[k]], w[k] * np.float32(gain)) for b, w in bags for k in [seen[b] >= s.seen_in]]
     emb = rng.normal(0, 0.05, (len(used), s.width)).astype(np.float32)
     out = rng.normal(0, 0.3, (s.width, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
-    step = 0
-    epochs = max(s.epochs, s.least_steps * s.batch // len(y))
+    params = (emb, out, bias)
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    step, epochs = 0, max(s.epochs, s.least_steps * s.batch // len(y))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         rate = s.rate * (1 - epoch / epochs)
         for a in range(0, len(y), s.batch):
             rows = order[a : a + s.batch]
-            ids = slot[np.concatenate([bags[i][0] for i in rows])]
-            w = np.concatenate([bags[i][1] for i in rows]) * gain
-            of = np.repeat(np.arange(len(rows)), [len(bags[i][0]) for i in rows])
-            vec = emb[ids] * w[:, None]
-            h = np.stack([np.bincount(of, weights=vec[:, k], minlength=len(rows)) for k in range(s.width)], axis=1).astype(np.float32)
+            sizes = np.array([len(bags[i][0]) for i in rows])
+            ids = np.concatenate([bags[i][0] for i in rows])
+            w = np.concatenate([bags[i][1] for i in rows])
+            of = np.repeat(np.arange(len(rows)), sizes)
+            h = np.zeros((len(rows), s.width), np.float32)
+            filled = np.flatnonzero(sizes)
+            if len(filled):
+                h[filled] = np.add.reduceat(emb[ids] * w[:, None], (np.cumsum(sizes) - sizes)[filled], axis=0)
             z = h @ out + bias
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
+            p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
             p /= len(rows)
-            back = (p @ out.T)[of] * w[:, None]
-            touched, inverse = np.unique(ids, return_inverse=True)
-            g = np.stack([np.bincount(inverse, weights=back[:, k], minlength=len(touched)) for k in range(s.width)], axis=1).astype(np.float32)
+            back = (p @ out.T).T
+            g = np.stack([np.bincount(ids, weights=back[k][of] * w, minlength=len(used)) for k in range(s.width)], axis=1).astype(np.float32)
             step += 1
-            for k, (param, grad, at) in enumerate(((emb, g, touched), (out, h.T @ p, slice(None)), (bias, p.sum(axis=0), slice(None)))):
-                m, v = state[k]
-                grad = grad + s.decay * param[at]
-                m[at] = 0.9 * m[at] + 0.1 * grad
-                v[at] = 0.99 * v[at] + 0.01 * grad * grad
-                param[at] -= rate * m[at] / (1 - 0.9**min(step, 1000)) / (np.sqrt(v[at] / (1 - 0.99**min(step, 2000))) + 1e-6)
+            for param, grad, (m, v) in zip(params, (g, h.T @ p, p.sum(axis=0)), state):
+                grad += np.float32(s.decay) * param
+                m += np.float32(0.1) * (grad - m)
+                v += np.float32(0.01) * (grad * grad - v)
+                param -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-6))
     odds = np.zeros(1 << BITS, np.float32)
     odds[used] = gain * (emb @ (out[:, 1] - out[:, 0]))
     sampled = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
