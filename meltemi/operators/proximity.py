@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from meltemi.functions.geo import distance_nm, lat_reach_deg, lon_reach_deg
 
 SALTS = 8
-# Rings widen until the last one covers the globe, so every point finds its partner.
-RINGS_NM = (60.0, 600.0, 10_900.0)
+# Half the way around the globe: nothing is farther.
+GLOBE_NM = 10_900.0
+RINGS_NM = (60.0, 600.0)
 
 
 # Keeps a point exactly on the rim inside the box when degrees are rounded.
@@ -101,7 +102,7 @@ def nearest(
     """left_id, right_id, distance of the nearest right row for every left row; equal distances go to the lowest id.
 
     Rows at the same spot share an answer, so both sides are first reduced to distinct
-    positions. Rings are tried from small to large; a position leaves once it has a partner, which makes
+    positions. Rings are tried from small to large, the whole globe always last, so no position stays without one; a position leaves once it has a partner, which makes
     the result exact: nothing outside a ring is nearer than something inside it.
     """
     (la, lo), (ra, ro) = left_at, right_at
@@ -109,12 +110,13 @@ def nearest(
     targets = right.where(F.col(ra).isNotNull() & F.col(ro).isNotNull()).groupBy(ra, ro).agg(F.min(right_id).alias(right_id))
     found: DataFrame | None = None
     open_spots = spots
-    for i, ring in enumerate(rings_nm):
+    rings = [*[x for x in rings_nm if x < GLOBE_NM], GLOBE_NM]
+    for i, ring in enumerate(rings):
         pairs = within_radius(open_spots, targets, ring, left_at=left_at, right_at=right_at, name=name)
         best = pairs.groupBy(la, lo).agg(F.min(F.struct(F.col(name), F.col(right_id))).alias("_b"))
         best = best.select(la, lo, F.col(f"_b.{right_id}").alias(right_id), F.col(f"_b.{name}").alias(name))
         found = best if found is None else found.unionByName(best)
-        if i + 1 < len(rings_nm):
+        if i + 1 < len(rings):
             open_spots = open_spots.join(best.select(la, lo), [la, lo], "left_anti")
     assert found is not None
     return left.select(left_id, la, lo).join(found, [la, lo]).select(left_id, right_id, name)

@@ -122,6 +122,33 @@ def _alerts(t: SfTables, c: Clock) -> DataFrame:
 add("F05_stream_alerts", _alerts, "ev", CHANGES_SQL)
 
 
+def _condition_alerts(t: SfTables, condition: Column) -> DataFrame:
+    """Events at which a condition on a turbine's reading turns true, over the stream."""
+    base = shared_dir(t.spark, "conditions")
+    job = ChangeAlerts(f"{base}/state", "turbine_id", condition, tiebreak=["event_id"], delay="1 hour")
+    wind = sf.wind(stream_of_events(t.spark, t.sf_dir)).select("event_id", "timestamp", "turbine_id", "vibration_mm_s", "power_mw")
+    query = job.start(wind, f"{base}/checkpoint", available_now=True)
+    query.awaitTermination()
+    job.finish(t.spark, query)
+    return job.alerts(t.spark)
+
+
+add(
+    "F06_stream_threshold",
+    lambda t, c: _condition_alerts(t, F.col("vibration_mm_s") > 7.0).select("event_id", "turbine_id", "vibration_mm_s"),
+    "wind",
+    """select event_id, turbine_id, vibration_mm_s from (select *, lag(vibration_mm_s) over (partition by turbine_id order by timestamp, event_id) as prev from wind)
+       where vibration_mm_s > 7 and prev <= 7""",
+)
+add(
+    "F06_stream_becomes_zero",
+    lambda t, c: _condition_alerts(t, F.col("power_mw") == 0).select("event_id", "turbine_id"),
+    "wind",
+    """select event_id, turbine_id from (select *, lag(power_mw) over (partition by turbine_id order by timestamp, event_id) as prev from wind)
+       where power_mw = 0 and prev <> 0""",
+)
+
+
 def _dispatch(t: SfTables, c: Clock) -> DataFrame:
     base = shared_dir(t.spark, "dispatch")
 
