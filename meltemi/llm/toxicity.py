@@ -21,8 +21,8 @@ BLANK = np.uint32(32)
 class Settings:
     """The bounded sample that the model is fitted on, and how. At most ``positives + negatives`` texts of at most ``most_bytes`` each reach the driver."""
 
-    positives: int = 2000
-    negatives: int = 3000
+    positives: int = 1500
+    negatives: int = 2500
     most_bytes: int = 8_192
     width: int = 8
     epochs: int = 16
@@ -127,7 +127,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
     rng = np.random.default_rng(s.seed)
     seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=1 << BITS)
     used = np.flatnonzero(seen >= s.seen_in)
-    slot = np.zeros(1 << BITS, np.int64)
+    slot = np.zeros(1 << BITS, np.int32)
     slot[used] = np.arange(len(used))
     gain = 30.0  # averages of many words are small numbers
     bags = [(slot[b[k]], w[k] * np.float32(gain)) for b, w in bags for k in [seen[b] >= s.seen_in]]
