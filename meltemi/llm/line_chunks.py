@@ -55,22 +55,23 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     copies and the other one row.
     """
     columns = docs.columns
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_print"))
-    lined = with_lines(named.select("_key", "_print", "_text"), "_text")
+    # The text travels once: inside the row.
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_print"))
+    lined = with_lines(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text")), "_text")
     place = F.struct("_key", "_print", "chunk")
     told = F.xxhash64("body").alias("h1"), F.hash("body").alias("h2")
-    every = chunks(lined, "_key", "_print").withColumn("place", place)
-    marks = every.select(*told, "place").groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    every = chunks(lined, "_key", "_print")
+    marks = every.select(*told, place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     repeated = marks.where("first != last").select("h1", "h2", "first")
     # Bodies of repeated chunks only: the first one's beside each later one's.
     met = every.select("*", *told).join(repeated, ["h1", "h2"])
-    firsts = met.where("place = first").select("h1", "h2", F.col("body").alias("first_body")).dropDuplicates(["h1", "h2"])
-    later = met.where("place != first").join(firsts, ["h1", "h2"]).where(F.col("body") == F.col("first_body"))
+    firsts = met.where(place == F.col("first")).select("h1", "h2", F.col("body").alias("first_body")).dropDuplicates(["h1", "h2"])
+    later = met.where(place != F.col("first")).join(firsts, ["h1", "h2"]).where(F.col("body") == F.col("first_body"))
     gone = later.select("_key", "_print", "chunk").groupBy("_key", "_print").agg(F.collect_set("chunk").alias("_gone"))
     joined = named.join(
         gone.select(F.col("_key").alias("_k"), F.col("_print").alias("_p"), "_gone"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_print") == F.col("_p")), "left"
     )
-    again = with_lines(joined.select("_row", "_text", F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone")), "_text")
+    again = with_lines(joined.select("_row", F.col("_row").getField(text).alias("_text"), F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone")), "_text")
     spans = again.withColumn("_spans", F.filter(F.arrays_zip(_starts().alias("s"), F.col("_ends").alias("e")), lambda x, k: ~F.array_contains("_gone", k)))
     kept = F.flatten(F.transform("_spans", lambda x: F.slice("_lines", x["s"] + 1, x["e"] - x["s"] + 1)))
     n_lines = F.coalesce(F.size("_lines"), F.lit(0))
