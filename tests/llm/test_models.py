@@ -159,3 +159,26 @@ def test_model_beats_chance_on_held_out_text(documents):
     r = attention_lm.score(held, train, SOURCE, s).agg(F.sum("score").alias("s"), F.sum(F.octet_length(F.lit("x")) * F.col("n_tokens")).alias("n")).first()
     # Far below one of 1,024 symbols a subword, at 2.5 to 4 subwords a word.
     assert -r.s / r.n < 6.5
+
+
+def test_every_training_text_moves_the_model(spark):
+    """Texts beyond the start's sample and its bytes: the model learns their words and how they follow each other."""
+    rng = random.Random(8)
+    short = [(i, spoken(rng, 30)) for i in range(20)]
+    phrase = "quixotic zephyrs jumped over vexing lakes "
+    docs = spark.createDataFrame([(1, phrase * 3)], "doc_id long, text string")
+    s = attention_lm.Settings(steps=20, texts=20)
+    got = []
+    for long in ([spoken(rng, 3000) for _ in range(20)], [phrase * 400 for _ in range(20)]):
+        assert all(len(t) > s.most_bytes for t in long)
+        train = spark.createDataFrame(short + [(100 + i, t) for i, t in enumerate(long)], "doc_id long, text string").repartition(3)
+        got.append(attention_lm.score(docs, train, SOURCE, s).first().score)
+    assert got[1] > 0.5 * got[0]
+
+
+def test_kept_entries_come_from_all_words(spark):
+    train = spark.createDataFrame([(1, "The the"), (2, None), (3, ""), (4, "the cat")], "doc_id long, text string")
+    words = {r.word: r.n for r in attention_lm.word_counts(train.repartition(2)).collect()}
+    assert {bytes(w): n for w, n in words.items()} == {b"the": 3, b"cat": 1, b"": 3}
+    counts = attention_lm.subword_counts(attention_lm.word_counts(train), [b"the "])
+    assert counts[256] == 3 and counts[ord("c")] == 1 and counts[ord(" ")] == 1 and counts[-1] == 3 and counts.sum() == 10
