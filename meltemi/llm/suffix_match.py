@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -11,11 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltemi.llm.frames import bounded_broadcast, map_columns
+from meltemi.llm.frames import bounded_broadcast, map_columns, settled
 from meltemi.llm.words import Words
 
-#: Bytes of benchmark text that a task holds at a time; more come as further blocks, each searched in turn.
+#: Bytes of benchmark texts and ids that the driver reads at a time; more are read as further blocks.
 BLOCK_BYTES = 8 << 20
+#: Suffixes that go out together, some 25 MB with their windows: a block is cut into such pieces, inside an item too.
+PIECE = 1 << 17
+#: Pieces that a Python worker keeps; of more, each is read again from the executor's disk for every shard.
+HELD = 4
+#: Suffixes that are looked up at once.
+LOOKED_UP = 1 << 15
+#: Ids that stand beside one text; of more, the text is listed several times.
+IDS = 100_000
 #: Words of a suffix that the arrays put in order: beyond any window, and as far as a longest match is followed.
 DEPTH = 81
 
@@ -115,50 +123,82 @@ class SuffixArray:
 
 @dataclass(frozen=True)
 class TestBlock:
-    """Benchmark suffixes: per distinct window its fingerprints, and the items that contain it."""
+    """Benchmark suffixes: per distinct window its fingerprints, and the texts that contain it. Equal texts are one, with the ids of its items."""
 
-    names: list[str | None]
+    names: list[list[str | None]]  # ids of the items with each text
     prints: np.ndarray  # of all words of the block
     starts: np.ndarray  # of each suffix among them
     lengths: np.ndarray  # words of the suffix, to the end of its item or DEPTH
-    items: np.ndarray  # number of each suffix's item
+    items: np.ndarray  # number of each suffix's text
+    words: np.ndarray  # number of each suffix's first word in its text
+    sizes: np.ndarray  # words of a window of each suffix's text
     windows: np.ndarray  # suffix that stands for each window
     window_words: np.ndarray  # words of the window
-    window_items: list[set[str]]  # ids of the items with each window
+    window_items: list[set[int]]  # numbers of the texts with each window
 
+    def ids(self, windows: set[int]) -> set[str]:
+        """Ids of the items with any of the windows; an id that is null is not listed."""
+        return {x for i in set().union(*(self.window_items[w] for w in windows)) for x in self.names[i] if x is not None}
 
-def test_block(names: Sequence[Any], texts: Sequence[str | None], window: int) -> TestBlock:
-    """The suffixes and windows of some items. An item of fewer words, but not none, is one window."""
+
+def test_blocks(names: Sequence[Sequence[Any]], texts: Sequence[str | None], window: int) -> Iterator[TestBlock]:
+    """The suffixes and windows of some texts, at most PIECE suffixes a block. A text of fewer words than a window, but not none, is one window."""
     words = Words(pa.array(texts, pa.string()))
     per = words.counts
     item = words.text_of()
-    left = words.first[1:][item] - np.arange(len(item))
+    word = np.arange(len(item)) - words.first[:-1][item]
+    left = per[item] - word
     size = np.minimum(per[item], window)
-    holds = left >= size
-    at = np.flatnonzero(holds)
-    wide = np.zeros((len(at), window), np.uint64)
-    for k in range(window):
-        inside = k < size[at]
-        wide[inside, k] = words.prints[at[inside] + k]
-    _, one, of = np.unique(wide, axis=0, return_index=True, return_inverse=True) if len(at) else (None, np.zeros(0, int), np.zeros(0, int))
-    ids = [None if x is None else str(x) for x in names]
-    having: list[set[str]] = [set() for _ in one]
-    for w, i in zip(of.ravel().tolist(), item[at].tolist()):
-        if ids[i] is not None:
-            having[w].add(ids[i])
-    return TestBlock(ids, words.prints, np.arange(len(item)), np.minimum(left, DEPTH), item, at[one], size[at[one]], having)
-
-
-def blocks(bench: DataFrame, *, key: str, text: str, window: int) -> list[TestBlock]:
-    """The benchmark in blocks of bounded bytes. Its items are the query set: they are read on the driver block by block, never all documents."""
+    ids = [[None if x is None else str(x) for x in some] for some in names]
+    for a in range(0, len(item), PIECE):
+        own = slice(a, a + PIECE)
+        # What the last suffixes reach beyond the piece comes with it.
+        prints = words.prints[a : a + PIECE + max(DEPTH, window)]
+        first, n = int(item[a]), len(item[own])
+        holds = np.flatnonzero(left[own] >= size[own])
+        width = size[own][holds]
+        wide = np.zeros((len(holds), window), np.uint64)
+        for k in range(window):
+            inside = k < width
+            wide[inside, k] = prints[holds[inside] + k]
+        _, one, of = np.unique(wide, axis=0, return_index=True, return_inverse=True) if len(holds) else (None, np.zeros(0, int), np.zeros(0, int))
+        having: list[set[int]] = [set() for _ in one]
+        for w, i in zip(of.ravel().tolist(), (item[own][holds] - first).tolist()):
+            having[w].add(i)
+        yield TestBlock(
+            ids[first : int(item[own][-1]) + 1], prints, np.arange(n), np.minimum(left[own], DEPTH), item[own] - first, word[own], size[own], holds[one], width[one], having
+        )
+
+
+def blocks(bench: DataFrame, *, key: str, text: str, window: int) -> Iterator[TestBlock]:
+    """The benchmark in blocks of bounded size, whatever its own. Its items are the query set: they are read on the driver block by block, never all documents.
+
+    Equal texts are read and searched once, with the ids of their items; many ids of one text are dealt over several rows by a hash.
+    """
     rows = bench.select(F.col(key).cast("string").alias("name"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = -(-size // BLOCK_BYTES)
-    out = []
+    salt = -(-rows.count() // IDS) or 1
+    # An array around each id, as null ids would be left out.
+    listed = F.flatten(F.collect_list(F.array("name"))).alias("names")
+    grouped = rows.groupBy("text", F.pmod(F.xxhash64("name"), F.lit(salt)).alias("salt")).agg(listed)
+    bytes_ = F.octet_length("text") + F.octet_length(F.concat_ws(" ", "names")) + 16 * F.size("names")
+    n = -(-(grouped.agg(F.sum(bytes_).alias("n")).first()["n"] or 0) // BLOCK_BYTES)
+    if n > 1:
+        grouped = settled(grouped, "benchmark")
     for k in range(n):
-        got = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).toArrow().sort_by("name")
-        out.append(test_block(got.column("name").to_pylist(), got.column("text").to_pylist(), window))
-    return out
+        got = grouped.where(F.pmod(F.xxhash64("text", "salt"), F.lit(n)) == k).select("text", "names").toArrow().sort_by("text")
+        yield from test_blocks(got.column("names").to_pylist(), got.column("text").to_pylist(), window)
+
+
+def _sent(docs: DataFrame, bench: DataFrame, item: str, window: int) -> list[Any]:
+    return [bounded_broadcast(docs.sparkSession, block, _bytes(block), "a benchmark block") for block in blocks(bench, key=item, text="text", window=window)]
+
+
+def _each(sent: list[Any]) -> Iterator[TestBlock]:
+    """The blocks one after the other; of many, a worker holds one at a time."""
+    for shared in sent:
+        yield shared.value
+        if len(sent) > HELD and getattr(shared, "_path", None):
+            shared.__dict__.pop("_value", None)
 
 
 @dataclass
@@ -174,24 +214,30 @@ class Hits:
 def search_shard(array: SuffixArray, block: TestBlock) -> Hits:
     """Searches every suffix of the block in a shard's array: longest verbatim match, and all occurrences of every window."""
     ranks = np.append(array.ranks(block.prints), np.full(DEPTH, -1))
-    rows = ranks[block.starts[:, None] + np.arange(DEPTH)] if len(block.starts) else np.zeros((0, DEPTH), np.int64)
-    n = len(array.order)
-    longest, where = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-    if not n or not array.n_words or not len(rows):
-        return Hits(np.zeros(0, int), np.zeros(0, int), longest, where)
-    # The longest match is beside the place where the suffix would stand. A word that the shard lacks ends it.
-    known = np.where((rows == -1).any(axis=1), (rows == -1).argmax(axis=1), DEPTH)
-    lengths = np.minimum(block.lengths, known)
-    at = array.search(rows, lengths, upper=False)
-    for beside in (at - 1, at):
-        place = array.order[np.clip(beside, 0, n - 1)]
-        shared = np.where((beside >= 0) & (beside < n), array.common(place, rows, lengths), 0)
-        better = shared > longest
-        longest, where = np.where(better, shared, longest), np.where(better, place, where)
+    n, many = len(array.order), len(block.starts)
+    longest, where = np.zeros(many, np.int64), np.zeros(many, np.int64)
+    none = np.zeros(0, np.int64)
+    if not n or not array.n_words or not many:
+        return Hits(none, none, longest, where)
+    for a in range(0, many, LOOKED_UP):
+        part = slice(a, a + LOOKED_UP)
+        rows = ranks[block.starts[part, None] + np.arange(DEPTH)]
+        # The longest match is beside the place where the suffix would stand. A word that the shard lacks ends it.
+        known = np.where((rows == -1).any(axis=1), (rows == -1).argmax(axis=1), DEPTH)
+        lengths = np.minimum(block.lengths[part], known)
+        at = array.search(rows, lengths, upper=False)
+        for beside in (at - 1, at):
+            place = array.order[np.clip(beside, 0, n - 1)]
+            shared = np.where((beside >= 0) & (beside < n), array.common(place, rows, lengths), 0)
+            better = shared > longest[part]
+            longest[part], where[part] = np.where(better, shared, longest[part]), np.where(better, place, where[part])
     found = np.flatnonzero(longest[block.windows] >= block.window_words)
-    first = block.windows[found]
-    lo = array.search(rows[first], block.window_words[found], upper=False)
-    hi = array.search(rows[first], block.window_words[found], upper=True)
+    lo, hi = none, none
+    for a in range(0, len(found), LOOKED_UP):
+        some = found[a : a + LOOKED_UP]
+        rows = ranks[block.starts[block.windows[some], None] + np.arange(DEPTH)]
+        lo = np.append(lo, array.search(rows, block.window_words[some], upper=False))
+        hi = np.append(hi, array.search(rows, block.window_words[some], upper=True))
     runs = hi - lo
     inside = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
     places = array.order[np.repeat(lo, runs) + inside]
@@ -211,8 +257,8 @@ def scan(
 
     Words are runs of ASCII letters (A-Z lowered), digits and non-ASCII letters. Each shard is a run of whole documents; matches
     never cross documents, and every document of a shard is indexed. Null and wordless documents have no words and no spans; items without words
-    have no window; an item with a null id marks words but is not listed; repeated rows come out each. An empty benchmark hits nothing. No shuffle: rows
-    pass block after block of the benchmark through one map each.
+    have no window; an item with a null id marks words but is not listed; repeated rows come out each. An empty benchmark hits nothing. No document is
+    shuffled: one map searches block after block of the benchmark in each shard's array.
     """
     return _marked(docs, bench, key, text, item, window, shard_bytes).select(F.col("_key").alias(key), F.col("_n").alias("n_words"), F.col("_hit").alias("hit"), F.col("_items").alias("items"))
 
@@ -223,32 +269,35 @@ def _marked(docs: DataFrame, bench: DataFrame, key: str, text: str, item: str, w
     none = F.array().cast("array<long>")
     state = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.lit(0).cast("long").alias("_n"), none.alias("_hit"), none.cast("array<string>").alias("_items"), *others)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema.fields)
-    for block in blocks(bench, key=item, text="text", window=window) or [test_block([], [], window)]:
-        shared = bounded_broadcast(docs.sparkSession, block, _bytes(block), "a benchmark block")
-
-        def work(keys: pa.Array, texts: pa.Array, _n: pa.Array, hit: pa.Array, items: pa.Array, *rest: pa.Array, shared=shared) -> list:
-            b = shared.value
-            words, array = _shard(texts)
+    sent = _sent(docs, bench, item, window)
+
+    def work(keys: pa.Array, texts: pa.Array, _n: pa.Array, _hit: pa.Array, _items: pa.Array, *rest: pa.Array) -> list:
+        words, array = _shard(texts)
+        n, size = len(words.prints), len(keys)
+        hit = np.zeros(n, bool)
+        names: dict[int, set[str]] = {}
+        for b in _each(sent):
             found = search_shard(array, b)
-            n = len(words.prints)
             delta = np.bincount(found.places, minlength=n + 1) - np.bincount(found.places + b.window_words[found.windows], minlength=n + 1)
-            marked = np.flatnonzero(np.cumsum(delta)[:n] > 0)
-            cut = np.searchsorted(marked, words.first)
+            hit |= np.cumsum(delta)[:n] > 0
             doc = np.searchsorted(words.first, found.places, side="right") - 1
-            names: dict[int, set[str]] = {}
-            for pair in np.unique(doc * len(b.windows) + found.windows).tolist():
+            windows: dict[int, set[int]] = {}
+            for pair in np.unique(doc * max(1, len(b.windows)) + found.windows).tolist():
                 d, w = divmod(pair, len(b.windows))
-                names.setdefault(d, set()).update(b.window_items[w])
-            new_hit = [np.union1d(h, marked[cut[k] : cut[k + 1]] - words.first[k]).astype(np.int64) if h or cut[k] < cut[k + 1] else [] for k, h in enumerate(hit.to_pylist())]
-            new_items = [sorted({*x, *names.get(k, ())}) for k, x in enumerate(items.to_pylist())]
-            return [keys, texts, words.counts, pa.array(new_hit, pa.list_(pa.int64())), pa.array(new_items, pa.list_(pa.string())), *rest]
+                windows.setdefault(d, set()).add(w)
+            for d, some in windows.items():
+                names.setdefault(d, set()).update(b.ids(some))
+        marked = np.flatnonzero(hit)
+        cut = np.searchsorted(marked, words.first)
+        new_hit = [marked[cut[k] : cut[k + 1]] - words.first[k] for k in range(size)]
+        new_items = [sorted(names.get(k, ())) for k in range(size)]
+        return [keys, texts, words.counts, pa.array(new_hit, pa.list_(pa.int64())), pa.array(new_items, pa.list_(pa.string())), *rest]
 
-        state = map_columns(state, schema, work, text="_text", max_bytes=shard_bytes)
-    return state
+    return map_columns(state, schema, work, text="_text", max_bytes=shard_bytes)
 
 
 def _bytes(block: TestBlock) -> int:
-    return sum(a.nbytes for a in vars(block).values() if isinstance(a, np.ndarray)) + sum(64 + 80 * len(x) for x in block.window_items)
+    return sum(a.nbytes for a in vars(block).values() if isinstance(a, np.ndarray)) + sum(64 + 80 * len(x) for x in block.window_items) + sum(72 + len(x or "") for some in block.names for x in some)
 
 
 def digests(docs: DataFrame, bench: DataFrame, *, window: int = 10) -> DataFrame:
@@ -278,23 +327,23 @@ def longest_matches(
     One row per suffix and shard reaches Spark, which keeps the longest; equal ones go to the smallest key. Matches count up to DEPTH words.
     """
     kind = docs.schema[key].dataType.simpleString()
-    out = None
-    for block in blocks(bench, key=item, text="text", window=window):
-        shared = bounded_broadcast(docs.sparkSession, block, _bytes(block), "a benchmark block")
+    sent = _sent(docs, bench, item, window)
 
-        def work(keys: pa.Array, texts: pa.Array, shared=shared) -> list:
-            b = shared.value
-            words, array = _shard(texts)
+    def work(keys: pa.Array, texts: pa.Array) -> list:
+        words, array = _shard(texts)
+        out: list[list] = [[], [], [], [], []]
+        for b in _each(sent):
             hits = search_shard(array, b)
-            size = np.minimum(np.bincount(b.items, minlength=len(b.names))[b.items], window)
-            at = np.flatnonzero(hits.longest >= size)
+            at = np.flatnonzero(hits.longest >= b.sizes)
+            # One row for each item of the text.
+            at = np.repeat(at, np.array([len(x) for x in b.names], np.int64)[b.items[at]]) if len(at) else at
+            again = np.arange(len(at)) - np.searchsorted(at, at)
             doc = np.searchsorted(words.first, hits.where[at], side="right") - 1
-            first = np.searchsorted(b.items, b.items[at])
-            return [[b.names[i] for i in b.items[at]], b.starts[at] - first, keys.take(pa.array(doc)), hits.where[at] - words.first[doc], hits.longest[at]]
+            rows = [b.names[i][k] for i, k in zip(b.items[at], again)], b.words[at], keys.take(pa.array(doc, pa.int64())).to_pylist(), hits.where[at] - words.first[doc], hits.longest[at]
+            for column, more in zip(out, rows):
+                column.extend(more)
+        return out
 
-        rows = map_columns(docs.select(key, text), f"item_id string, item_word long, `{key}` {kind}, doc_word long, n_words long", work, text=text, max_bytes=shard_bytes)
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"item_id string, item_word long, `{key}` {kind}, doc_word long, n_words long")
+    out = map_columns(docs.select(key, text), f"item_id string, item_word long, `{key}` {kind}, doc_word long, n_words long", work, text=text, max_bytes=shard_bytes)
     best = F.max_by(F.struct(key, "doc_word", "n_words"), F.struct("n_words", -F.col(key), -F.col("doc_word"))).alias("_m")
     return out.groupBy("item_id", "item_word").agg(best).select("item_id", "item_word", f"_m.{key}", "_m.doc_word", "_m.n_words")

@@ -80,6 +80,31 @@ def test_decontamination_in_blocks_and_with_nothing(spark, contaminated, monkeyp
     assert suffix_match.digests(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_by_a_large_benchmark(spark):
+    """Some 4.4 MB of items: more than one broadcast takes, a long item among them, and a third of all items with one text."""
+    rng = random.Random(9)
+    items = [spoken(rng, 1200, 10**6) for _ in range(400)] + [spoken(rng, 160_000, 10**6)]
+    items += ["the very same words stand in each of these items here"] * 200
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    long = items[400].split()
+    texts = [" ".join(long[131_000:131_200]), "x " + " ".join(items[7].split()[50:61]) + " y", items[-1] + " x", spoken(rng, 50, 10**6), " ".join(long[-10:])]
+    got = {r.doc_id: r for r in suffix_match.scan(frame(spark, texts).repartition(2), bench).collect()}
+    assert [len(got[i].hit) for i in range(5)] == [200, 11, 11, 0, 10]
+    assert [got[i].items for i in range(5)] == [["400"], ["7"], sorted(str(k) for k in range(401, 601)), [], ["400"]]
+
+
+def test_pieces_of_items_and_many_ids(spark, contaminated, monkeypatch):
+    items, texts = contaminated
+    bench = spark.createDataFrame(list(enumerate(items * 2)), "item_id long, text string")
+    docs = frame(spark, texts)
+    whole = sorted(map(tuple, suffix_match.digests(docs, bench).collect()))
+    longest = sorted(map(tuple, suffix_match.longest_matches(docs, bench).collect()))
+    for name, value in (("PIECE", 7), ("HELD", 1), ("LOOKED_UP", 3), ("IDS", 2)):
+        monkeypatch.setattr(suffix_match, name, value)
+    assert sorted(map(tuple, suffix_match.digests(docs, bench).collect())) == whole
+    assert sorted(map(tuple, suffix_match.longest_matches(docs, bench).collect())) == longest
+
+
 def test_longest_matches_name_the_place(spark, contaminated):
     items, texts = contaminated
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
