@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines leave the texts; every document stays, with its text and its length as they are then."""
-    out = line_chunks.dedup_lines(docs)
+    out = line_chunks.dedup_lines(docs, paired=True)
     now = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
     return out.select(*[now[c].alias(c) if c in now else F.col(c) for c in docs.columns])
 

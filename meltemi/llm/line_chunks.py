@@ -25,12 +25,20 @@ def rolling(hashes: Column, i: Column) -> Column:
     return total
 
 
-def with_lines(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``_lines`` and ``_ends``: the numbers of the lines that end a chunk, the last line always among them."""
+def with_lines(docs: DataFrame, text: str, paired: bool = False) -> DataFrame:
+    """``docs`` with ``_lines`` and ``_ends``: the numbers of the lines that end a chunk, the last line always among them.
+
+    With ``paired`` no chunk is one line, unless the text is: the hash ends none at the first line, at the last but one, or right behind a line where it says so too.
+    """
     lined = docs.withColumn("_lines", F.split(F.col(text), "\n", -1))
     hashed = lined.withColumn("_hashes", F.transform("_lines", line_hash))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    ends = F.filter(every, lambda i: (rolling(F.col("_hashes"), i) % EVERY == 0) | (i == F.size("_lines") - 1))
+    last = F.size("_lines") - 1
+
+    def told(i: Column) -> Column:
+        return rolling(F.col("_hashes"), i) % EVERY == 0
+
+    ends = F.filter(every, lambda i: (i == last) | (told(i) & (i > 0) & (i != last - 1) & ~told(i - 1) if paired else told(i)))
     return hashed.withColumn("_ends", F.when(F.col(text).isNotNull(), ends)).drop("_hashes")
 
 
@@ -45,19 +53,19 @@ def chunks(lined: DataFrame, *carried: str) -> DataFrame:
     return many.select(*carried, "chunk", F.array_join(F.slice("_lines", F.col("span.s") + 1, F.col("span.e") - F.col("span.s") + 1), "\n").alias("body"))
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", paired: bool = False) -> DataFrame:
     """Rows (every column of ``docs``, ``kept_text``, ``n_lines``, ``n_removed_lines``, ``n_removed_chunks``).
 
     Lines end at "\\n". A chunk ends where the rolling hash of the last lines' hashes says so, whatever stands further before or behind: inserted lines
     move no boundary beyond their neighbours. A chunk of two lines or more that also stands earlier (smaller key, or same document and earlier) is removed, after its bytes have been
-    compared with the first one's; single-line chunks stay. A null text stays null with 0 lines; an empty one has one empty line. Rows of one key
+    compared with the first one's; single-line chunks stay, of which ``paired`` makes none in texts of two lines or more. A null text stays null with 0 lines; an empty one has one empty line. Rows of one key
     and equal text count as one document and get the same result; null keys come first. Copies of a chunk meet in partial counts and minima only, and joins on a hot chunk can be split, as its side has all the
     copies and the other one row.
     """
     columns = docs.columns
     # The text travels once: inside the row.
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_print"))
-    lined = with_lines(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text")), "_text")
+    lined = with_lines(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text")), "_text", paired)
     place = F.struct("_key", "_print", "chunk")
     told = F.xxhash64("body").alias("h1"), F.hash("body").alias("h2")
     every = chunks(lined, "_key", "_print")
@@ -71,7 +79,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     joined = named.join(
         gone.select(F.col("_key").alias("_k"), F.col("_print").alias("_p"), "_gone"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_print") == F.col("_p")), "left"
     )
-    again = with_lines(joined.select("_row", F.col("_row").getField(text).alias("_text"), F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone")), "_text")
+    again = with_lines(joined.select("_row", F.col("_row").getField(text).alias("_text"), F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone")), "_text", paired)
     spans = again.withColumn("_spans", F.filter(F.arrays_zip(_starts().alias("s"), F.col("_ends").alias("e")), lambda x, k: ~F.array_contains("_gone", k)))
     kept = F.flatten(F.transform("_spans", lambda x: F.slice("_lines", x["s"] + 1, x["e"] - x["s"] + 1)))
     n_lines = F.coalesce(F.size("_lines"), F.lit(0))

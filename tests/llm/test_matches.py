@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from meltemi.llm import bwt_merge, chosen_path, components, itq, line_chunks, suffix_match
 from meltemi.llm.words import Words
 
@@ -175,6 +176,28 @@ def test_line_chunks_of_repeated_rows_and_null_keys(spark):
     assert line_chunks.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_paired_line_chunks_leave_no_single_lines(spark):
+    rng = random.Random(10)
+    lines = [spoken(rng, 6) for _ in range(60)]
+    texts = ["\n".join(lines), "\n".join(lines), "first\n" + "\n".join(lines[5:30]) + "\nlast", "one", "one", "a\nb", "a\nb", None, "", "a\nb\nc", "a\nb\nc"]
+    docs = frame(spark, texts).repartition(3)
+    got = {r.doc_id: r for r in line_chunks.dedup_lines(docs, paired=True).collect()}
+    sizes = [e - s for r in line_chunks.with_lines(docs.where("text is not null"), "text", True).collect() for s, e in zip([-1, *r._ends], r._ends) if len(r._lines) > 1]
+    assert min(sizes) >= 2
+    # The second of two equal texts goes whole; a passage loses all but its edges.
+    assert [got[i].n_removed_lines for i in (0, 1, 3, 4, 5, 6, 7, 8, 9, 10)] == [0, 60, 0, 0, 0, 2, 0, 0, 0, 3]
+    assert got[1].kept_text == "" and got[4].kept_text == "one" and got[7].kept_text is None
+    assert got[2].n_removed_lines >= 15 and got[2].kept_text.startswith("first\n") and got[2].kept_text.endswith("last")
+    now = [line for line in texts[2].split("\n") if line not in got[2].kept_text.split("\n")]
+    assert len(now) == got[2].n_removed_lines and set(now) <= set(lines)
+
+
+def test_the_pipeline_removes_whole_copies(spark):
+    text = "\n".join(f"line {i} of the text" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 1), (2, text, 1)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == {1: text, 2: ""}
+
+
 def stripped(texts):
     seen, out = set(), []
     for t in texts:
