@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltemi.llm import attention_lm, bpe_automaton, bwt_merge, chosen_path, itq, language_id, line_chunks, suffix_match, token_count, toxicity
+from meltemi.llm import (
+    attention_lm,
+    bpe_automaton,
+    bwt_merge,
+    chosen_path,
+    itq,
+    language_id,
+    lexical,
+    line_chunks,
+    merkle,
+    source_mix,
+    suffix_match,
+    token_count,
+    toxicity,
+)
 from meltemi.llm.frames import crc_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +91,18 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.even_crc())
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -88,8 +114,14 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_near_vectors": op9_near_vectors,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_source_mix": op12_source_mix,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op6_line_chunks": line_chunks.ORACLE,
     "op9_near_vectors": itq.oracle(),
+    "op11_lexical_search": lexical.ORACLE,
+    "op12_source_mix": source_mix.ORACLE,
+    "op13_merkle_manifest": merkle.oracle(),
 }
