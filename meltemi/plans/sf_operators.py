@@ -11,7 +11,7 @@ from meltemi.functions.clock import Clock, within
 from meltemi.functions.numbers import above, kw_to_mw, rounded, share, total
 from meltemi.functions.terms import apply_term, under_way, unknown_values
 from meltemi.functions.text import FORCED_FAILURE, by_prefix, differs, fault_category, fault_label, fault_severity, is_empty
-from meltemi.operators import alerts, assets, detect, dispatch, emissions, graph, proximity, tracks
+from meltemi.operators import alerts, assets, detect, dispatch, emissions, graph, orders, proximity, tracks
 from meltemi.operators.entities import entity_view, follow, live_values
 from meltemi.operators.latest import distinct_keys, latest, newest
 from meltemi.operators.series import bucketed, decompose, detect_period, make_series
@@ -711,6 +711,31 @@ add(
     F07_SQL,
     "target_lat,target_lon,distance_nm",
 )
+
+
+#: Orders opened by a failure and closed by the next healthy reading of the same turbine; a repeated alert inside an order opens nothing.
+HISTORY_SQL = f"""with a as (select turbine_id, timestamp, true as opens, latitude as lat, longitude as lon from
+        (select *, lag(fault_type) over (partition by turbine_id order by timestamp, event_id) as prev from wind) where fault_type = 'DEMO_FORCED_FAILURE' and prev <> 'DEMO_FORCED_FAILURE'),
+    e as (select * from a union all select turbine_id, timestamp, false, null, null from wind where fault_type = 'NONE' and vibration_mm_s <= 3.5),
+    s as (select *, lag(opens) over (partition by turbine_id order by timestamp, opens) as was from e),
+    x as (select *, lead(timestamp) over (partition by turbine_id order by timestamp, opens) as closed_at from s where opens <> coalesce(was, false)),
+    o as (select * from x where opens),
+    d as (select o.*, vessel_id, {distance('lat', 'lon', 'vessel_lat', 'vessel_lon')} as nm from o, service_vessels),
+    n as (select *, row_number() over (partition by turbine_id, timestamp order by round(nm, 9), vessel_id) as rn from d)
+--
+select md5(turbine_id || '|' || epoch_us(timestamp)) as order_id, turbine_id as asset_id, timestamp as episode_start, lat as target_lat, lon as target_lon, vessel_id, nm as distance_nm,
+       case when closed_at is null then 'Open' else 'Completed' end as status, closed_at from n where rn = 1"""
+
+
+def _order_history(t: SfTables) -> DataFrame:
+    healthy = t["wind"].where(orders.well_again()).select("turbine_id", "timestamp")
+    out = orders.dispatch_history(settled(_forced(t), "alerts"), healthy, t["service_vessels"], asset="turbine_id")
+    return out.withColumnsRenamed({"latitude": "target_lat", "longitude": "target_lon"})
+
+
+add("F07_order_history", lambda t, c: _order_history(t), F07_VIEWS, HISTORY_SQL, "target_lat,target_lon,distance_nm")
+
+
 def _predicted(t: SfTables) -> DataFrame:
     """Alerts from unusually high daily vibration."""
     series = make_series(t["wind"], "turbine_id", "1 day", F.avg("vibration_mm_s"))

@@ -12,11 +12,13 @@ from meltemi.functions.text import FORCED_FAILURE
 from meltemi.operators.dispatch import dispatch_orders
 from meltemi.plans import sf
 from meltemi.plans.sf import SfTables
-from meltemi.plans.sf_operators import CHANGES_SQL, F07_SQL, F07_VIEWS, busy_turbines, wire_of
+from meltemi.plans.sf_operators import CHANGES_SQL, F07_SQL, F07_VIEWS, HISTORY_SQL, busy_turbines, wire_of
 from meltemi.plans.sf_queries import add
 from meltemi.session import shared_dir
 from meltemi.streaming import ingest, state
+from meltemi.operators.orders import well_again
 from meltemi.streaming.alerts import ChangeAlerts, dispatch_sink
+from meltemi.streaming.orders import OrderLedger
 
 
 def stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,3 +174,20 @@ def _dispatch(t: SfTables, c: Clock) -> DataFrame:
 
 
 add("F07_stream_dispatch", _dispatch, F07_VIEWS, F07_SQL, "target_lat,target_lon,distance_nm")
+
+
+def _closed_orders(t: SfTables, c: Clock) -> DataFrame:
+    """The order table of a stream of readings: alerts open orders, healthy readings close them."""
+    base = shared_dir(t.spark, "ledger")
+    wind = sf.wind(stream_of_events(t.spark, t.sf_dir)).select("event_id", "timestamp", "turbine_id", "fault_type", "vibration_mm_s", "latitude", "longitude")
+    ledger = OrderLedger(base, "turbine_id", t["wind_turbines"].schema["turbine_id"].dataType, t["service_vessels"], well_again())
+    job = ChangeAlerts(
+        f"{base}/state", "turbine_id", F.col("fault_type") == FORCED_FAILURE, tiebreak=["event_id"], delay="1 hour", on_released=ledger.process
+    )
+    query = job.start(wind, f"{base}/checkpoint", available_now=True)
+    query.awaitTermination()
+    job.finish(t.spark, query)
+    return _plain(ledger.orders(t.spark).withColumnsRenamed({"latitude": "target_lat", "longitude": "target_lon"}))
+
+
+add("F07_stream_closed_orders", _closed_orders, F07_VIEWS, HISTORY_SQL, "target_lat,target_lon,distance_nm")

@@ -38,6 +38,8 @@ class ChangeAlerts:
     delay: str = "1 minute"
     fire_on_first: bool = False
     on_alerts: Callable[[DataFrame, int], None] | None = None
+    #: Called with the batch's alerts and all rows that the watermark has passed in it.
+    on_released: Callable[[DataFrame, DataFrame, int], None] | None = None
 
     def _at(self, part: str, batch_id: int) -> str:
         return f"{self.store}/{part}/batch={batch_id}"
@@ -79,8 +81,11 @@ class ChangeAlerts:
             alerts.write.mode("overwrite").parquet(self._at("alerts", batch_id))
             newest_rows = latest(last.unionByName(ready), keys, ts=self.ts, tiebreak=self.tiebreak)
             newest_rows.select(*columns).write.mode("overwrite").parquet(self._at("last", batch_id))
+            fired_now = spark.read.schema(batch.schema).parquet(self._at("alerts", batch_id))
             if self.on_alerts is not None:
-                self.on_alerts(spark.read.schema(batch.schema).parquet(self._at("alerts", batch_id)), batch_id)
+                self.on_alerts(fired_now, batch_id)
+            if self.on_released is not None:
+                self.on_released(fired_now, ready, batch_id)
         finally:
             placed.unpersist()
         self._forget(spark, batch_id - 2)
