@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltemi.operators.latest import as_list
+from meltemi.operators.order import with_time_slice
 from meltemi.operators.series import step_index
 
 
@@ -80,6 +81,18 @@ def _saliency(rows: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
     return np.abs(np.fft.ifft(np.exp(log_amp - local) * unit, axis=1))
 
 
+def _median(rows: np.ndarray) -> np.ndarray:
+    """Median of each row's known values. Only rows at a series' ends have unknown ones; the others need no masks."""
+    whole = ~np.isnan(rows).any(axis=1)
+    out = np.full(len(rows), np.nan)
+    out[whole] = np.median(rows[whole], axis=1) if whole.any() else np.nan
+    if not whole.all():
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # rows without a value
+            out[~whole] = np.nanmedian(rows[~whole], axis=1)
+    return out
+
+
 def _baseline(values: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
     """Median of the same phase in the two periods on each side; the mean of what is near where a series is shorter than two periods."""
     near = _around(values, cfg.reach, cfg.reach, np.nan)
@@ -90,8 +103,7 @@ def _baseline(values: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
         plain = np.nan_to_num(np.nanmean(near, axis=1))
         if cfg.periodicity <= 1:
             return plain
-        phase = near[:, cfg.reach % cfg.periodicity :: cfg.periodicity]
-        seasonal = np.nanmedian(phase, axis=1)
+        seasonal = _median(near[:, cfg.reach % cfg.periodicity :: cfg.periodicity])
     return np.where((seen >= 2 * cfg.periodicity) & ~np.isnan(seasonal), seasonal, plain)
 
 
@@ -108,8 +120,8 @@ def _judged(values: np.ndarray, cfg: SpectralResidual) -> tuple[np.ndarray, np.n
     score = np.maximum((sal[:, at] - local) / np.maximum(local, floor), 0.0)
     score[rows.max(axis=1) - rows.min(axis=1) < 1e-9] = 0.0
     near = _around(rest, cfg.reach, cfg.reach, np.nan)
-    middle = np.nanmedian(near, axis=1)
-    spread = 1.4826 * np.nanmedian(np.abs(near - middle[:, None]), axis=1)
+    middle = _median(near)
+    spread = 1.4826 * _median(np.abs(near - middle[:, None]))
     off = np.abs(rest - middle)
     return baseline, score, (score >= cfg.min_score) & (off > np.maximum(cfg.margin * spread, 1e-9)) & ~np.isnan(values)
 
@@ -181,6 +193,48 @@ def spectral_residual(
     return _strongest(spread.mapInPandas(detect, out_schema), keys, ts, cfg.max_anomaly_ratio)
 
 
+def cusum(
+    series: DataFrame,
+    keys: str | Sequence[str],
+    *,
+    drift: float = 0.5,
+    threshold: float = 5.0,
+    ts: str = "timestamp",
+    value: str = "value",
+    slices: int | None = None,
+) -> DataFrame:
+    """A gap-free series with ``baseline`` (its mean), ``score`` and ``anomaly`` (-1, 0, 1): where a series has left its level for long rather than far.
+
+    Two sums run along each key's series, in standard deviations: one gathers what lies more than ``drift`` above the mean and one what lies below, and neither falls below zero. The
+    score is the greater one; beyond ``threshold`` it flags its side. A constant series scores 0, and a missing value moves nothing.
+
+    A step is s -> max(0, s + d), and steps compose to s -> max(a, s + b), so a stretch of any length is two numbers: the sum of its d and the least of their running sums. Rows are
+    split by (key, time slice); a window over one row per slice turns these numbers into what each slice starts from. A key with a third of all rows is so many tasks.
+    """
+    keys = as_list(keys)
+    n = slices or int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level = series.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    rows = with_time_slice(series.where(F.col(ts).isNotNull()), ts, n).join(level, keys)
+    known = F.col(value).isNotNull() & (F.col("_std") > 1e-9 * F.greatest(F.lit(1.0), F.abs("_mean")))
+    z = F.when(known, (F.col(value) - F.col("_mean")) / F.col("_std")).otherwise(F.lit(0.0))
+    order = Window.partitionBy(*keys, "_slice").orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = {"_up": z - drift, "_down": -z - drift}
+    summed = rows.select("*", *[F.sum(d).over(order).alias(f"{s}_sum") for s, d in sides.items()])
+    local = summed.select("*", *[F.min(f"{s}_sum").over(order).alias(f"{s}_low") for s in sides])
+    whole = local.groupBy(*keys, "_slice").agg(
+        *[F.max_by(f"{s}_sum", ts).alias(f"{s}_all") for s in sides], *[F.min(f"{s}_sum").alias(f"{s}_least") for s in sides]
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    started = whole.select("*", *[F.coalesce(F.sum(f"{s}_all").over(earlier), F.lit(0.0)).alias(f"{s}_at") for s in sides])
+    floors = [F.least(F.lit(0.0), F.min(F.col(f"{s}_at") + F.col(f"{s}_least")).over(earlier)).alias(f"{s}_floor") for s in sides]
+    carried = started.select(*keys, "_slice", *[f"{s}_at" for s in sides], *floors)
+    met = local.join(carried, [*keys, "_slice"])
+    up, down = (F.col(f"{s}_at") + F.col(f"{s}_sum") - F.least(F.col(f"{s}_floor"), F.col(f"{s}_at") + F.col(f"{s}_low")) for s in sides)
+    scored = met.select("*", F.greatest(up, down).alias("score"), F.when(up >= down, 1).otherwise(-1).alias("_side"))
+    flag = F.when(F.round("score", 9) > threshold, F.col("_side")).otherwise(F.lit(0))
+    return scored.select(*series.columns, F.col("_mean").alias("baseline"), "score", flag.alias("anomaly"))
+
+
 def _strongest(flagged: DataFrame, keys: list[str], ts: str, ratio: float) -> DataFrame:
     """At most ``ratio`` of a key's points stay flagged: the ones that score highest, the earlier of equals. Keys below the ratio, by their counts, are left as they are and ranked nowhere."""
     counts = flagged.groupBy(*keys).agg(F.floor(F.count("*") * ratio).alias("_room"), F.count_if(F.col("anomaly") == 1).alias("_on"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meltemi.functions.clock import bucket, micros
 from meltemi.operators.latest import as_list
 from meltemi.operators.order import previous_row
+from meltemi.operators.quantiles import exact_quantiles
 
 _UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
 #: Steps of a gap that one row holds before they become rows.
@@ -118,13 +119,9 @@ def decompose(
     baseline = mean of the series + mean deviation of the step's phase when a period is given
     (a number, or one per key as from :func:`detect_period`). The score measures how far the residual lies
     outside its 10th to 90th percentile, in units of that range; ``|score| > threshold`` flags it.
-    ``accuracy`` switches the two percentiles to a bounded sketch for series too long for the exact form.
+    The percentiles are exact and hold no key's residuals together (:func:`exact_quantiles`); ``accuracy`` takes them from a sketch instead.
     """
     keys = as_list(keys)
-
-    def tails(col: str) -> Column:
-        return F.percentile(col, F.array(F.lit(0.1), F.lit(0.9))) if accuracy is None else F.percentile_approx(col, [0.1, 0.9], accuracy)
-
     base = series.join(series.groupBy(*keys).agg(F.avg(value).alias("_mean")), keys)
     if period is None:
         base = base.withColumn("baseline", F.col("_mean"))
@@ -139,7 +136,11 @@ def decompose(
         base = base.join(season, [*keys, "_phase"]).withColumn("baseline", F.when(F.col("_phase") >= 0, F.col("_season")).otherwise(F.col("_mean")))
     base = base.withColumn("_r", F.col(value) - F.col("baseline"))
     # Of the residuals themselves: shifting percentiles of the values would differ in the last bits, and so flag ties otherwise.
-    limits = base.groupBy(*keys).agg(tails("_r").alias("_q")).select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    if accuracy is None:
+        limits = exact_quantiles(base, keys, "_r", [0.1, 0.9], out=["_lo", "_hi"])
+    else:
+        sketched = base.groupBy(*keys).agg(F.percentile_approx("_r", [0.1, 0.9], accuracy).alias("_q"))
+        limits = sketched.select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
     base = base.join(limits, keys)
     r, lo, hi = F.col("_r"), F.col("_lo"), F.col("_hi")
     score = F.when(hi == lo, F.lit(0.0)).when(r > hi, (r - hi) / (hi - lo)).when(r < lo, (r - lo) / (hi - lo)).otherwise(F.lit(0.0))

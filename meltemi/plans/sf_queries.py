@@ -178,6 +178,57 @@ def decompose_sql(key: str, threshold: float, phase: str = "-1", season: str = "
     d as (select {key}, timestamp, value, filled, baseline, score, case when round(abs(score), 9) > {threshold} then cast(sign(score) as int) else 0 end as anomaly from z)"""
 
 
+def linear_sql(source: str, key: str, value: str, step: str) -> str:
+    """CTEs ``bins`` and ``s``: buckets from first to last, gaps filled along a line."""
+    return f"""bins as (select {key}, time_bucket(interval {step}, timestamp) as timestamp, {value} as value from {source} group by 1, 2),
+    near as (select *, lead(timestamp) over (partition by {key} order by timestamp) as next_t, lead(value) over (partition by {key} order by timestamp) as next_v from bins),
+    slots as (select *, unnest(case when next_t is null then [timestamp] else generate_series(timestamp, next_t - interval {step}, interval {step}) end) as slot from near),
+    s as (select {key}, slot as timestamp, case when slot = timestamp then value
+            else value + (next_v - value) * ((epoch_us(slot) - epoch_us(timestamp)) / (epoch_us(next_t) - epoch_us(timestamp))) end as value, slot <> timestamp as filled from slots)"""
+
+
+def spectral_sql(key: str, step_us: int, *, margin: float = 5.5, confidence: float = 3.0, ratio: float = 0.9) -> str:
+    """CTE ``sr``: spectral residual of ``s`` with the default window, written out as sums over (point, frequency).
+
+    A point sees 43 values before it and 5 behind it, 49 in all; values that are not there lie on the baseline. Its spectrum is the sum of the values times the turns of each frequency, its
+    saliency map the sum of the residual spectrum times the turns back. Baselines are medians of the same phase within two periods of 22 on each side.
+    """
+    turn = "2 * pi() * ((a.m * b.m) % 49) / 49"
+    same = f"y.{key} = x.{key}"
+    return f"""pt as materialized (select {key}, timestamp, value, filled, epoch_us(timestamp) // {step_us}::bigint as i from s),
+    bl as (select x.{key}, x.i, count(*) as seen, avg(y.value) as plain, median(y.value) filter (where (y.i - x.i) % 22 = 0) as seasonal
+           from pt x join pt y on {same} and y.i between x.i - 44 and x.i + 44 group by 1, 2),
+    rs as materialized (select pt.*, case when seen >= 44 then seasonal else plain end as baseline, value - case when seen >= 44 then seasonal else plain end as rest from pt join bl using ({key}, i)),
+    wi as (select x.{key}, x.i, y.i - x.i + 43 as m, y.rest as v from rs x join rs y on {same} and y.i between x.i - 43 and x.i + 5),
+    ok as (select {key}, i from wi group by 1, 2 having greatest(max(v), case when count(*) < 49 then 0 else max(v) end) - least(min(v), case when count(*) < 49 then 0 else min(v) end) >= 1e-9),
+    fr as (select unnest(range(49)) as m),
+    sp as (select {key}, i, b.m, sum(v * cos({turn})) as re, -sum(v * sin({turn})) as im from wi a join ok using ({key}, i), fr b group by 1, 2, 3),
+    am as (select *, sqrt(re * re + im * im) as amp, case when sqrt(re * re + im * im) < 1e-12 then 0.0 else ln(sqrt(re * re + im * im)) end as lg from sp),
+    rd as (select {key}, i, m, case when amp < 1e-12 then 0.0 else re / amp end as ur, case when amp < 1e-12 then 0.0 else im / amp end as ui,
+            exp(lg - (coalesce(lag(lg) over w, lg) + lg + coalesce(lead(lg) over w, lg)) / 3) as size from am window w as (partition by {key}, i order by m)),
+    sa as (select {key}, i, b.m, sqrt(pow(sum(size * (ur * cos({turn}) - ui * sin({turn}))), 2) + pow(sum(size * (ur * sin({turn}) + ui * cos({turn}))), 2)) / 49 as sal
+           from rd a, fr b group by 1, 2, 3),
+    jd as (select {key}, i, max(sal) filter (where m = 43) as own, avg(sal) filter (where m between 22 and 42) as local, greatest(1e-9, 0.05 * avg(sal)) as least_local from sa group by 1, 2),
+    md as (select x.{key}, x.i, median(y.rest) as mid from rs x join rs y on {same} and y.i between x.i - 44 and x.i + 44 group by 1, 2),
+    ad as (select x.{key}, x.i, any_value(md.mid) as mid, 1.4826 * median(abs(y.rest - md.mid)) as spread
+           from rs x join md on md.{key} = x.{key} and md.i = x.i join rs y on {same} and y.i between x.i - 44 and x.i + 44 group by 1, 2),
+    fl as (select rs.*, coalesce(greatest((own - local) / greatest(local, least_local), 0), 0.0) as score, abs(rest - mid) > greatest({margin} * spread, 1e-9) as off
+           from rs join ad using ({key}, i) left join jd using ({key}, i)),
+    rk as (select *, score >= {confidence} and off as hit, row_number() over (partition by {key} order by (score >= {confidence} and off) desc, score desc, timestamp) as place,
+            floor({ratio} * count(*) over (partition by {key})) as room from fl),
+    sr as (select {key}, timestamp, value, filled, baseline, score, case when hit and place <= room then 1 else 0 end as anomaly from rk)"""
+
+
+def cusum_sql(key: str, threshold: float, drift: float = 0.5) -> str:
+    """CTE ``cu``: two-sided cumulative sums of ``s``: the running sum less its least value so far."""
+    return f"""lv as (select {key}, avg(value) as mean, stddev_pop(value) as sd from s group by 1),
+    zs as (select s.*, mean, case when sd > 1e-9 * greatest(1.0, abs(mean)) then (value - mean) / sd else 0.0 end as z from s join lv using ({key})),
+    ps as (select *, sum(z - {drift}) over w as p, sum(-z - {drift}) over w as q from zs window w as (partition by {key} order by timestamp)),
+    us as (select *, p - least(0.0, min(p) over w) as up, q - least(0.0, min(q) over w) as down from ps window w as (partition by {key} order by timestamp)),
+    cu as (select {key}, timestamp, value, filled, mean as baseline, greatest(up, down) as score,
+            case when round(greatest(up, down), 9) > {threshold} then case when up >= down then 1 else -1 end else 0 end as anomaly from us)"""
+
+
 add(
     "E14_statistical_anomalies",
     e.e14_statistical_anomalies,
