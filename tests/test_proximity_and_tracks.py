@@ -5,7 +5,10 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from meltemi.functions.geo import EARTH_RADIUS_NM
+from meltemi.operators import proximity
 from meltemi.operators.alerts import maintenance_orders, open_episodes
 from meltemi.operators.dispatch import dispatch_orders
 from meltemi.operators.proximity import count_within, nearest, within_radius
@@ -63,7 +66,59 @@ def test_nearest_equals_brute_force(spark):
 
 def test_nearest_without_candidates(spark):
     got = nearest(points(spark, [(1.0, 1.0)], "a"), points(spark, [(0.0, 0.0)], "b").where("false"), left_id="aid", right_id="bid", left_at=("alat", "alon"), right_at=("blat", "blon"))
-    assert got.count() == 0
+    assert [tuple(r) for r in got.collect()] == [(0, None, None)]
+
+
+def test_left_rows_without_a_position_stay(spark):
+    a = spark.createDataFrame([(1, 37.0, 25.0), (2, None, 25.0), (3, 37.0, None)], "aid int, alat double, alon double")
+    got = nearest(a, points(spark, [(37.0, 25.1), (None, 25.0)], "b"), left_id="aid", right_id="bid", left_at=("alat", "alon"), right_at=("blat", "blon"))
+    assert sorted((r.aid, r.bid) for r in got.collect()) == [(1, 0), (2, None), (3, None)]
+
+
+def crowd(rng, n, lat, lon, wide):
+    return [(lat + rng.uniform(0, wide), lon + rng.uniform(0, wide)) for _ in range(n)]
+
+
+def brute_nearest(a, b):
+    u, v = np.array([unit(p) for p in a]), np.array([unit(q) for q in b])
+    return 2 * EARTH_RADIUS_NM * np.arcsin(np.minimum(1, np.sqrt(((u[:, None] - v[None]) ** 2).sum(2).min(1)) / 2))
+
+
+@pytest.mark.parametrize("kind", ["one place", "apart", "world", "poles"])
+def test_nearest_in_crowds(spark, kind):
+    rng = random.Random(kind)
+    a, b = {
+        "one place": (crowd(rng, 150, 37, 25, 0.4), crowd(rng, 300, 37, 25, 0.4)),
+        "apart": (crowd(rng, 80, 37, 25, 0.01), crowd(rng, 300, 37.5, 26, 0.01) + [(37.0, 24.0)]),
+        "world": (cloud(7, 40), cloud(8, 80)),
+        "poles": (crowd(rng, 60, 89.5, 0, 0.5), [(rng.uniform(88, 90), rng.uniform(-180, 180)) for _ in range(200)] + crowd(rng, 60, -90, 10, 1)),
+    }[kind]
+    got = nearest(points(spark, a, "a"), points(spark, b, "b"), left_id="aid", right_id="bid", left_at=("alat", "alon"), right_at=("blat", "blon"))
+    rows = {r.aid: r for r in got.collect()}
+    for i, best in enumerate(brute_nearest(a, b)):
+        assert rows[i].distance_nm == pytest.approx(best, abs=1e-6)
+        assert nm(a[i], b[rows[i].bid]) == pytest.approx(best, abs=1e-5)
+
+
+def met(spark, a, b):
+    """Rows that all steps of the search form, before any is left out."""
+    at = ("alat", "alon")
+    tree = proximity.target_tree(points(spark, b, "b"), "bid", ("blat", "blon")).persist()
+    nothing = F.lit(None).cast("int")
+    frontier = points(spark, a, "a").select(*at, F.lit(0).cast("bigint").alias("cell"), nothing.alias("id"), F.lit(0.0).alias("low"), F.lit(1e9).alias("high"))
+    total = tree.count()
+    for level in range(0, tree.agg(F.max("level")).first()[0] + 1, proximity.STEP):
+        step = proximity._step(frontier, tree, level, at).persist()
+        total += step.count()
+        frontier = proximity._pruned(step, at)
+    return total
+
+
+def test_ten_times_the_crowd_meets_ten_times_the_rows(spark):
+    rng = random.Random(9)
+    few = met(spark, crowd(rng, 400, 37, 25, 0.4), crowd(rng, 400, 37, 25, 0.4))
+    many = met(spark, crowd(rng, 4000, 37, 25, 0.4), crowd(rng, 4000, 37, 25, 0.4))
+    assert many < 13 * few and many < 0.05 * 4000 * 4000
 
 
 def alerts(spark, *rows):
