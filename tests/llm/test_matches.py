@@ -320,3 +320,34 @@ def test_near_vectors(spark):
     assert {got[i].component_id for i in range(120, 141)} == {got[120].component_id}
     assert itq.near_vectors(table.where("vec_id < 0")).count() == 0
     assert itq.near_vectors(table.where(F.col("embedding").isNull())).count() == 1
+
+
+def concentrated(kind):
+    rng = np.random.default_rng(11)
+    one = rng.normal(size=24)
+    one /= np.linalg.norm(one)
+    noisy = lambda n, s: one + rng.normal(0, s / np.sqrt(24), (n, 24))
+    return {
+        "near copies": noisy(150, 0.05),
+        "loose copies": noisy(150, 0.25),
+        "common direction": noisy(200, 0.33),
+        "wide cone with clusters": np.concatenate([noisy(80, 0.6)] + [v + rng.normal(0, 0.05, (4, 24)) for v in noisy(15, 0.6)]),
+        "two alone": noisy(2, 0.05),
+        "equal and near": np.concatenate([noisy(1, 0.1).repeat(100, axis=0), noisy(30, 0.1)]),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["near copies", "loose copies", "common direction", "wide cone with clusters", "two alone", "equal and near"])
+def test_near_vectors_that_share_a_direction(spark, kind):
+    """Recall per vector and components against all pairs, where no cluster stands alone."""
+    vectors = [[float(v) for v in row] for row in concentrated(kind)]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id long, embedding array<float>").repartition(3)
+    x = np.array(vectors, dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    got = {r.id: r for r in itq.near_vectors(table, key="id").collect()}
+    assert all(got[i].n_links <= near[i].sum() for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.9 * near.sum()
+    want = closure(list(range(len(x))), lambda a, b: near[a, b])
+    assert np.mean([got[i].component_id == want[i] for i in got]) >= 0.95
+    assert all(got[i].kept == (got[i].component_id == i) for i in got)
