@@ -259,10 +259,6 @@ def anomaly_events(flagged: DataFrame, entity: str, detector: str, *, ts: str =
     )
 
 
-def write_anomalies(events: DataFrame, path: str, *, fmt: str = "parquet") -> None:
-    events.write.mode("append").format(fmt).partitionBy("event_date").save(path)
-
-
 def evaluate(flags: DataFrame, labels: DataFrame, entity: str, *, ts: str = "timestamp") -> DataFrame:
     """Per detector and entity: confusion counts, precision, recall, F1.
 

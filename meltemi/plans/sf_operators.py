@@ -21,7 +21,7 @@ from meltemi.plans.sf import SfTables
 from meltemi.plans.sf_queries import add, cusum_sql, decompose_sql, linear_sql, series_sql, spectral_sql
 from meltemi.plans.sf_views import distance, r, since
 from meltemi.session import settled, shared_dir
-from meltemi.sources import geojson, reference, store, wire
+from meltemi.sources import anomalies, geojson, reference, store, wire
 from meltemi.sources.schemas import FEEDS, REFERENCE
 
 # ---- A: sources and sinks (batch forms; the streams are registered in sf_streams) ----
@@ -622,6 +622,33 @@ from d where anomaly <> 0""",
 )
 
 
+def _persisted(t: SfTables) -> DataFrame:
+    """The events of two detectors in their table: both runs are written twice, as a rerun does, and one is published."""
+    table = anomalies.AnomalyTable(shared_dir(t.spark, "anomalies"))
+    series = settled(_kind_series(t), "kind-series")
+    found = {"decompose": decompose(series, "event_type", _KIND_STEP, threshold=0.4, period=4), "change": detect.cusum(series, "event_type", threshold=3.0)}
+    for name, flagged in found.items():
+        events = settled(detect.anomaly_events(flagged, "event_type", name), "events")
+        for _ in range(2):
+            table.write(events, name, "2024-01-30")
+    table.publish(t.spark, "decompose", "2024-01-30")
+    return table.read(t.spark)
+
+
+add(
+    "F03_persisted_events",
+    lambda t, c: _persisted(t),
+    "ev",
+    _F1_SQL + ", " + cusum_sql("event_type", 3.0) + """
+--
+select event_type as entity_id, timestamp, value, score, baseline, 'decompose' as detector, '2024-01-30' as run, true as published, date_trunc('day', timestamp)::timestamp as event_date
+from d where anomaly <> 0
+union all
+select event_type, timestamp, value, score, baseline, 'change', '2024-01-30', false, date_trunc('day', timestamp)::timestamp from cu where anomaly <> 0""",
+    "value,score,baseline",
+)
+
+
 #: The detectors that compete, each with what it asks of a point; a lower margin than the default lets the sparse test series be told apart at all.
 _KEEN = detect.SpectralResidual(sensitivity=85, threshold=1.0)
 

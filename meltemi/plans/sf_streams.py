@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,12 @@ from meltemi.operators.dispatch import dispatch_orders
 from meltemi.plans import sf
 from meltemi.plans.sf import SfTables
 from meltemi.plans.sf_operators import CHANGES_SQL, F07_SQL, F07_VIEWS, HISTORY_SQL, busy_turbines, wire_of
-from meltemi.plans.sf_queries import add
+from meltemi.plans import questions as g
+from meltemi.plans.sf_queries import REGISTRY, Query, add
 from meltemi.session import shared_dir
 from meltemi.streaming import ingest, state
+from meltemi.streaming.keyed_alerts import PROVIDER, KeyedAlerts, with_end
+from meltemi.streaming.live import LiveTable
 from meltemi.operators.orders import well_again
 from meltemi.streaming.alerts import ChangeAlerts, dispatch_sink
 from meltemi.streaming.orders import OrderLedger
@@ -191,3 +195,59 @@ def _closed_orders(t: SfTables, c: Clock) -> DataFrame:
 
 
 add("F07_stream_closed_orders", _closed_orders, F07_VIEWS, HISTORY_SQL, "target_lat,target_lon,distance_nm")
+
+
+#: Feeds that questions about now read, with their keys.
+_LIVE_KEYS = {"wind": "turbine_id", "solar": "inverter_id", "vessel_positions": "vessel_id", "grid": "grid_id"}
+
+
+def with_live(t: SfTables, feed: str) -> dict[str, DataFrame]:
+    """The tables, with a live table in place of one feed's history: a stream reduces the events, as they come, to a row per asset."""
+    base = shared_dir(t.spark, "live")
+    ev = stream_of_events(t.spark, t.sf_dir)
+    rows = sf.grid(ev, t.raw("region")) if feed == "grid" else {"wind": sf.wind, "solar": sf.solar, "vessel_positions": sf.vessel_positions}[feed](ev)
+    live = LiveTable(base, _LIVE_KEYS[feed], rows.schema)
+    live.start(rows, f"{base}/checkpoint", available_now=True).awaitTermination()
+    return {**{name: t[name] for name in ("power_plants", "wind_turbines", "solar_inverters", "island_grids", "vessels", "substations")}, feed: _plain(live.read(t.spark))}
+
+
+def _ask_live(name: str, build: Callable[[Mapping[str, DataFrame]], DataFrame], feed: str) -> None:
+    """A question asked of the live table; the answer is that of the whole history."""
+    twin = next(q for n, q in REGISTRY.items() if n.startswith(name[:4]))
+    REGISTRY[name] = Query(lambda t, c: build(with_live(t, feed)), twin.sql)
+
+
+_ask_live("G13_live_vessel_positions", g.g13_vessel_positions, "vessel_positions")
+_ask_live("G14_live_turbine_power", g.g14_turbine_power, "wind")
+_ask_live("G15_live_inverter_power", g.g15_inverter_power, "solar")
+_ask_live("G16_live_vessel_courses", g.g16_vessel_courses, "vessel_positions")
+_ask_live("G17_live_turbine_wind", g.g17_turbine_wind, "wind")
+_ask_live("G18_live_inverter_irradiance", g.g18_inverter_irradiance, "solar")
+_ask_live("G27_live_wind_farm_power", g.g27_wind_farm_power, "wind")
+_ask_live("G19_live_grid_state", g.g19_grid_state, "grid")
+
+
+def _keyed_alerts(t: SfTables, events: DataFrame, key: str, condition: Column) -> DataFrame:
+    """Change alerts from keyed state; the state store is set for this query alone."""
+    base = shared_dir(t.spark, "keyed-alerts")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(setting, None)
+    t.spark.conf.set(setting, PROVIDER)
+    try:
+        job = KeyedAlerts(key, condition, tiebreak="event_id", delay="1 hour")
+        job.start(with_end(events, f"{base}/end"), f"{base}/alerts", f"{base}/checkpoint", available_now=True).awaitTermination()
+    finally:
+        t.spark.conf.unset(setting) if before is None else t.spark.conf.set(setting, before)
+    return _plain(t.spark.read.schema(events.schema).parquet(f"{base}/alerts"))
+
+
+add("F05_keyed_alerts", lambda t, c: _keyed_alerts(t, stream_of_events(t.spark, t.sf_dir), "user_id", F.col("event_type") == "error"), "ev", CHANGES_SQL)
+add(
+    "F06_keyed_threshold",
+    lambda t, c: _keyed_alerts(
+        t, sf.wind(stream_of_events(t.spark, t.sf_dir)).select("event_id", "timestamp", "turbine_id", "vibration_mm_s"), "turbine_id", F.col("vibration_mm_s") > 7.0
+    ).select("event_id", "turbine_id", "vibration_mm_s"),
+    "wind",
+    """select event_id, turbine_id, vibration_mm_s from (select *, lag(vibration_mm_s) over (partition by turbine_id order by timestamp, event_id) as prev from wind)
+       where vibration_mm_s > 7 and prev <= 7""",
+)

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meltemi.operators.assets import counted_median
-from meltemi.operators.detect import SpectralResidual, anomaly_events, best_detector, evaluate, spectral_residual, write_anomalies
+from meltemi.sources.anomalies import AnomalyTable
+from meltemi.operators.detect import SpectralResidual, anomaly_events, best_detector, evaluate, spectral_residual
 from meltemi.operators.series import bucketed, decompose, detect_period, make_series, per_entity_bucketed, width_us
 
 T0 = datetime(2026, 1, 1)
@@ -169,9 +170,21 @@ def test_events_table_and_publish_flag(spark, folder):
     values = [2.0 + (i % 5) * 0.1 for i in range(50)]
     values[20] = 30.0
     ev = anomaly_events(decompose(series(spark, values), "k", "5 seconds", threshold=1.0), "k", "decompose")
-    write_anomalies(ev, folder)
-    row = spark.read.parquet(folder).first()
-    assert (row.entity_id, row.value, row.detector, row.published) == ("a", 30.0, "decompose", False)
+    table = AnomalyTable(folder)
+    assert table.read(spark).count() == 0
+    table.write(ev, "decompose", "monday")
+    table.write(ev, "decompose", "monday")
+    table.write(ev.where("false"), "change", "monday")
+    row = table.read(spark).collect()
+    assert [(r.entity_id, r.value, r.detector, r.run, r.published) for r in row] == [("a", 30.0, "decompose", "monday", False)]
+    table.publish(spark, "decompose", "monday")
+    assert table.read(spark, published=True).count() == 1 and table.read(spark, published=False).count() == 0
+    # A rerun that finds other dates, or nothing, replaces the run and keeps its flag; a run that died is not seen.
+    table.write(ev.where("false"), "decompose", "monday")
+    assert table.read(spark).count() == 0
+    table.write(ev, "decompose", "monday")
+    ev.drop("detector", "published").write.partitionBy("event_date").parquet(f"{folder}/data/detector=decompose/run=tuesday/attempt=dead")
+    assert [(r.run, r.published) for r in table.read(spark).collect()] == [("monday", True)]
 
 
 def test_evaluation_by_hand(spark):
