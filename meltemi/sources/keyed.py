@@ -57,7 +57,8 @@ class KeyedTable:
         return self._rows(spark, self.live(spark, upto))
 
     def touched(self, changes: DataFrame) -> list[int]:
-        return [r[0] for r in changes.select(self._bucket().alias(BUCKET)).distinct().collect()]
+        """Numbers of the buckets that the rows fall into: one small set, whatever the rows."""
+        return changes.agg(F.collect_set(self._bucket()).alias(BUCKET)).first()[BUCKET]
 
     def merge(self, changes: DataFrame, generation: int, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Commit ``merged(old rows of the touched buckets, changes)`` as their new content. ``changes`` are read three times: pass written or kept rows."""
