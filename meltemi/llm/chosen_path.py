@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,9 +61,9 @@ def _sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _identity(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set: equal sets have equal names."""
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(value ^ np.uint64(0xA0761D6478BD642F)))])
-    return mixed(total[cut[1:]] - total[cut[:-1]] + np.diff(cut).astype(np.uint64)).view(np.int64)
+    """A 64-bit name of each set, from a cryptographic digest of its sorted shingles: equal sets have equal names."""
+    names = [hashlib.blake2b(value[a:b].tobytes(), digest_size=8).digest() for a, b in zip(cut[:-1], cut[1:])]
+    return np.frombuffer(b"".join(names), np.int64)
 
 
 def _minwise(value: np.ndarray, cut: np.ndarray, p: Paths) -> np.ndarray:

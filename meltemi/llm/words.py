@@ -41,6 +41,40 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+#: Two primes below 2^31 and a base for each: words are told apart by their polynomials modulo both.
+_PRIMES = ((2_147_483_647, 1_402_024_253), (2_147_483_629, 871_537_019))
+
+
+@lru_cache(maxsize=4)
+def _prime_powers(size: int, prime: int, base: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    k = 1
+    while k < size:
+        out[k : 2 * k] = out[: min(k, size - k)] * np.uint64(pow(base, k, prime)) % np.uint64(prime)
+        k *= 2
+    return out
+
+
+def word_prints(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of the spans of ``low``, never 0.
+
+    A polynomial modulo 2^64 gives some different words the same value whatever the base; modulo a prime, two words of n bytes agree for at most n of all bases.
+    """
+    n = len(low)
+    size = 1 << max(16, int(n + 1).bit_length())
+    joined = np.zeros(len(starts), np.uint64)
+    for prime, base in _PRIMES:
+        up, down, p = _prime_powers(size, prime, base), _prime_powers(size, prime, pow(base, -1, prime)), np.uint64(prime)
+        terms = (low.astype(np.uint64) + np.uint64(1)) * up[:n]
+        if n >= 1 << 24:  # sums of fewer such terms stay below 2^63
+            terms %= p
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(terms, out=total[1:])
+        joined = (joined << np.uint64(31)) | ((total[ends] - total[starts]) % p * down[starts] % p)
+    h = mixed(joined)
+    return np.where(h == 0, np.uint64(1), h)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Every bit of the input on every bit of the output."""
     h = h ^ (h >> np.uint64(32))
@@ -62,7 +96,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a block of texts: byte span, fingerprint, and per text the range of its words.
 
-    A fingerprint is a 64-bit polynomial over the word's bytes (A-Z lowered), mixed; never 0. No word crosses texts.
+    Fingerprints are those of :func:`word_prints` over the word's bytes (A-Z lowered). No word crosses texts.
     """
 
     def __init__(self, texts: pa.Array, kind: str = "alnum") -> None:
@@ -82,11 +116,7 @@ class Words:
         now[:-1] = inside
         self.starts = np.flatnonzero(now & (~before | edge))
         self.ends = np.flatnonzero(before & (~now | edge))
-        up, down = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        h = mixed((total[self.ends] - total[self.starts]) * down[self.starts])
-        self.prints = np.where(h == 0, np.uint64(1), h)
+        self.prints = word_prints(low, self.starts, self.ends)
         #: Word range of text i: first[i] to first[i + 1].
         self.first = np.searchsorted(self.starts, self.offsets)
         self.low = low

@@ -351,3 +351,28 @@ def test_near_vectors_that_share_a_direction(spark, kind):
     want = closure(list(range(len(x))), lambda a, b: near[a, b])
     assert np.mean([got[i].component_id == want[i] for i in got]) >= 0.95
     assert all(got[i].kept == (got[i].component_id == i) for i in got)
+
+
+def alike(n=1024):
+    """Two different words whose polynomials modulo 2^64 agree for every odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_words_stay_different(spark):
+    one, other = alike()
+    for kind in ("alnum", "blank"):
+        prints = Words(pa.array([one, other, one.upper(), "x" * 5000, "x" * 5001]), kind).prints
+        assert prints[0] == prints[2] and len(set(prints.tolist())) == 4
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert [r.component_id for r in chosen_path.near_duplicates(docs).orderBy("doc_id").collect()] == [1, 2, 1]
+    hit = suffix_match.digests(docs, spark.createDataFrame([(1, other)], "item_id long, text string"))
+    assert [r.contaminated for r in hit.orderBy("doc_id").collect()] == [False, True, False]
+
+
+def test_word_fingerprints_do_not_depend_on_place(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(1, 40))) for _ in range(500)]
+    alone = [Words(pa.array([w])).prints[0] for w in words]
+    assert list(Words(pa.array([" ".join(words[:250]), None, " ".join(words[250:])])).prints) == alone
+    assert len(set(map(int, alone))) == len(set(words))
