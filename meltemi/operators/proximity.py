@@ -207,7 +207,8 @@ def nearest(
     tree = settled(target_tree(targets, right_id, right_at), "target-tree")
     deepest = tree.agg(F.max("level").alias("level")).first()["level"]
     nothing = F.lit(None)
-    frontier = spots.select(la, lo, F.lit(0).cast("bigint").alias("cell"), nothing.cast(tree.schema["id"].dataType).alias("id"), F.lit(0.0).alias("low"), F.lit(GLOBE_NM).alias("high"))
+    # The root's number, from the position: as a literal it would leave the first step without a join key.
+    frontier = spots.select(la, lo, _spot_cell(la, lo, F.lit(0)).alias("cell"), nothing.cast(tree.schema["id"].dataType).alias("id"), F.lit(0.0).alias("low"), F.lit(GLOBE_NM).alias("high"))
     for level in range(0, -1 if deepest is None else deepest + 1, STEP):
         frontier = _pruned(_step(frontier, tree, level, left_at), left_at)
     best = frontier.where("id is not null and cell is null").groupBy(la, lo).agg(F.min(F.struct(F.round("high", 9).alias("far"), "id", "high")).alias("_b"))
