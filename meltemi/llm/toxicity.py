@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,7 +20,11 @@ BLANK = np.uint32(32)
 
 @dataclass(frozen=True)
 class Settings:
-    """The bounded sample that the model is fitted on, and how. At most ``positives + negatives`` texts of at most ``most_bytes`` each reach the driver."""
+    """The bounded sample that the model is fitted on, and how. At most ``positives + negatives`` texts of at most ``most_bytes`` each reach the driver.
+
+    A bucket weighs by how many standard errors beyond ``errors`` its share of toxic texts stands off its share of others; ``still`` is the weight of a
+    zero vector that joins every average, so that little evidence moves a text little.
+    """
 
     positives: int = 1500
     negatives: int = 2500
@@ -30,7 +35,9 @@ class Settings:
     batch: int = 128
     rate: float = 0.05
     seen_in: int = 2
-    decay: float = 1e-5
+    errors: float = 4.0
+    still: float = 5.0
+    decay: float = 1e-4
     seed: int = 7
 
 
@@ -42,8 +49,8 @@ def _word_letters() -> np.ndarray:
 class Subwords:
     """Subwords of a block of texts.
 
-    Words are runs of letters and digits, lower case, between blanks; subwords are their n-grams, the blanks at both ends included. A word's
-    vector is the mean of its subwords', a text's the mean of its words'.
+    Words are runs of letters and digits, lower case, between blanks; subwords are their n-grams, the blanks at both ends included. Every word counts
+    alike: its subwords share it.
     """
 
     def __init__(self, texts: pa.Array) -> None:
@@ -62,12 +69,11 @@ class Subwords:
         self.points = np.where(letter, points, BLANK)
         self.letters = np.diff(np.append(self.starts, n)) - 1
         self.owner = np.searchsorted(ends, kept[self.starts], side="right")
-        self.words_of = np.bincount(self.owner, minlength=self.n_texts)
         self.per_word = sum(np.maximum(self.letters + 3 - order, 0) for order in ORDERS)
 
     def weights(self) -> np.ndarray:
-        """Of a word's subwords: 1 / (words of the text * subwords of the word)."""
-        return 1.0 / np.maximum(self.words_of[self.owner] * self.per_word, 1)
+        """Of a word's subwords: 1 / subwords of the word."""
+        return 1.0 / np.maximum(self.per_word, 1)
 
     def grams(self):
         """Per order: the bucket of the n-gram that starts at each place, and whether it stays in its word."""
@@ -100,37 +106,53 @@ def _bags(texts: pa.Array) -> list[list]:
 
 @dataclass(frozen=True)
 class Model:
-    """Per bucket what its embedding adds to the log odds of label 1, and the bias. A text's score is the logistic of the average plus the bias."""
+    """Per bucket what its embedding adds to the log odds of label 1, times its weight, and the weight; the bias; the weight of the zero vector.
+
+    A text's score is the logistic of its weighted average plus the bias.
+    """
 
     odds: np.ndarray
+    weight: np.ndarray
     bias: float
+    still: float = 1.0
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         s = Subwords(texts)
         if not len(s.starts):
             return np.full(len(texts), self.bias)
-        each = np.zeros(len(s.points), np.float32)
+        odds, weight = np.zeros((2, len(s.points)), np.float32)
         for bucket, inside in s.grams():
-            each += np.where(inside, self.odds[bucket], np.float32(0))
-        words = np.add.reduceat(each, s.starts) * s.weights()
-        return np.bincount(s.owner, weights=words, minlength=len(texts)) + self.bias
+            odds += np.where(inside, self.odds[bucket], np.float32(0))
+            weight += np.where(inside, self.weight[bucket], np.float32(0))
+        top, below = (np.bincount(s.owner, weights=np.add.reduceat(x, s.starts) * s.weights(), minlength=len(texts)) for x in (odds, weight))
+        return top / (below + self.still) + self.bias
+
+
+def telling(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, s: Settings) -> np.ndarray:
+    """The weight of every bucket; 0 where chance could explain how it is shared between the classes, or in fewer than ``seen_in`` texts."""
+    with_label = [np.bincount(np.concatenate([np.zeros(0, np.int64), *[b for (b, _), k in zip(bags, y) if k == c]]), minlength=1 << BITS) for c in (0, 1)]
+    n = [max(int((y == c).sum()), 1) for c in (0, 1)]
+    share = (with_label[0] + with_label[1] + 1) / (len(y) + 2)
+    error = np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
+    off = np.abs(with_label[1] / n[1] - with_label[0] / n[0]) / error
+    return np.where(with_label[0] + with_label[1] >= s.seen_in, np.maximum(off - s.errors, 0), 0).astype(np.float32)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings, prior: float) -> Model:
     """Embeddings and softmax by Adam on mini-batches. ``prior`` is the log odds of label 1 over all labelled rows, for the bias.
 
-    Buckets seen in fewer than ``seen_in`` sampled texts keep the zero vector and so add nothing.
+    A text's vector is the average of its subwords' by weight. Buckets without weight take no part.
     """
     y = labels.astype(int)
     if len(y) == 0 or y.min() == y.max():
-        return Model(np.zeros(1 << BITS, np.float32), prior)
+        return Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), prior, s.still)
     rng = np.random.default_rng(s.seed)
-    seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=1 << BITS)
-    used = np.flatnonzero(seen >= s.seen_in)
+    weight = telling(bags, y, s)
+    used = np.flatnonzero(weight > 0)
     slot = np.zeros(1 << BITS, np.int32)
     slot[used] = np.arange(len(used))
-    gain = 30.0  # averages of many words are small numbers
-    bags = [(slot[b[k]], w[k] * np.float32(gain)) for b, w in bags for k in [seen[b] >= s.seen_in]]
+    bags = [(slot[b[k]], w[k] * weight[b[k]]) for b, w in bags for k in [weight[b] > 0]]
+    bags = [(b, w / np.float32(w.sum() + s.still)) for b, w in bags]
     emb = rng.normal(0, 0.05, (len(used), s.width)).astype(np.float32)
     out = rng.normal(0, 0.3, (s.width, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -164,9 +186,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
                 v += np.float32(0.01) * (grad * grad - v)
                 param -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-6))
     odds = np.zeros(1 << BITS, np.float32)
-    odds[used] = gain * (emb @ (out[:, 1] - out[:, 0]))
+    odds[used] = weight[used] * (emb @ (out[:, 1] - out[:, 0]))
     sampled = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    return Model(odds, float(bias[1] - bias[0] + prior - sampled))
+    return Model(odds, weight, float(bias[1] - bias[0] + prior - sampled), s.still)
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -189,9 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), *, key: st
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """Rows (key, extra columns, ``score``, ``predicted``) of every whole text.
 
-    Null, empty and wordless texts get the score of the bias alone. Texts of any length are averaged whole. Repeated rows come out each.
+    Null, empty and wordless texts, and those without a telling subword, get the score of the bias alone. Texts of any length are averaged whole. Repeated rows come out each.
     """
-    shared = bounded_broadcast(docs.sparkSession, model, model.odds.nbytes, "the toxicity model")
+    shared = bounded_broadcast(docs.sparkSession, model, model.odds.nbytes + model.weight.nbytes, "the toxicity model")
     kept = docs.select(key, text, *[c.alias(n) for n, c in (extra or {}).items()])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != text]
 
@@ -204,7 +226,13 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
 
 def accepted(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all their columns, that the model does not call toxic. Rows pass through the scoring map whole; nothing is joined."""
+    """The documents, all their columns, that the model does not call toxic. Rows pass through the scoring map whole; nothing is joined.
+
+    What the bias alone would call toxic stays: a text is rejected for what stands in it, so null, empty and wordless texts are kept.
+    """
     carried = {f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
     rows = score(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *[c.alias(n) for n, c in carried.items()]), model, key="_key", text="_text", extra={n: F.col(n) for n in carried})
-    return rows.where("predicted = 0").select(*[F.col(n).alias(c) for n, c in zip(carried, docs.columns)])
+    fine = F.col("predicted") == 0
+    if model.bias >= 0:
+        fine |= F.col("score") <= 1 / (1 + math.exp(-min(model.bias, 500.0)))
+    return rows.where(fine).select(*[F.col(n).alias(c) for n, c in zip(carried, docs.columns)])

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -76,6 +77,63 @@ def test_toxicity_of_unseen_misspellings(spark):
     assert toxicity.score(new.limit(0), model).count() == 0
 
 
+def word_rule(texts, labels):
+    """A plain learned rule: a text is toxic if it holds a word that is much commoner in toxic texts, seen in three of them or more."""
+    held = [{0: {}, 1: {}}, {0: 0, 1: 0}]
+    for text, y in zip(texts, labels):
+        held[1][y] += 1
+        for w in set(re.findall(r"\w+", text.lower())):
+            held[0][y][w] = held[0][y].get(w, 0) + 1
+    return {w for w, n in held[0][1].items() if n >= 3 and n / held[1][1] > 20 * (held[0][0].get(w, 0) + 0.5) / held[1][0]}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_follows_the_labels(spark, sf):
+    """On the held-out fold nine tenths of what the word rule finds at least, and no more clean ones rejected."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    learned = crc_bucket("doc_id", 5) != 0
+    known = docs.join(labels.select("doc_id", "toxic"), "doc_id").where("text is not null")
+    train = known.where(learned).select("text", "toxic").collect()
+    rule = word_rule([r.text for r in train], [int(r.toxic) for r in train])
+    scored = toxicity.score(known.where(~learned), toxicity.fit(docs.where(learned), labels.where(learned)), extra={"toxic": F.col("toxic"), "words": F.lower("text")})
+    found, wrong = np.zeros(2, int), np.zeros(2, int)
+    for r in scored.collect():
+        said = np.array([r.predicted, int(not rule.isdisjoint(re.findall(r"\w+", r.words)))])
+        if r.toxic:
+            found += said
+        else:
+            wrong += said
+    assert found[0] >= 0.9 * found[1] and wrong[0] <= max(wrong[1], 1), (found, wrong)
+
+
+def test_toxicity_equals_a_plain_average(spark):
+    """Scores against the weighted average written out word by word."""
+    rng = random.Random(3)
+    bad = ["wretchedfool", "vilebrute"]
+    texts = [spoken(rng, rng.randint(5, 40), bad if i % 3 == 0 else ()) for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert (model.weight > 0).any()
+
+    def bucket(gram):
+        h = np.uint32(0x9E3779B1)
+        with np.errstate(over="ignore"):
+            for c in gram:
+                h = (h ^ np.uint32(ord(c))) * np.uint32(0x85EBCA6B)
+                h ^= h >> np.uint32(13)
+            return int((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - toxicity.BITS))
+
+    for i, row in {r.doc_id: r for r in toxicity.score(docs, model).collect()}.items():
+        top = below = 0.0
+        for word in texts[i].split():
+            grams = [f" {word} "[a : a + n] for n in toxicity.ORDERS for a in range(len(word) + 3 - n)]
+            for gram in grams:
+                top += float(model.odds[bucket(gram)]) / len(grams)
+                below += float(model.weight[bucket(gram)]) / len(grams)
+        assert row.score == pytest.approx(1 / (1 + math.exp(-(top / (below + model.still) + model.bias))), rel=1e-3, abs=1e-6)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
