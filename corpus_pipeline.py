@@ -19,9 +19,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines leave the texts; every document stays, with its text and its length as they are then."""
-    out = line_chunks.dedup_lines(docs, paired=True)
-    now = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
-    return out.select(*[now[c].alias(c) if c in now else F.col(c) for c in docs.columns])
+    carried = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    out = line_chunks.dedup_lines(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in carried.items()]), key=carried["doc_id"], text=carried["text"], paired=True)
+    now = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return out.select(*[now.get(f.name, F.col(carried[f.name])).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,6 +200,8 @@ def near_duplicates(
     Equal sets are one set from the start, so copies form no pairs. Trees share no state and run side by side, level by level: nodes with one component are
     done, small ones are compared exhaustively, large ones with a pivot, and those with many sets outside their main component branch further. Every link is confirmed on full sets.
     """
+    name, docs = key, docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    key, text = "_key", "_text"
     signed = settled(signatures(docs, paths, key=key, text=text, size=size), "signatures")
     own = signed.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
     sets = settled(own.groupBy("set_id").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "distinct")
@@ -230,4 +232,5 @@ def near_duplicates(
     alone = F.col("n_shingles") == 0
     out = signed.select(key, "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col(key).isNull(), F.lit(None)).when(alone, F.col(key)).otherwise(F.col("component_id"))
-    return out.select(key, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    found = out.select(key, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    return found.withColumnRenamed(key, name)

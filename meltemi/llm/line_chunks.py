@@ -59,10 +59,11 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pai
     Lines end at "\\n". A chunk ends where the rolling hash of the last lines' hashes says so, whatever stands further before or behind: inserted lines
     move no boundary beyond their neighbours. A chunk of two lines or more that also stands earlier (smaller key, or same document and earlier) is removed, after its bytes have been
     compared with the first one's; single-line chunks stay, of which ``paired`` makes none in texts of two lines or more. A null text stays null with 0 lines; an empty one has one empty line. Rows of one key
-    and equal text count as one document and get the same result; null keys come first. Copies of a chunk meet in partial counts and minima only, and joins on a hot chunk can be split, as its side has all the
+    and equal text count as one document and get the same result; null keys come first. Columns of ``docs`` named like a result give way to it; the key and the text must not be named so. Copies of a chunk meet in partial counts and minima only, and joins on a hot chunk can be split, as its side has all the
     copies and the other one row.
     """
-    columns = docs.columns
+    made = ("kept_text", "n_lines", "n_removed_lines", "n_removed_chunks")
+    columns = [c for c in docs.columns if c not in made]
     # The text travels once: inside the row.
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_print"))
     lined = with_lines(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text")), "_text", paired)

@@ -1,6 +1,8 @@
 """The pipeline's stages one after the other, and the registration."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from meltemi.llm import bpe_automaton
 from meltemi.llm.queries import ORACLES, QUERIES, vocabulary
 
@@ -35,6 +37,26 @@ def test_run_is_the_stages_in_turn(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for k in range(1, 11) for n in QUERIES if n.startswith(f"op{k}_")]
-    assert len(QUERIES) == 10 and set(ORACLES) <= set(QUERIES)
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for k in range(1, 14) for n in QUERIES if n.startswith(f"op{k}_")]
+    assert len(QUERIES) == 13 and set(ORACLES) <= set(QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "bpe_encoding"]
+
+
+def test_stages_take_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long = " ".join(["q"] * 60_000)
+    odd = [(9001, None), (9002, ""), (9003, "hello"), (9004, long), (9004, long), (9005, "\n\n"), (None, "of no name")]
+    blank = {"source": None, "lang": None}
+    rows = spark.createDataFrame(odd, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.select(*[F.col(f.name).cast(f.dataType) if f.name not in blank else F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+    clashing = docs.unionByName(rows).withColumns({c: F.lit(c) for c in ("kept_text", "n_lines", "id", "set_id", "score", "predicted", "kept", "component_id")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, SF)
+        assert out.columns == clashing.columns, name
+        got = [r.doc_id for r in out.select("doc_id").collect()]
+        assert {9001, 9002, 9003, 9004, 9005, None} <= set(got), name
+        assert got.count(9004) == 2, name
+        assert stage(spark, clashing.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, clashing, SF).count() == clashing.count()
+    bare = clashing.select("doc_id", "text")
+    assert corpus_pipeline.drop_repeated_lines(spark, bare, SF).columns == bare.columns
