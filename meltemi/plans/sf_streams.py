@@ -17,6 +17,7 @@ from meltemi.plans.sf_operators import CHANGES_SQL, F07_SQL, F07_VIEWS, HISTORY_
 from meltemi.plans import questions as g
 from meltemi.plans.sf_queries import REGISTRY, Query, add
 from meltemi.session import shared_dir
+from meltemi.sources.parts import PartTable
 from meltemi.streaming import ingest, state
 from meltemi.streaming.keyed_alerts import PROVIDER, KeyedAlerts, with_end
 from meltemi.streaming.live import LiveTable
@@ -69,6 +70,25 @@ add(
 )
 
 
+def _folded(t: SfTables, c: Clock) -> DataFrame:
+    """Wind telemetry in six micro-batches, folded three at a time into parts."""
+    base = shared_dir(t.spark, "folded")
+    rows = t["wind"]
+    rows.repartition(6).write.parquet(f"{base}/arrivals")
+    table = PartTable(f"{base}/table", rows.schema, order=("turbine_id", "timestamp"), fan=3, levels=2)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrivals")
+    ingest.started(stream.writeStream.foreachBatch(table.commit), f"{base}/checkpoint", available_now=True).awaitTermination()
+    return table.read(t.spark).groupBy("turbine_id", F.col("event_date").cast("timestamp_ntz").alias("event_date")).agg(F.count("*").alias("n"))
+
+
+add(
+    "A04_stream_folded_table",
+    _folded,
+    "wind",
+    "select turbine_id, date_trunc('day', timestamp)::timestamp as event_date, count(*) as n from wind group by 1, 2",
+)
+
+
 def _deduplicated(t: SfTables, c: Clock) -> DataFrame:
     """Every event delivered twice, counted once."""
     base = shared_dir(t.spark, "dedup")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from meltemi.sources.parts import PartTable
 from meltemi.sources.schemas import FEEDS, Feed
 from meltemi.sources.store import DAY, with_day
 from meltemi.sources.wire import quarantine, routes, typed
@@ -56,14 +57,21 @@ def route_to_tables(
     feeds: Mapping[str, Feed] = FEEDS,
     fmt: str = "parquet",
     available_now: bool = False,
+    folded: bool = False,
 ) -> StreamingQuery:
-    """One query reads the source once, parses it once and writes every feed's table plus the quarantine."""
+    """One query reads the source once, parses it once and writes every feed's table plus the quarantine.
+
+    With ``folded`` the feeds become part tables (``sources/parts.py``), whose small files are folded on the way; otherwise a folder a day and batch.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         parsed = typed(batch, feeds).persist()
         try:
             for name, rows in routes(parsed, feeds).items():
-                write_batch(rows, f"{store}/{name}", batch_id, fmt=fmt)
+                if folded:
+                    PartTable(f"{store}/{name}", rows.schema).commit(rows, batch_id)
+                else:
+                    write_batch(rows, f"{store}/{name}", batch_id, fmt=fmt)
             quarantine(parsed, feeds).write.format(fmt).mode("overwrite").save(f"{store}/quarantine/{BATCH}={batch_id}")
         finally:
             parsed.unpersist()
