@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltemi.operators.entities import Entity, Ontology, Tables
-from meltemi.session import settled
+from meltemi.session import shared_dir
 
 
 def edges(tables: Tables, ontology: Ontology, relationships: Sequence[str] | None = None) -> DataFrame:
@@ -54,16 +54,23 @@ def subgraph(
     all_edges = edges(tables, ontology, relationships)
     if seeds is None:
         return endpoints(all_edges), all_edges
-    frontier = settled(seeds.select("type", F.col("id").cast("string").alias("id")).distinct(), "frontier")
-    chosen = all_edges
+    spark, folder = all_edges.sparkSession, shared_dir(all_edges.sparkSession, "hops")
+    # Every hop's nodes and edges are written once; a hop reads what is new, and the end reads all hops' folders as one table.
+    reached, found = f"{folder}/nodes", f"{folder}/edges"
+    start = seeds.select("type", F.col("id").cast("string").alias("id")).distinct()
     for hop in range(hops):
-        # The frontier is written out after each hop, so a hop reads the edges once however many came before.
-        source = frontier.select(F.col("type").alias("src_type"), F.col("id").alias("src_id"), F.lit(True).alias("_from"))
-        target = frontier.select(F.col("type").alias("dst_type"), F.col("id").alias("dst_id"), F.lit(True).alias("_into"))
-        met = all_edges.join(source, ["src_type", "src_id"], "left").join(target, ["dst_type", "dst_id"], "left")
-        chosen = met.where(F.col("_from") | F.col("_into")).select(*all_edges.columns).distinct()
-        if hop + 1 < hops:
-            frontier = settled(endpoints(chosen), "frontier")
+        start.write.parquet(f"{reached}/hop={hop}")
+        frontier = spark.read.schema(start.schema).parquet(f"{reached}/hop={hop}")
+        # Only nodes that the last hop reached first look for edges.
+        source = frontier.select(F.col("type").alias("src_type"), F.col("id").alias("src_id"))
+        target = frontier.select(F.col("type").alias("dst_type"), F.col("id").alias("dst_id"))
+        outgoing = all_edges.join(source, ["src_type", "src_id"], "left_semi").select(*all_edges.columns)
+        incoming = all_edges.join(target, ["dst_type", "dst_id"], "left_semi").select(*all_edges.columns)
+        outgoing.unionByName(incoming).distinct().write.parquet(f"{found}/hop={hop}")
+        new = spark.read.schema(all_edges.schema).parquet(f"{found}/hop={hop}")
+        visited = spark.read.schema(start.schema).parquet(reached).select("type", "id")
+        start = endpoints(new).join(visited, ["type", "id"], "left_anti")
+    chosen = spark.read.schema(all_edges.schema).parquet(found).select(*all_edges.columns).distinct() if hops > 0 else all_edges
     return endpoints(chosen), chosen
 
 

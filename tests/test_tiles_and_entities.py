@@ -6,6 +6,7 @@ from meltemi.operators import assets, emissions, graph
 from meltemi.operators.entities import entity_view
 from meltemi.plans import questions as g
 from meltemi.plans import tiles as e
+from meltemi.session import shared_dir
 from meltemi.plans.ontology import ENTITIES, ONTOLOGY
 from tests.seed import NOW, feed, tables
 
@@ -257,3 +258,22 @@ def test_grid_balance_and_cadence(spark, static):
     w = feed(spark, "wind", *[wind("WT-1", s) for s in (0, 2, 4, 6, 20)])
     row = assets.cadence_report(w, "stream_type", "turbine_id", {"WindTurbineTelemetry": 2.0}).first()
     assert (row.intervals, row.median_s, row.max_s, row.gaps) == (4, 2.0, 14, 1)
+
+
+def test_hops_look_up_new_nodes_only(spark, static, monkeypatch):
+    """The frontiers of all hops are disjoint, and together the nodes reached before the last hop."""
+    folders = []
+    monkeypatch.setattr(graph, "shared_dir", lambda s, purpose: folders.append(shared_dir(s, purpose)) or folders[-1])
+    seed = spark.createDataFrame([("PowerPlant", "PP-NAX-01"), ("PowerPlant", "PP-NAX-01")], "type string, id string")
+    rels = ["belongs_to_plant", "fed_by_plant", "supplies_plant", "feeds_grid"]
+    nodes, edges = graph.subgraph(static, ONTOLOGY, rels, seeds=seed, hops=4)
+    fronts = [(r.type, r.id) for r in spark.read.parquet(f"{folders[0]}/nodes").collect()]
+    assert len(fronts) == len(set(fronts))
+    assert set(fronts) == {tuple(r) for r in graph.subgraph(static, ONTOLOGY, rels, seeds=seed, hops=3)[0].collect()}
+    every = graph.edges(static, ONTOLOGY, rels).collect()
+    known, want = {("PowerPlant", "PP-NAX-01")}, set()
+    for _ in range(4):
+        want = {e for e in every if (e.src_type, e.src_id) in known or (e.dst_type, e.dst_id) in known}
+        known |= {(e.src_type, e.src_id) for e in want} | {(e.dst_type, e.dst_id) for e in want}
+    assert set(edges.collect()) == want and edges.count() == len(want)
+    assert {tuple(r) for r in nodes.collect()} == known
