@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltemi.functions.clock import seconds_between
@@ -57,30 +57,18 @@ def arrivals(positions: DataFrame, lat: float | Column, lon: float | Column, rad
 def packed_routes(route_legs: DataFrame, *, vessel: str = "vessel_id") -> DataFrame:
     """One row per vessel: its legs in order, each with end points, length and distance left after it.
 
-    ``route_legs`` lists waypoints as (vessel, leg_no, lat, lon). A route is a handful of
-    waypoints, so the array is small by nature.
+    ``route_legs`` lists waypoints as (vessel, leg_no, lat, lon). Lengths and what is left are running values over a vessel's sorted
+    waypoints, linear in them; the legs are then packed, as a route is a handful of waypoints by nature.
     """
-    points = F.array_sort(F.collect_list(F.struct("leg_no", "lat", "lon")))
-    route = route_legs.groupBy(vessel).agg(points.alias("_p"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.size("_p") - 2),
-        lambda i: F.struct(
-            F.get("_p", i)["leg_no"].alias("leg_no"),
-            F.get("_p", i)["lat"].alias("lat"),
-            F.get("_p", i)["lon"].alias("lon"),
-            F.get("_p", i + 1)["lat"].alias("to_lat"),
-            F.get("_p", i + 1)["lon"].alias("to_lon"),
-            distance_nm(F.get("_p", i)["lat"], F.get("_p", i)["lon"], F.get("_p", i + 1)["lat"], F.get("_p", i + 1)["lon"]).alias("nm"),
-        ),
-    )
-    legs = route.where(F.size("_p") >= 2).select(vessel, pairs.alias("_l"))
-    after = F.transform(
-        "_l",
-        lambda leg, i: leg.withField(
-            "after_nm", F.aggregate(F.slice("_l", i + 2, F.size("_l")), F.lit(0.0), lambda acc, x: acc + x["nm"])
-        ),
-    )
-    return legs.select(vessel, after.alias("legs"))
+    points = ["leg_no", "lat", "lon"]
+    onward = Window.partitionBy(vessel).orderBy(*points)
+    back = Window.partitionBy(vessel).orderBy(*[F.desc(c) for c in points])
+    there = route_legs.select(vessel, *points).withColumn("_to", F.lead(F.struct("lat", "lon")).over(onward)).where(F.col("_to").isNotNull())
+    legs = there.select(vessel, *points, F.col("_to.lat").alias("to_lat"), F.col("_to.lon").alias("to_lon"))
+    legs = legs.withColumn("nm", distance_nm("lat", "lon", "to_lat", "to_lon"))
+    after = F.coalesce(F.sum("nm").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    leg = F.struct(*points, "to_lat", "to_lon", "nm", after.alias("after_nm"))
+    return legs.select(vessel, leg.alias("_leg")).groupBy(vessel).agg(F.array_sort(F.collect_list("_leg")).alias("legs"))
 
 
 def time_to_go(positions: DataFrame, route_legs: DataFrame, *, vessel: str = "vessel_id", speed: str = "speed_knots") -> DataFrame:

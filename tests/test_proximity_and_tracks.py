@@ -12,7 +12,7 @@ from meltemi.operators import proximity
 from meltemi.operators.alerts import maintenance_orders, open_episodes
 from meltemi.operators.dispatch import dispatch_orders
 from meltemi.operators.proximity import count_within, nearest, within_radius
-from meltemi.operators.tracks import arrivals, legs_sailed, time_to_go, track_metrics
+from meltemi.operators.tracks import arrivals, legs_sailed, packed_routes, time_to_go, track_metrics
 
 T0 = datetime(2026, 1, 1)
 
@@ -177,3 +177,15 @@ def test_time_to_go(spark):
     assert got[0].eta_h == pytest.approx(9.006, abs=0.01)
     stopped = time_to_go(df.selectExpr("vessel_id", "timestamp", "latitude", "longitude", "0.0D as speed_knots"), route)
     assert {r.eta_h for r in stopped.collect()} == {0.0}
+
+
+def test_left_on_a_long_route_is_the_sum_of_its_legs(spark):
+    n = 400
+    route = spark.range(n).selectExpr("'V' as vessel_id", "cast(id as int) as leg_no", "36.0 + id * 0.001D as lat", "25.0D as lon")
+    legs = packed_routes(route).first().legs
+    assert [leg.leg_no for leg in legs] == list(range(n - 1))
+    left = 0.0
+    for leg in reversed(legs):
+        assert leg.after_nm == pytest.approx(left)
+        left += leg.nm
+    assert packed_routes(route.where("leg_no = 0")).count() == 0
