@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meltemi.functions.clock import Clock, within
 from meltemi.functions.numbers import above, kw_to_mw, rounded, share, total
-from meltemi.functions.terms import apply_term, under_way, unknown_values
+from meltemi.functions.terms import ENUMS, apply_term, under_way, unknown_values
 from meltemi.functions.text import FORCED_FAILURE, by_prefix, differs, fault_category, fault_label, fault_severity, is_empty
 from meltemi.operators import alerts, assets, detect, dispatch, emissions, graph, orders, proximity, tracks
 from meltemi.operators.entities import entity_view, follow, live_values
@@ -155,6 +155,25 @@ add(
     """select '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || longitude || ',' || latitude || ']},"properties":{"substation_id":'
        || substation_id || ',"substation_name":"' || substation_name || '"}}' as value from substations""",
 )
+def _map_layers(t: SfTables) -> DataFrame:
+    """Both point layers written as files and read back. The given tables place no grids; here their number does."""
+    base = shared_dir(t.spark, "map")
+    grids = t["island_grids"].withColumn("latitude", F.lit(35.0) + F.col("grid_id")).withColumn("longitude", F.lit(20.0) + F.col("grid_id"))
+    layers = {"substations": (t["substations"], "substation"), "island_grids": (grids, "grid")}
+    geojson.write_layers({n: df.select("latitude", "longitude", F.col(f"{k}_id").alias("id"), F.col(f"{k}_name").alias("name")) for n, (df, k) in layers.items()}, base)
+    kind = "type string, geometry struct<type: string, coordinates: array<double>>, properties struct<id: bigint, name: string>"
+    feature = geojson.read_layers(t.spark, base).withColumn("f", F.from_json("value", kind))
+    place = F.col("f.geometry.coordinates")
+    return feature.select("layer", F.col("f.properties.id").alias("id"), F.col("f.properties.name").alias("name"), place[0].alias("longitude"), place[1].alias("latitude"))
+
+
+add(
+    "A08_map_layers",
+    lambda t, c: _map_layers(t),
+    "substations island_grids",
+    """select 'substations' as layer, substation_id as id, substation_name as name, longitude, latitude from substations
+       union all select 'island_grids', grid_id, grid_name, 20.0 + grid_id, 35.0 + grid_id from island_grids""",
+)
 add(
     "A09_ingest_health",
     lambda t, c: store.ingest_health(t["events"].withColumnRenamed("event_type", "stream_type").withColumnRenamed("value", "power_mw"), c),
@@ -263,6 +282,33 @@ add(
 select property, value, count(*) as n from v where value not in ('Corrective', 'Inspection', 'Preventive', 'Critical', 'High', 'Medium', 'Low',
        'Open', 'Scheduled', 'In Progress', 'Completed', 'SolarInverter', 'WindTurbine') group by 1, 2""",
 )
+#: Per entity its table here and those enumerated properties that the table has.
+_ENUMERATED = {
+    "PowerPlant": ("power_plants", ("plant_type", "fuel_type", "region", "prefecture", "status")),
+    "WindTurbine": ("wind_turbines", ("manufacturer", "model", "status")),
+    "SolarInverter": ("solar_inverters", ("manufacturer", "panel_type", "status")),
+    "Grid": ("island_grids", ("island", "region")),
+    "Vessel": ("vessels", ("vessel_type", "flag")),
+    "Substation": ("substations", ("status",)),
+    "MaintenanceOrder": ("maintenance_orders", ("order_type", "priority", "status", "asset_type")),
+    "EmissionsRecord": ("emissions_ledger", ("compliance_status",)),
+}
+
+
+def _unknown_sql(entity: str) -> str:
+    table, props = _ENUMERATED[entity]
+    listed = lambda p: ", ".join(f"'{v}'" for v in ENUMS[entity][p])
+    return " union all ".join(
+        f"select '{entity}' as entity, '{p}' as property, {p}::varchar as value, count(*) as n from {table} where {p}::varchar not in ({listed(p)}) group by 3" for p in props
+    )
+
+
+add(
+    "B10_unknown_values_of_all_types",
+    lambda t, c: reduce(DataFrame.unionByName, [unknown_values(t[ENTITIES[e].table], e).withColumn("entity", F.lit(e)) for e in _ENUMERATED]),
+    " ".join(table for table, _ in _ENUMERATED.values()),
+    " union all ".join(_unknown_sql(e) for e in _ENUMERATED),
+)
 add(
     "B11_list_and_period_filters",
     lambda t, c: t["emissions_ledger"].where(F.col("period").isin("1998-03", "1998-04") | F.col("period").startswith("2000-")).groupBy("period").agg(F.count("*").alias("n")),
@@ -520,6 +566,27 @@ add(
 select type, id from n where type in ('Substation', 'PowerPlant') and not exists (select 1 from e where e.src_type = type and e.src_id = id)
     and not exists (select 1 from e where e.dst_type = type and e.dst_id = id)""",
 )
+add(
+    "D05_isolated_nodes_of_all_types",
+    lambda t, c: graph.isolated(t, ONTOLOGY),
+    _EDGE_VIEWS,
+    f"""with e as ({_edge_sql()}), n as ({_NODE_SQL})
+--
+select type, id from n where not exists (select 1 from e where e.src_type = type and e.src_id = id) and not exists (select 1 from e where e.dst_type = type and e.dst_id = id)""",
+)
+_REPORTERS = {"WindTurbine": ("wind", "wind_turbines", "turbine_id"), "SolarInverter": ("solar", "solar_inverters", "inverter_id"), "Grid": ("grid", "island_grids", "grid_id"), "Vessel": ("pos", "vessels", "vessel_id")}
+add(
+    "D05_unknown_reporters_of_all_types",
+    lambda t, c: reduce(
+        DataFrame.unionByName,
+        [graph.unknown_reporters(t, ENTITIES[e]).select(F.lit(e).alias("type"), F.col(k).cast("string").alias("id"), "events") for e, (_, _, k) in _REPORTERS.items()],
+    ),
+    " ".join(f"{live} {table}" for live, table, _ in _REPORTERS.values()),
+    " union all ".join(
+        f"select '{e}' as type, {k}::varchar as id, count(*) as events from {live} where not exists (select 1 from {table} s where s.{k} = {live}.{k}) group by 2"
+        for e, (live, table, k) in _REPORTERS.items()
+    ),
+)
 add(
     "D05_unknown_reporters",
     lambda t, c: graph.unknown_reporters(t, ENTITIES["Vessel"]),

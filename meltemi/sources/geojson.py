@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,17 @@ def features(df: DataFrame, *, lat: str = "latitude", lon: str = "longitude", pr
 
 def write_features(df: DataFrame, path: str, **kwargs) -> None:
     features(df, **kwargs).write.mode("overwrite").text(path)
+
+
+LAYER = "layer"
+
+
+def write_layers(layers: Mapping[str, DataFrame], path: str, **kwargs) -> None:
+    """Every layer as files of features in a folder of its own; a rewrite replaces a layer whole. Rows without a position are no points."""
+    for name, df in layers.items():
+        write_features(df, f"{path}/{LAYER}={name}", **kwargs)
+
+
+def read_layers(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (``layer``, ``value``) of all written layers."""
+    return spark.read.schema(f"value string, {LAYER} string").text(path)

@@ -42,31 +42,31 @@ VE-LNG-02|Second Carrier|LNG Carrier|Malta|PP-MEG-01
 VE-SVC-01|Crew Boat|Crew Transfer Vessel|Greece|PP-NAX-01
 """
 ORDERS = """
-001|High|Completed|WT-THR-03|2026-01-19|12500
-002|Medium|Completed|WT-TIN-02|2026-02-02|4200
-003|High|Completed|SI-CRE-04|2026-02-04|8900
-004|Low|Completed|WT-NAX-01|2026-02-15|1800
-005|Medium|Completed|WT-THR-06|2026-02-23|6700
-006|Medium|Completed|SI-THE-03|2026-03-05|2100
-007|High|Completed|WT-NAX-05|2026-03-10|22000
-008|Low|Completed|WT-TIN-04|2026-03-15|950
-009|Medium|Completed|SI-CRE-01|2026-03-18|1500
-010|High|Completed|WT-THR-01|2026-03-25|35000
-011|Medium|Completed|WT-NAX-03|2026-04-01|4200
-012|Medium|In Progress|SI-THE-07||3500
-013|Low|Scheduled|WT-TIN-01||1200
-014|Medium|Scheduled|SI-CRE-06||2800
-015|Critical|Open|WT-NAX-07||0
+MO-2026-001|High|Completed|WT-THR-03|2026-01-19|12500
+MO-2026-002|Medium|Completed|WT-TIN-02|2026-02-02|4200
+MO-2026-003|High|Completed|SI-CRE-04|2026-02-04|8900
+MO-2026-004|Low|Completed|WT-NAX-01|2026-02-15|1800
+MO-2026-005|Medium|Completed|WT-THR-06|2026-02-23|6700
+MO-2026-006|Medium|Completed|SI-THE-03|2026-03-05|2100
+MO-2026-007|High|Completed|WT-NAX-05|2026-03-10|22000
+MO-2026-008|Low|Completed|WT-TIN-04|2026-03-15|950
+MO-2026-009|Medium|Completed|SI-CRE-01|2026-03-18|1500
+MO-2026-010|High|Completed|WT-THR-01|2026-03-25|35000
+MO-2026-011|Medium|Completed|WT-NAX-03|2026-04-01|4200
+MO-2026-012|Medium|In Progress|SI-THE-07||3500
+MO-2026-013|Low|Scheduled|WT-TIN-01||1200
+MO-2026-014|Medium|Scheduled|SI-CRE-06||2800
+MO-2026-015|Critical|Open|WT-NAX-07||0
 """
 LEDGER = """
-LAV|2026-01|18500|20000|92.5
-MEG|2026-01|9800|11000|89.1
-LAV|2026-02|17200|20000|86.0
-MEG|2026-02|10100|11000|91.8
-LAV|2026-03|19800|20000|99.0
-MEG|2026-03|10500|11000|95.5
-LAV|2026-04|8900|20000|44.5
-MEG|2026-04|4200|11000|38.2
+EM-2026-01-LAV|PP-LAV-01|2026-01|18500|20000|92.5
+EM-2026-01-MEG|PP-MEG-01|2026-01|9800|11000|89.1
+EM-2026-02-LAV|PP-LAV-01|2026-02|17200|20000|86.0
+EM-2026-02-MEG|PP-MEG-01|2026-02|10100|11000|91.8
+EM-2026-03-LAV|PP-LAV-01|2026-03|19800|20000|99.0
+EM-2026-03-MEG|PP-MEG-01|2026-03|10500|11000|95.5
+EM-2026-04-LAV|PP-LAV-01|2026-04|8900|20000|44.5
+EM-2026-04-MEG|PP-MEG-01|2026-04|4200|11000|38.2
 """
 
 
@@ -113,15 +113,15 @@ def reference_tables(spark) -> dict:
     ships = [dict(zip(("vessel_id", "vessel_name", "vessel_type", "flag", "supply_plant_id"), r)) for r in _rows(VESSELS)]
     orders = [
         {
-            "order_id": f"MO-2026-{r[0]}", "priority": r[1], "status": r[2], "asset_id": r[3], "plant_id": _plant_of(r[3]),
+            "order_id": r[0], "priority": r[1], "status": r[2], "asset_id": r[3], "plant_id": _plant_of(r[3]),
             "completed_date": date.fromisoformat(r[4]) if r[4] else None, "cost_eur": float(r[5]), "created_date": date(2026, 1, 1),
         }
         for r in _rows(ORDERS)
     ]
     ledger = [
         {
-            "record_id": f"EM-{r[1]}-{r[0]}", "plant_id": f"PP-{r[0]}-01", "period": r[1], "co2_tonnes": float(r[2]), "ets_allowance_tonnes": float(r[3]),
-            "compliance_pct": float(r[4]), "emission_factor_tco2_per_mwh": 0.35,
+            "record_id": r[0], "plant_id": r[1], "period": r[2], "co2_tonnes": float(r[3]), "ets_allowance_tonnes": float(r[4]),
+            "compliance_pct": float(r[5]), "emission_factor_tco2_per_mwh": 0.35,
         }
         for r in _rows(LEDGER)
     ]

@@ -57,13 +57,13 @@ def test_reference_csv(spark, folder):
     os.makedirs(folder)
     header = ",".join(REFERENCE["emissions_ledger"].names)
     with open(f"{folder}/emissions_ledger.csv", "w") as f:
-        f.write(header + "\nEM-1,PP-LAV-01,Lavrio Gas CCGT,2026-01,18500,20000,52857,0.35,92.5,Compliant\nEM-2,PP-LAV-01,x,2026-02,bad,,,0.35,,\n")
+        f.write(header + "\nr1,plant-x,Invented Plant,2026-01,1234,2000,3500,0.3,61.7,Compliant\nr2,plant-x,x,2026-02,bad,,,0.3,,\n")
     schemas = {"emissions_ledger": REFERENCE["emissions_ledger"]}
     for _ in range(2):
         reference.load_reference(spark, folder, f"{folder}/out", schemas=schemas)
     rows = spark.read.parquet(f"{folder}/out/emissions_ledger").orderBy("record_id").collect()
     assert [r.period for r in rows] == ["2026-01", "2026-02"]
-    assert rows[0].co2_tonnes == 18500.0 and rows[1].co2_tonnes is None
+    assert rows[0].co2_tonnes == 1234.0 and rows[1].co2_tonnes is None
 
 
 def test_append_merge_retention(spark, folder):
@@ -128,3 +128,11 @@ def test_compaction_keeps_rows_and_other_days(spark, folder):
     assert sorted(out.select(*table.drop("ingest_batch").columns).collect()) == sorted(table.drop("ingest_batch").collect())
     files = len([f for f in os.listdir(f"{folder}/out/event_date={days[1]}") if f.endswith(".parquet")])
     assert files == 3
+
+
+def test_written_layers_come_back(spark, folder):
+    points = spark.createDataFrame([("a", 1.0, 2.0), ("b", None, 2.0)], "id string, latitude double, longitude double")
+    for _ in range(2):
+        geojson.write_layers({"one": points, "two": points.limit(0)}, folder)
+    rows = geojson.read_layers(spark, folder).collect()
+    assert [(r.layer, json.loads(r.value)["geometry"]["coordinates"]) for r in rows] == [("one", [2.0, 1.0])]
