@@ -20,14 +20,13 @@ class Paths:
     """Shape of the search.
 
     ``trees`` independent trees; at its root a set chooses one or two of its ``tokens`` minwise tokens (1 / similarity of them on average), below
-    ``deeper``. A node of at most ``small`` sets is compared exhaustively, and so are the sets outside a larger node's main component, if they are as few. ``slack``: a pair is set aside where its minwise tokens agree so rarely that a similarity at the threshold is out of question
+    two, at least one of them where it differs from the node's pivot. A node of at most ``small`` sets is compared exhaustively, and so are the sets outside a larger node's main component, if they are as few. ``slack``: a pair is set aside where its minwise tokens agree so rarely that a similarity at the threshold is out of question
     (five standard deviations). With 12 trees a pair at the threshold meets at no root once in 2 * 10^9 times.
     """
 
     trees: int = 12
     tokens: int = 64
     small: int = 48
-    deeper: int = 2
     levels: int = 3
     slack: float = 0.27
     seed: int = 11
@@ -144,16 +143,18 @@ def _compared(sides: DataFrame, p: Paths, threshold: int) -> DataFrame:
     return map_columns(sides.select("left", "right"), "a long, b long", work)
 
 
-def _pairs(members: DataFrame, p: Paths, threshold: int, *, last: bool = False) -> DataFrame:
+def _pairs(members: DataFrame, p: Paths, threshold: int, *, first: bool = False, last: bool = False) -> DataFrame:
     """Candidate pairs of sets in different components of a node.
 
-    All of a small node. Of a large one those with its pivot; and where few stand outside the main component, those few with every member. After the last
-    level the ones outside are met by every member in blocks, however many they are.
+    At ``first`` every node's members with its pivot, as many pairs as members at most. Then all of a small node. Of a large one those with its pivot; and where few stand outside the
+    main component, those few with every member. After the last level the ones outside are met by every member in blocks, however many they are.
     """
     mine = F.struct(*_MINE)
-    small = members.where(F.col("size") <= p.small).groupBy("node").agg(F.collect_list(mine).alias("left")).select("left", F.col("left").alias("right"))
-    large = members.where(F.col("size") > p.small)
+    large = members if first else members.where(F.col("size") > p.small)
     pivots = large.where("component != pivot.component").select(F.array(mine).alias("left"), F.array("pivot").alias("right"))
+    if first:
+        return _compared(pivots, p, threshold).distinct()
+    small = members.where(F.col("size") <= p.small).groupBy("node").agg(F.collect_list(mine).alias("left")).select("left", F.col("left").alias("right"))
     open_ = large if last else large.where(F.col("outside") <= p.small)
     block = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("outside") / p.small)) if last else F.lit(0)
     few = open_.where("component != pivot.component").withColumn("block", block).groupBy("node", "block").agg(F.collect_list(mine).alias("right"))
@@ -178,14 +179,32 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, *, key: str,
     return common.where(F.lit(100) * F.col("n") >= F.lit(threshold) * (F.col("m") - F.col("n"))).select("a", "b")
 
 
-def _children(members: DataFrame, level: int, p: Paths) -> DataFrame:
-    """Large nodes branch: every member goes on by a few minwise tokens that the node chooses, with its value there."""
-    values = []
-    for k in range(p.deeper):
-        token = F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(p.tokens)).cast("int")
-        values.append(F.xxhash64("node", token, F.substr("sketch", token + 1, F.lit(1))))
+def _children(members: DataFrame, p: Paths) -> DataFrame:
+    """Large nodes branch: every member goes on by one or two of its minwise tokens, with its value there.
+
+    The first is where it differs from the node's pivot: what all members share, such as a very common line, tells nothing and would keep them together. So is the second,
+    unless most tokens agree with the pivot's; then it is any token, as similar sets seldom differ from the pivot in the same one.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+
+    def work(set_id: pa.Array, sketch: pa.Array, n_shingles: pa.Array, component: pa.Array, node: pa.Array, against: pa.Array) -> list:
+        n = len(set_id)
+        mine, pivot = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(n, p.tokens) for x in (sketch, against))
+        differs, parent, row = mine != pivot, node.to_numpy().view(np.uint64), np.arange(n)
+        near = differs.sum(axis=1) * 2 <= p.tokens
+        children = []
+        for k in range(2):
+            salted = mixed(parent + np.uint64(k + 1))
+            order = ((salted % np.uint64(p.tokens)).astype(np.int64)[:, None] + np.arange(p.tokens)) % p.tokens
+            told = np.take_along_axis(differs, order, 1)
+            at = order[row, np.where(near, 0, told.argmax(axis=1)) if k else told.argmax(axis=1)]
+            children.append(mixed(salted ^ mixed((at * 256 + mine[row, at]).astype(np.uint64) + np.uint64(1))))
+        take = np.concatenate([row, np.flatnonzero(children[0] != children[1])])
+        child = np.concatenate([children[0], children[1][take[n:]]]).view(np.int64)
+        return [*(x.take(pa.array(take)) for x in (set_id, sketch, n_shingles, component)), child]
+
     open_ = members.where((F.col("size") > p.small) & (F.col("outside") > p.small))
-    return open_.select(*_MINE, F.explode(F.array_distinct(F.array(*values))).alias("node")).dropDuplicates(["node", "set_id"])
+    return map_columns(open_.select(*_MINE, "node", F.col("pivot.sketch").alias("against")), ", ".join(f"{c} {kinds[c]}" for c in (*_MINE, "node")), work)
 
 
 def near_duplicates(
@@ -197,7 +216,7 @@ def near_duplicates(
     100 * common >= ``threshold`` * union are linked; ``component_id`` is the smallest key reachable, ``kept`` says that it is the own one. A text of fewer words has one shingle; one without words, or
     null, has none and stands alone. Rows of equal key are one document if their texts are equal. A row with a null key is linked with nothing, has a null component and is kept. An empty table gives an empty result.
 
-    Equal sets are one set from the start, so copies form no pairs. Trees share no state and run side by side, level by level: nodes with one component are
+    Equal sets are one set from the start, so copies form no pairs. Trees share no state and run side by side, level by level. First every node's members meet its pivot. Then nodes with one component are
     done, small ones are compared exhaustively, large ones with a pivot, and those with many sets outside their main component branch further. Every link is confirmed on full sets.
     """
     name, docs = key, docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -207,16 +226,20 @@ def near_duplicates(
     sets = settled(own.groupBy("set_id").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "distinct")
     rows = sets.select("set_id", "sketch", "n_shingles", F.col("set_id").alias("component"), F.explode("roots").alias("node"))
     links: DataFrame | None = None
+    tried: DataFrame | None = None
     for level in range(paths.levels + 1):
         members = settled(_members(rows), "nodes")
-        last = level == paths.levels
-        pairs = settled(_pairs(members, paths, threshold, last=last), "pairs")
+        first, last = level == 0, level == paths.levels
+        found = _pairs(members, paths, threshold, first=first, last=last)
+        pairs = settled(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else pairs.unionByName(tried)
         new = None if pairs.isEmpty() else settled(_confirmed(pairs, docs, sets, key=key, text=text, size=size, threshold=threshold), "confirmed")
         if new is not None and not new.isEmpty():
             links = new if links is None else new.unionByName(links)
-        if last or members.where((F.col("size") > paths.small) & (F.col("outside") > paths.small)).isEmpty():
+        going = members if first else members.where((F.col("size") > paths.small) & (F.col("outside") > paths.small))
+        if last or going.isEmpty():
             break
-        rows = _children(members, level, paths)
+        rows = members.select(*_MINE, "node") if first else _children(members, paths)
         if links is not None:
             # Only to spare pairs that are connected already: a few rounds do.
             labels = settled(components(links, rounds=2), "labels")
