@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meltemi.session import settled
+
 #: A chunk ends after a line whose rolling hash is divisible by this: so many lines a chunk on average.
 EVERY = 3
 #: Lines under the rolling hash, and its multiplier and modulus.
@@ -72,10 +74,10 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pai
     every = chunks(lined, "_key", "_print")
     marks = every.select(*told, place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     repeated = marks.where("first != last").select("h1", "h2", "first")
-    # Bodies of repeated chunks only: the first one's beside each later one's.
-    met = every.select("*", *told).join(repeated, ["h1", "h2"])
-    firsts = met.where(place == F.col("first")).select("h1", "h2", F.col("body").alias("first_body")).dropDuplicates(["h1", "h2"])
-    later = met.where(place != F.col("first")).join(firsts, ["h1", "h2"]).where(F.col("body") == F.col("first_body"))
+    # All bodies move once, to find the repeated chunks; what is written and compared are the bodies of those only, the first one's beside each later one's.
+    met = settled(every.select("*", *told).join(repeated, ["h1", "h2"]).withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"), "chunks")
+    firsts = met.where("is_first").select("h1", "h2", F.col("body").alias("first_body")).dropDuplicates(["h1", "h2"])
+    later = met.where("not is_first").join(firsts, ["h1", "h2"]).where(F.col("body") == F.col("first_body"))
     gone = later.select("_key", "_print", "chunk").groupBy("_key", "_print").agg(F.collect_set("chunk").alias("_gone"))
     joined = named.join(
         gone.select(F.col("_key").alias("_k"), F.col("_print").alias("_p"), "_gone"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_print") == F.col("_p")), "left"
