@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from meltemi.llm.frames import bounded_broadcast, map_columns, sliced
 UNDETERMINED = "und"
 BITS = 15
 ORDERS = (2, 3)
-#: Languages that a model may have; with the bits it bounds what is collected and broadcast.
-MOST_LANGUAGES = 256
+#: Languages of one slice of a model; with the bits it bounds what is collected, broadcast and held at once.
+SLICE = 256
 
 
 @lru_cache(maxsize=1)
@@ -63,23 +64,30 @@ def counts(labelled: DataFrame, *, lang: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for name, n in held.items():
+                at = np.flatnonzero(n)
+                # Bucket -1 holds the number of texts.
+                columns = [pa.array([name] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([docs[name], *n[at].tolist()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
+
         for batch in batches:
             for part in sliced(batch, text, 4 << 20):
                 names = np.array(part.column(lang).to_pylist(), dtype=object)
                 points, at = _points(part.column(text))
-                for name in set(names):
-                    docs[name] = docs.get(name, 0) + int((names == name).sum())
-                    held.setdefault(name, np.zeros(1 << BITS, np.int64))
-                for b, (lo, hi) in _grams(points, at):
-                    for name in set(names):
-                        mine = np.flatnonzero(names == name)
-                        got = np.concatenate([b[lo[i] : hi[i]] for i in mine])
-                        held[name] += np.bincount(got, minlength=1 << BITS)
-        for name, n in held.items():
-            at = np.flatnonzero(n)
-            # Bucket -1 holds the number of texts.
-            columns = [pa.array([name] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([docs[name], *n[at].tolist()], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
+                grams = list(_grams(points, at))
+                for name in sorted(set(names)):
+                    mine = np.flatnonzero(names == name)
+                    docs[name] = docs.get(name, 0) + len(mine)
+                    n = held.setdefault(name, np.zeros(1 << BITS, np.int64))
+                    for b, (lo, hi) in grams:
+                        n += np.bincount(np.concatenate([b[lo[i] : hi[i]] for i in mine]), minlength=1 << BITS)
+                    if len(held) >= SLICE:
+                        yield from sums()
+                        held.clear()
+                        docs.clear()
+        yield from sums()
 
     summed = labelled.select(lang, text).mapInArrow(run, "lang string, bucket int, n long")
     return summed.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -88,26 +96,27 @@ def counts(labelled: DataFrame, *, lang: str, text: str) -> DataFrame:
 def fit(labelled: DataFrame, *, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log probabilities [bucket, language], log priors), add-one smoothed.
 
-    What comes to the driver is one number a language and bucket, whatever the corpus.
+    What comes to the driver is one number a language and bucket, whatever the corpus, for ``SLICE`` languages at a time; it keeps 128 KB a language.
     """
     table = counts(labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), lang=lang, text=text).persist()
     try:
-        names = sorted(r[0] for r in table.where("bucket = -1").select("lang").limit(MOST_LANGUAGES + 1).collect())
-        if len(names) > MOST_LANGUAGES:
-            raise ValueError(f"over {MOST_LANGUAGES} languages; raise the bound on purpose")
-        rows = table.toArrow()
+        names = sorted(r[0] for r in table.where("bucket = -1").select("lang").collect())
+        prior = np.zeros(len(names))
+        log_p = np.zeros((1 << BITS, len(names)), np.float32)
+        for a in range(0, len(names), SLICE):
+            mine = names[a : a + SLICE]
+            place = {x: i for i, x in enumerate(mine)}
+            rows = table.where(F.col("lang").between(mine[0], mine[-1])).toArrow()
+            n = np.zeros((1 << BITS, len(mine)))
+            column = np.array([place[x] for x in rows.column("lang").to_pylist()], int)
+            bucket, count = rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
+            whole = bucket < 0
+            prior[a + column[whole]] = count[whole]
+            n[bucket[~whole], column[~whole]] = count[~whole]
+            log_p[:, a : a + len(mine)] = np.log(n + 1) - np.log(n.sum(axis=0) + n.shape[0])
     finally:
         table.unpersist()
-    place = {x: i for i, x in enumerate(names)}
-    n = np.zeros((1 << BITS, len(names)))
-    prior = np.zeros(len(names))
-    column = np.array([place[x] for x in rows.column("lang").to_pylist()], int)
-    bucket, count = rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
-    whole = bucket < 0
-    prior[column[whole]] = count[whole]
-    n[bucket[~whole], column[~whole]] = count[~whole]
-    log_p = np.log(n + 1) - np.log(n.sum(axis=0) + n.shape[0])
-    return names, log_p.astype(np.float32), np.log(prior) - np.log(max(prior.sum(), 1))
+    return names, log_p, np.log(prior) - np.log(max(prior.sum(), 1))
 
 
 def predict(
@@ -117,28 +126,49 @@ def predict(
 
     ``score`` is the posterior of the language. A null, empty or letterless text, and any text where the
     model has no language, is ``und`` with score 0; equal posteriors go to the first language by name. Repeated rows come out each.
+    Any number of languages takes part: ``SLICE`` of them are broadcast as one table, and the slices are looked at one after the other.
     """
     names, log_p, prior = model
-    shared = bounded_broadcast(docs.sparkSession, (names, log_p, prior), log_p.nbytes, "the language model")
     kept = docs.select(key, text, *[c.alias(n) for n, c in (extra or {}).items()])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != text]
+    types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+    starts = range(0, max(len(names), 1), SLICE)
+    for a in starts:
+        part = slice(a, a + SLICE)
+        shared = bounded_broadcast(docs.sparkSession, (names[part], np.ascontiguousarray(log_p[:, part]), prior[part]), log_p[:, part].nbytes, "a slice of the language model")
+        kept = _slice(kept, shared, key, text, types, first=a == 0, last=a == starts[-1])
+    return kept
+
+
+def _slice(kept: DataFrame, shared: Any, key: str, text: str, types: dict[str, str], *, first: bool, last: bool) -> DataFrame:
+    """One slice of the languages over every text. Between slices a row carries its best language so far, that one's log odds, and the sum of all odds as multiples of it."""
 
     def work(keys: pa.Array, texts: pa.Array, *rest: pa.Array) -> list:
-        langs, table, first = shared.value
+        langs, table, odds = shared.value
+        rest, before = (rest, None) if first else (rest[:-3], rest[-3:])
         if not langs:
             return [keys, *rest, [UNDETERMINED] * len(keys), [0.0] * len(keys)]
         points, at = _points(texts)
         has = np.add.reduceat(points != 32, at[:-1]) > 0
-        total = np.tile(first, (len(keys), 1))
+        total = np.tile(odds, (len(keys), 1))
         for b, (lo, hi) in _grams(points, at):
             if not len(b):
                 continue
             run = np.zeros((len(b) + 1, len(langs)))
             np.cumsum(table[b], axis=0, dtype=np.float64, out=run[1:])
             total += run[hi] - run[lo]
-        top = total.max(axis=1, keepdims=True)
-        posterior = 1 / np.exp(total - top).sum(axis=1)
-        best = total.argmax(axis=1)
-        return [keys, *rest, [langs[i] if h else UNDETERMINED for i, h in zip(best, has)], np.where(has, posterior, 0.0)]
-
-    return map_columns(kept, ", ".join([*fields, "lang_pred string", "score double"]), work, text=text, max_bytes=1 << 20)
+        top = total.max(axis=1)
+        whole = np.exp(total - top[:, None]).sum(axis=1)
+        best = np.array([langs[i] for i in total.argmax(axis=1)], dtype=object)
+        if before is not None:
+            old, held = (x.to_numpy(zero_copy_only=False) for x in before[1:])
+            now = np.maximum(old, top)
+            whole = held * np.exp(old - now) + whole * np.exp(top - now)
+            best = np.where(top > old, best, np.array(before[0].to_pylist(), dtype=object))
+            top = now
+        if not last:
+            return [keys, texts, *rest, best.tolist(), top, whole]
+        return [keys, *rest, [x if h else UNDETERMINED for x, h in zip(best, has)], np.where(has, 1 / whole, 0.0)]
+
+    columns = [f"`{n}` {t}" for n, t in types.items() if n != text or not last]
+    columns += ["lang_pred string", "score double"] if last else ["_best string", "_top double", "_whole double"]
+    return map_columns(kept, ", ".join(columns), work, text=text, max_bytes=1 << 20)

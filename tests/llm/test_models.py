@@ -45,6 +45,21 @@ def test_languages_of_odd_texts(spark):
     assert language_id.predict(odd.limit(0), model).count() == 0
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abcdefghij ", k=60)), f"l{i % 300:03d}") for i in range(600)] + [(600, "", None), (601, None, "l000")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(docs)
+    assert len(model[0]) == 300 and model[1].shape[1] == 300
+    in_slices = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, model).collect()}
+    monkeypatch.setattr(language_id, "SLICE", 400)
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, model).collect()}
+    assert {k: v[0] for k, v in in_slices.items()} == {k: v[0] for k, v in whole.items()}
+    assert max(abs(v[1] - whole[k][1]) for k, v in in_slices.items()) < 1e-9
+    assert sum(lang == in_slices[i][0] for i, _, lang in rows[:600]) > 550 and in_slices[600] == in_slices[601] == ("und", 0.0)
+
+
+
 def test_naive_bayes_counts_every_gram():
     points, at = language_id._points(pa.array(["ab  c!d", None, "Ab"]))
     assert "".join(map(chr, points)) == " ab c d ab"[:7] + "  ab"
