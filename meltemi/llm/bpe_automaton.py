@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,9 @@ from meltemi.llm.vocab import Vocabulary, chunks
 
 #: Encoded chunks that a worker remembers; beyond that it starts anew.
 REMEMBERED = 300_000
+#: Letters by which the lengths of labels are looked up, and the lengths below that, which are tried everywhere.
+FIRST = 4
+SHORT = (3, 2, 1)
 
 
 class TokenAutomaton:
@@ -53,10 +57,21 @@ class TokenAutomaton:
                 ends.add(uv)
         self.inside = {letters[t]: t for t in live - ends}
         self.closing = {letters[t]: t for t in live & ends}
-        self.longest = max(map(len, letters.values()))
+        #: The first letters of a place -> how long the labels are that may stand there, the longest first.
+        self.lengths = self._lengths({*self.inside, *self.closing})
+        #: (state, label) -> whether that arc is there, of the pairs that a word has asked for: the table of transitions as far as it is used.
+        self.arcs: dict[int, bool] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
         self.seen: dict[str, tuple[bytes, str]] = {}
 
+    @staticmethod
+    def _lengths(labels: set[bytes]) -> dict[bytes, tuple[int, ...]]:
+        found: dict[bytes, set[int]] = {}
+        for x in labels:
+            if len(x) >= FIRST:
+                found.setdefault(x[:FIRST], set()).add(len(x))
+        return {x: (*sorted(of, reverse=True), *SHORT) for x, of in found.items()}
+
     def has_arc(self, state: int, label: int) -> bool:
         """Follows the gadgets back, the latest first, until one has taken the arc away or only byte symbols are left."""
         if state < 0:
@@ -74,55 +89,65 @@ class TokenAutomaton:
             else:
                 before, label = of + 1, self.left[label]
 
+    def _arc(self, state: int, label: int) -> bool:
+        if len(self.arcs) >= REMEMBERED:
+            self.arcs.clear()
+        there = self.arcs[state << 20 | label] = self.has_arc(state, label)
+        return there
+
     def encode(self, raw: bytes) -> list[int]:
         """Ids of one pre-split word. A prefix has one path at most, so a place that led nowhere is never tried again."""
         n, place, state = len(raw), 0, self.START
         path: list[tuple[int, int]] = []  # (place, label) of the arcs taken
-        length, dead = min(n, self.longest), set()
-        inside, closing, has_arc = self.inside.get, self.closing.get, self.has_arc
+        most, dead = n, set()
+        inside, closing, lengths, arcs, arc = self.inside.get, self.closing.get, self.lengths.get, self.arcs.get, self._arc
         while place < n:
-            while length:
+            for length in lengths(raw[place : place + FIRST], SHORT):
                 end = place + length
-                if end not in dead:
+                if length <= most and end not in dead:
                     label = closing(raw[place:end]) if end == n else inside(raw[place:end])
-                    if label is not None and has_arc(state, label):
-                        break
-                length -= 1
-            if length:
-                path.append((place, label))
-                place, state = end, label
-                length = min(n - place, self.longest)
+                    if label is not None:
+                        there = state < 0 or arcs(state << 20 | label)
+                        if arc(state, label) if there is None else there:
+                            path.append((place, label))
+                            place, state = end, label
+                            most = n - place
+                            break
             else:
                 dead.add(place)
                 last = place
                 place, label = path.pop()
-                length = last - place - 1
+                most = last - place - 1
                 state = path[-1][1] if path else self.START
         return [label for _, label in path]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, one space apart: the vocabulary file names no decoder that would join them."""
-        names = self.vocabulary.names
-        return " ".join(names[i] for i in ids if i in names)
+        name = self.vocabulary.names.get
+        return " ".join([x for x in map(name, ids) if x is not None])
 
     def ids(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
         return np.frombuffer(self.both(text)[0], "<u4").tolist()
 
+    def _word(self, piece: str) -> tuple[bytes, str]:
+        ids = self.encode(piece.encode("utf-8", "surrogatepass"))
+        out = pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        if len(piece) < 64:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            self.words[piece] = out
+        return out
+
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        parts, labels = [], []
-        for p in self.vocabulary.pieces(chunk):
-            known = None if isinstance(p, int) else self.words.get(p)
-            if known is None:
-                ids = [p] if isinstance(p, int) else self.encode(p.encode("utf-8", "surrogatepass"))
-                known = np.array(ids, "<u4").tobytes(), self.decode(ids)
-                if not isinstance(p, int) and len(p) < 64:
-                    if len(self.words) >= REMEMBERED:
-                        self.words.clear()
-                    self.words[p] = known
-            parts.append(known[0])
-            labels.append(known[1])
-        out = b"".join(parts), " ".join(labels)
+        known, fresh = self.words.get, self._word
+        # A chunk of letters is a piece, as pieces() would give it.
+        if chunk.isascii() and chunk.isalpha():
+            low = chunk.lower()
+            out = known(low) or fresh(low)
+        else:
+            parts = [(pack("<I", p), self.decode([p])) if isinstance(p, int) else known(p) or fresh(p) for p in self.vocabulary.pieces(chunk)]
+            out = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
         if len(chunk) < 64:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
@@ -131,9 +156,8 @@ class TokenAutomaton:
 
     def both(self, text: str | None) -> tuple[bytes, str]:
         """(ids as little-endian 32-bit integers, decoded text) of a whole text."""
-        parts, known, fresh = [], self.seen.get, self._chunk
-        for c in chunks(text or ""):
-            parts.append(known(c) or fresh(c))
+        known, fresh = self.seen.get, self._chunk
+        parts = [known(c) or fresh(c) for c in chunks(text or "")]
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
 
 

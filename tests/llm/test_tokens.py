@@ -71,6 +71,16 @@ def test_any_text(text):
     assert AUTOMATON.both(text)[1] == decoded
 
 
+def test_an_arc_is_worked_out_once(monkeypatch):
+    one, asked = TokenAutomaton(Vocabulary(SOURCE)), []
+    whole = one.has_arc
+    monkeypatch.setattr(one, "has_arc", lambda state, label: asked.append((state, label)) or whole(state, label))
+    for k in range(300):
+        text = f"qzx{'v' * (k % 7)}wkj{'bn' * (k % 5)}{'m' * (k // 35)}"
+        assert one.ids(text) == expected(text)[0]
+    assert asked and len(asked) == len(set(asked))
+
+
 def test_automaton_paths_are_unique():
     # Every prefix of merged letters is read by one path only: the automaton refuses what merging would not leave.
     v = AUTOMATON.vocabulary
