@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from meltemi.operators.latest import as_list
 from meltemi.operators.order import with_time_slice
 from meltemi.operators.series import step_index
+from meltemi.session import settled
 
 
 @dataclass(frozen=True)
@@ -60,10 +61,30 @@ class SpectralResidual:
         return 2 * self.reach + self.window
 
 
-def _around(x: np.ndarray, before: int, after: int, fill: float) -> np.ndarray:
-    """Row i: the values from ``before`` places before i to ``after`` places behind it."""
-    padded = np.concatenate([np.full(before, fill), x, np.full(after, fill)])
-    return np.lib.stride_tricks.sliding_window_view(padded, before + after + 1)
+#: Points whose windows lie in memory at once.
+_BLOCK = 2_048
+
+
+class _Stretches:
+    """Values of many stretches side by side, with room between them, so that one array operation serves all: no window reaches into a neighbour."""
+
+    def __init__(self, starts: np.ndarray, n: int, reach: int) -> None:
+        self.reach, self.size = reach, n + reach * (len(starts) + 1)
+        self.place = np.arange(n) + reach * np.searchsorted(starts, np.arange(n), side="right")
+
+    def spread(self, x: np.ndarray, fill: float) -> np.ndarray:
+        out = np.full(self.size, fill)
+        out[self.place] = x
+        return out
+
+    def near(self, mark: np.ndarray) -> np.ndarray:
+        """How many marked points lie within reach of each point."""
+        upto = np.concatenate([[0], np.cumsum(self.spread(mark, 0.0))])
+        return upto[self.place + self.reach + 1] - upto[self.place - self.reach]
+
+    def around(self, spread: np.ndarray, points: np.ndarray, before: int, after: int) -> np.ndarray:
+        """Row i: the values from ``before`` places before the i-th of ``points`` to ``after`` places behind it."""
+        return np.lib.stride_tricks.sliding_window_view(spread, before + after + 1)[self.place[points] - before]
 
 
 def _saliency(rows: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
@@ -82,48 +103,60 @@ def _saliency(rows: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
 
 
 def _median(rows: np.ndarray) -> np.ndarray:
-    """Median of each row's known values. Only rows at a series' ends have unknown ones; the others need no masks."""
-    whole = ~np.isnan(rows).any(axis=1)
-    out = np.full(len(rows), np.nan)
-    out[whole] = np.median(rows[whole], axis=1) if whole.any() else np.nan
-    if not whole.all():
+    """Median of each row's known values, unknown without any. Sorting puts unknown ones last."""
+    known = rows.shape[1] - np.isnan(rows).sum(axis=1)
+    ordered, row = np.sort(rows, axis=1), np.arange(len(rows))
+    low, high = ordered[row, np.maximum(known - 1, 0) // 2], ordered[row, np.minimum(known // 2, rows.shape[1] - 1)]
+    return np.where(low == high, low, (low + high) / 2)
+
+
+def _baseline(around: np.ndarray, seen: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
+    """Median of the same phase in the two periods on each side; the mean of what is near where a series is shorter than two periods."""
+    out = np.full(len(around), np.nan)
+    if cfg.periodicity > 1:
+        far = seen >= 2 * cfg.periodicity
+        out[far] = _median(around[far, cfg.reach % cfg.periodicity :: cfg.periodicity])
+    plain = np.isnan(out)
+    if plain.any():
         with warnings.catch_warnings():
             warnings.simplefilter("ignore", RuntimeWarning)  # rows without a value
-            out[~whole] = np.nanmedian(rows[~whole], axis=1)
+            out[plain] = np.nan_to_num(np.nanmean(around[plain], axis=1))
     return out
 
 
-def _baseline(values: np.ndarray, cfg: SpectralResidual) -> np.ndarray:
-    """Median of the same phase in the two periods on each side; the mean of what is near where a series is shorter than two periods."""
-    near = _around(values, cfg.reach, cfg.reach, np.nan)
-    known = np.ones(len(values))
-    seen = np.nansum(_around(known, cfg.reach, cfg.reach, 0.0), axis=1)
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", RuntimeWarning)  # rows without a value
-        plain = np.nan_to_num(np.nanmean(near, axis=1))
-        if cfg.periodicity <= 1:
-            return plain
-        seasonal = _median(near[:, cfg.reach % cfg.periodicity :: cfg.periodicity])
-    return np.where((seen >= 2 * cfg.periodicity) & ~np.isnan(seasonal), seasonal, plain)
-
-
-def _judged(values: np.ndarray, cfg: SpectralResidual) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(baseline, score, flag) of every point, each from the points around it alone. Missing values count as lying on the baseline."""
-    baseline = _baseline(values, cfg)
+def _judged(
+    values: np.ndarray, cfg: SpectralResidual, starts: np.ndarray | None = None, wanted: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(baseline, score, flag) of every point, each from the points around it alone. Missing values count as lying on the baseline.
+
+    Stretches begin at ``starts`` (one stretch, if not given); only the ``wanted`` points are judged and returned.
+    """
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    wanted = np.ones(len(values), bool) if wanted is None else wanted
+    all_ = _Stretches(starts, len(values), cfg.reach)
+    needed, seen = np.flatnonzero(all_.near(wanted) > 0), all_.near(np.ones(len(values)))
+    spread, baseline = all_.spread(values, np.nan), np.zeros(len(values))
+    for k in range(0, len(needed), _BLOCK):
+        part = needed[k : k + _BLOCK]
+        baseline[part] = _baseline(all_.around(spread, part, cfg.reach, cfg.reach), seen[part], cfg)
     rest = np.nan_to_num(values - baseline)
     # A few points behind the judged one keep the transform from treating it as an edge; past the end they lie on the baseline.
-    rows = _around(rest, cfg.window - 1, cfg.ahead, 0.0)
-    at = cfg.window - 1
-    sal = _saliency(rows, cfg)
-    local = sal[:, at - cfg.history : at].mean(axis=1)
-    floor = np.maximum(1e-9, 0.05 * sal.mean(axis=1))
-    score = np.maximum((sal[:, at] - local) / np.maximum(local, floor), 0.0)
-    score[rows.max(axis=1) - rows.min(axis=1) < 1e-9] = 0.0
-    near = _around(rest, cfg.reach, cfg.reach, np.nan)
-    middle = _median(near)
-    spread = 1.4826 * _median(np.abs(near - middle[:, None]))
-    off = np.abs(rest - middle)
-    return baseline, score, (score >= cfg.min_score) & (off > np.maximum(cfg.margin * spread, 1e-9)) & ~np.isnan(values)
+    edged, open_ = all_.spread(rest, 0.0), all_.spread(rest, np.nan)
+    at, mine = cfg.window - 1, np.flatnonzero(wanted)
+    score, flag = np.zeros(len(mine)), np.zeros(len(mine), dtype=bool)
+    for k in range(0, len(mine), _BLOCK):
+        part, out = mine[k : k + _BLOCK], slice(k, k + _BLOCK)
+        rows = all_.around(edged, part, at, cfg.ahead)
+        sal = _saliency(rows, cfg)
+        local = sal[:, at - cfg.history : at].mean(axis=1)
+        floor = np.maximum(1e-9, 0.05 * sal.mean(axis=1))
+        score[out] = np.maximum((sal[:, at] - local) / np.maximum(local, floor), 0.0)
+        score[out][rows.max(axis=1) - rows.min(axis=1) < 1e-9] = 0.0
+        near = all_.around(open_, part, cfg.reach, cfg.reach)
+        middle = _median(near)
+        margin = cfg.margin * (1.4826 * _median(np.abs(near - middle[:, None])))
+        flag[out] = (score[out] >= cfg.min_score) & (np.abs(rest[part] - middle) > np.maximum(margin, 1e-9)) & ~np.isnan(values[part])
+    return baseline[mine], score, flag
 
 
 def spectral_residual(
@@ -142,11 +175,11 @@ def spectral_residual(
     An entity's series is cut into stretches of ``core`` steps, each given with an overlap on both
     sides, so a stretch holds at most ``core + 2 * overlap`` rows whatever the entity's history, and
     a long history is spread over many tasks. Stretches arrive sorted, many to an Arrow batch; only
-    core rows are returned.
+    core rows are returned, and only they are judged. The judged rows are written to the shared folder, as the limit on flags reads them more than once.
     """
     keys = as_list(keys)
     overlap = cfg.overlap
-    core = max(core, overlap)  # a point then lies in its own stretch and at most one neighbour
+    core = max(core, 4 * overlap)  # a point then lies in its own stretch and at most one neighbour, and most points in no neighbour
     placed = series.select(*keys, ts, F.col(value).cast("double").alias(value), step_index(ts, step).alias("idx"))
     pos = F.col("idx") % core
     home = F.floor(F.col("idx") / core)
@@ -165,14 +198,9 @@ def spectral_residual(
     parts = [*keys, "_stretch"]
 
     def judge(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        values = pdf[value].to_numpy(dtype=float)
         mine = (pdf["_home"] == pdf["_stretch"]).to_numpy()
-        baseline, score, flag = np.zeros(len(pdf)), np.zeros(len(pdf)), np.zeros(len(pdf), dtype=bool)
-        for a, b in zip(starts, [*starts[1:], len(pdf)]):
-            if mine[a:b].any():
-                baseline[a:b], score[a:b], flag[a:b] = _judged(values[a:b], cfg)
-        out = pdf[[*keys, ts, value]].assign(baseline=baseline, score=score, anomaly=flag.astype("int32"))
-        return out.loc[mine]
+        baseline, score, flag = _judged(pdf[value].to_numpy(dtype=float), cfg, starts, mine)
+        return pdf.loc[mine, [*keys, ts, value]].assign(baseline=baseline, score=score, anomaly=flag.astype("int32"))
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -190,7 +218,7 @@ def spectral_residual(
         if held is not None:
             yield judge(held, np.array([0]))
 
-    return _strongest(spread.mapInPandas(detect, out_schema), keys, ts, cfg.max_anomaly_ratio)
+    return _strongest(settled(spread.mapInPandas(detect, out_schema), "judged"), keys, ts, cfg.max_anomaly_ratio)
 
 
 def cusum(

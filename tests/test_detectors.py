@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meltemi.operators.detect import SpectralResidual, _judged, cusum
+from meltemi.operators.detect import SpectralResidual, _judged, cusum, spectral_residual
 from meltemi.operators.quantiles import exact_quantiles
 from meltemi.operators.series import decompose
 
@@ -116,3 +116,23 @@ def test_spectral_scores_equal_the_sums_written_out():
     assert np.allclose(base, want_base) and np.allclose(score, want_score, atol=1e-8)
     assert flag[70] and flag.sum() <= 3
     assert _judged(np.full(60, 2.0), cfg)[2].sum() == 0
+
+
+def test_stretches_side_by_side_equal_each_alone():
+    rng = np.random.default_rng(4)
+    for cfg in (SpectralResidual(), SpectralResidual(sensitivity=85, threshold=1.0), SpectralResidual(periodicity=1)):
+        parts = [rng.normal(size=n) for n in (1, 30, 120, 300, 2_500)] + [np.full(60, np.nan), np.zeros(90)]
+        parts[3][rng.random(300) < 0.2] = np.nan
+        wanted = rng.random(sum(map(len, parts))) < 0.5
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        got = _judged(np.concatenate(parts), cfg, starts, wanted)
+        for one, each in zip(got, zip(*[_judged(x, cfg) for x in parts])):
+            assert np.allclose(one.astype(float), np.concatenate(each)[wanted].astype(float), rtol=0, atol=1e-12, equal_nan=True)
+
+
+def test_points_are_judged_once(spark):
+    rows = spark.range(200).selectExpr("id % 2 as k", "timestamp_seconds(3600 * (id div 2)) as timestamp", "double(id % 7) as value")
+    out = spectral_residual(rows, "k", "1 hour")
+    # The limit on flags counts, ranks and joins what was judged: none of these judges again.
+    assert "MapInPandas" not in out._jdf.queryExecution().toString()
+    assert out.count() == 200
