@@ -1,4 +1,4 @@
-"""Change alerts over a stream in Spark's keyed state: a micro-batch touches the objects that it has rows or due times for, and no others."""
+"""Change alerts over a stream in Spark's keyed state: a micro-batch touches the objects that it has rows or due times for, and the rows that wait beside theirs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,50 +20,70 @@ from meltemi.streaming.ingest import started
 
 #: The state store that keyed state needs; set it on the session before the query starts.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_HELD = "at bigint, tie bigint, on_ boolean, row string"
+#: Rows wait in blocks, each one value of the state: (object, time, tiebreak, verdict, and where that is true the row).
+_HELD = pa.schema([("object", pa.string()), ("at", pa.int64()), ("tie", pa.int64()), ("on_", pa.bool_()), ("row", pa.string())])
 
 
 class _Changes(StatefulProcessor):
-    """Per object: the last released row's place and verdict, and the rows that the watermark has not passed."""
+    """Per bucket of objects: the blocks of rows that the watermark has not passed, and by object the verdict of its last released row."""
 
     def __init__(self, fire_on_first: bool) -> None:
         self.fire_on_first = fire_on_first
 
     def init(self, handle: Any) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at bigint, tie bigint, on_ boolean")
-        self.held = handle.getListState("held", _HELD)
+        self.last = handle.getMapState("last", "object string", "on_ boolean")
+        self.held = handle.getListState("held", "rows binary")
 
-    def _wake(self, rows: list[tuple]) -> None:
+    def _hold(self, rows: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _HELD) as stream:
+            stream.write_table(rows)
+        self.held.appendValue((sink.getvalue().to_pybytes(),))
+
+    def _wake(self, at: int) -> None:
         """One timer for the earliest of the rows; when it goes off, the next one is set for what still waits."""
-        self.handle.registerTimer(-(-min(r[0] for r in rows) // 1000))
+        self.handle.registerTimer(-(-at // 1000))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        earliest = None
         for batch in rows:
-            found = [(int(a), int(t), bool(o), r) for a, t, o, r in zip(batch["at"], batch["tie"], batch["on_"], batch["row"])]
-            if found:
-                self.held.appendList(found)
-                self._wake(found)
+            if len(batch):
+                self._hold(pa.Table.from_pandas(batch[_HELD.names], schema=_HELD, preserve_index=False))
+                least = int(batch["at"].min())
+                earliest = least if earliest is None else min(earliest, least)
+        if earliest is not None:
+            self._wake(earliest)
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2])
-        ready, waiting = [r for r in rows if r[0] <= upto], [r for r in rows if r[0] > upto]
-        if not ready:
+        blocks = [pa.ipc.open_stream(bytes(b[0])).read_all() for b in self.held.get()]
+        rows = pa.concat_tables([_HELD.empty_table(), *blocks])
+        due = rows["at"].to_numpy() <= upto
+        if not due.any():
             return iter([])
-        was = self.last.get()[2] if self.last.exists() else not self.fire_on_first
-        fired = []
-        for _, _, on, row in ready:
-            if on and not was:
-                fired.append(row)
-            was = on
-        self.last.update((*ready[-1][:2], was))
+        ready = rows.filter(pa.array(due))
+        names = ready["object"].combine_chunks().dictionary_encode()
+        of, on = names.indices.to_numpy(), ready["on_"].to_numpy(zero_copy_only=False)
+        order = np.lexsort((ready["tie"].to_numpy(), ready["at"].to_numpy(), of))
+        of, on = of[order], on[order]
+        first = np.append(True, of[1:] != of[:-1])
+        was, known = np.append(False, on[:-1]), []
+        for name in names.dictionary.to_pylist():
+            seen = self.last.getValue((name,))
+            known.append(None if seen is None else bool(seen[0]))
+        was[first] = [not self.fire_on_first if k is None else k for k in known]
+        for name, before, now in zip(names.dictionary.to_pylist(), known, on[np.append(first[1:], True)].tolist()):
+            if now is not before:
+                self.last.updateValue((name,), (now,))
+        fired = ready["row"].take(pa.array(order[on & ~was]))
         self.held.clear()
-        if waiting:
-            self.held.put(waiting)
-            self._wake(waiting)
-        return iter([pd.DataFrame({"row": fired})]) if fired else iter([])
+        if not due.all():
+            waiting = rows.filter(pa.array(~due))
+            self._hold(waiting)
+            self._wake(int(waiting["at"].to_numpy().min()))
+        return iter([pd.DataFrame({"row": fired.to_pylist()})]) if len(fired) else iter([])
 
     def close(self) -> None:
         pass
@@ -71,10 +93,10 @@ class _Changes(StatefulProcessor):
 class KeyedAlerts:
     """Alert when ``condition`` becomes true for an object identified by ``keys``: the stream form of :func:`meltemi.operators.alerts.becomes`.
 
-    Rows wait in their object's state until the watermark passes them; a timer at the earliest one's time then releases them in (time, ``tiebreak``) order, so any split into micro-batches and any order within
-    the delay gives the batch answer. What comes behind the watermark is dropped and counted by Spark. State is a boolean and the waiting rows per object; only objects with new rows or due timers
-    are read or written, so silent ones cost a batch nothing. An object's rows of one batch meet in one task: where one object has so many that this hurts,
-    :class:`meltemi.streaming.alerts.ChangeAlerts` splits it by time instead.
+    Rows wait in their bucket's state until the watermark passes them; a timer at the earliest one's time then releases them, object by object, in (time, ``tiebreak``) order, so any split into micro-batches and any order within
+    the delay gives the batch answer. What comes behind the watermark is dropped and counted by Spark. State is a boolean per object and the waiting rows; only objects with new rows or due timers
+    are read or written, so silent ones cost a batch nothing. Objects share ``buckets`` timers and lists of waiting rows by a hash, so a batch costs calls by the bucket and array work by the row; the number stays as it is
+    for the life of a checkpoint. A bucket's rows of one batch meet in one task: more buckets make them fewer, and where one object has so many that this hurts, :class:`meltemi.streaming.alerts.ChangeAlerts` splits it by time instead.
     """
 
     keys: Sequence[str] | str
@@ -83,6 +105,7 @@ class KeyedAlerts:
     tiebreak: str | None = None
     delay: str = "1 minute"
     fire_on_first: bool = False
+    buckets: int = 1_024
 
     def alerts(self, events: DataFrame) -> DataFrame:
         """The rows of ``events`` at which the condition turns true, as a stream in append mode."""
@@ -93,15 +116,17 @@ class KeyedAlerts:
         rows = events.where(F.col(self.ts).isNotNull()).withWatermark(self.ts, self.delay)
         tie = F.col(self.tiebreak).cast("bigint") if self.tiebreak else F.lit(0).cast("bigint")
         # Objects go by one text that is never null: a null among whole-number keys would turn its whole batch into other keys.
+        named, on = F.to_json(F.struct(*keys)), F.coalesce(self.condition, F.lit(False))
         told = rows.select(
-            F.to_json(F.struct(*keys)).alias("object"),
+            F.pmod(F.xxhash64(named), F.lit(self.buckets)).alias("bucket"),
+            named.alias("object"),
             self.ts,
             micros(self.ts).alias("at"),
             F.coalesce(tie, F.lit(0)).alias("tie"),
-            F.coalesce(self.condition, F.lit(False)).alias("on_"),
-            F.to_json(F.struct(*[F.col(c) for c in events.columns]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("row"),
+            on.alias("on_"),
+            F.when(on, F.to_json(F.struct(*[F.col(c) for c in events.columns]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})).alias("row"),
         )
-        fired = told.groupBy("object").transformWithStateInPandas(_Changes(self.fire_on_first), "row string", "Append", "EventTime")
+        fired = told.groupBy("bucket").transformWithStateInPandas(_Changes(self.fire_on_first), "row string", "Append", "EventTime")
         back = F.from_json("row", events.schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
         return fired.select(back.alias("r")).select("r.*")
 

@@ -2,14 +2,16 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from meltemi.operators.alerts import becomes
 from meltemi.operators.latest import latest
 from meltemi.plans.registry import REGISTRY
-from meltemi.streaming.keyed_alerts import PROVIDER, KeyedAlerts
+from meltemi.streaming.keyed_alerts import PROVIDER, KeyedAlerts, _Changes
 from meltemi.streaming.live import LiveTable
 
 T0 = datetime(2026, 4, 14, 10)
@@ -65,3 +67,43 @@ def test_keyed_alerts_equal_batch(keyed, tmp_path):
 def test_keyed_alerts_ask_for_their_state_store(spark):
     with pytest.raises(ValueError, match="providerClass"):
         KeyedAlerts("k", F.col("label") == "F").alerts(spark.createDataFrame([], KIND))
+
+
+class _Handle:
+    """State of one bucket in plain lists, with a count of the calls made for it."""
+
+    def __init__(self):
+        self.calls, self.rows, self.last, self.timers = 0, [], {}, []
+
+    def _called(self, done=None):
+        self.calls += 1
+        return done
+
+    def getMapState(self, *_):
+        return SimpleNamespace(getValue=lambda k: self._called(self.last.get(k)), updateValue=lambda k, v: self._called(self.last.__setitem__(k, v)))
+
+    def getListState(self, *_):
+        return SimpleNamespace(get=lambda: self._called(iter(list(self.rows))), appendValue=lambda v: self._called(self.rows.append(v)), clear=lambda: self._called(self.rows.clear()))
+
+    def registerTimer(self, at):
+        self._called(self.timers.append(at))
+
+
+def test_keyed_alerts_call_the_state_by_the_object_not_by_the_row():
+    rng, handle = random.Random(8), _Handle()
+    one = _Changes(False)
+    one.init(handle)
+    rows = [(f"o{i % 5}", 1_000 * rng.randrange(400), i, rng.random() < 0.5) for i in range(1_000)]
+    batches = (pd.DataFrame([(*r, f"r{r[2]}" if r[3] else None) for r in part], columns=["object", "at", "tie", "on_", "row"]) for part in (rows[:500], rows[500:]))
+    assert list(one.handleInputRows((0,), batches, None)) == [] and handle.calls == 3 and handle.timers == [min(r[1] for r in rows) // 1000]
+    fired = []
+    for upto in (150, 400, 500):
+        out = one.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda upto=upto: upto), None)
+        fired += [r for frame in out for r in frame["row"]]
+    expected = []
+    for name in {r[0] for r in rows}:
+        was = True
+        for _, _, i, on in sorted((r for r in rows if r[0] == name), key=lambda r: r[1:3]):
+            expected += [f"r{i}"] if on and not was else []
+            was = on
+    assert sorted(fired) == sorted(expected) and not handle.rows and handle.calls < 50
