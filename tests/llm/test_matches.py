@@ -285,6 +285,37 @@ def test_near_duplicates(spark, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_sets_below_the_threshold_form_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = spoken(rng, 300, 5000)
+    texts = variants(rng, base, 120, 0.031)
+    sets = [shingled(t) for t in texts]
+    between = [(len(a & b), len(a | b)) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(100 * x >= 48 * y for x, y in between) > 5000 > 50 * sum(100 * x >= 75 * y for x, y in between)
+    made = []
+
+    def counted(df, purpose, kept=chosen_path.settled):
+        out = kept(df, purpose)
+        made.append(out.count() if purpose in ("pairs", "confirmed") else 0)
+        return out
+
+    monkeypatch.setattr(chosen_path, "settled", counted)
+    got = chosen_path.near_duplicates(frame(spark, texts), paths=chosen_path.Paths(small=4)).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == closure(sets, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    assert sum(made) < 1000
+
+
+def test_minwise_values_agree_as_often_as_sets_are_similar():
+    rng, p = np.random.default_rng(3), chosen_path.Paths()
+    for n, common in ((1, 0), (3, 2), (20, 17), (150, 129), (3000, 2571)):
+        sets = [np.sort(x[at]) for x in rng.integers(0, 1 << 63, (40, 2 * n - common), dtype=np.uint64) for at in (slice(n), slice(n - common, None))]
+        tokens, bits = chosen_path._minwise(np.concatenate(sets), np.arange(len(sets) + 1) * n, p)
+        share = common / (2 * n - common)
+        assert abs((tokens[::2] == tokens[1::2]).mean() - share) < 0.03
+        apart = np.bitwise_count(bits[::2] ^ bits[1::2]).sum(axis=1, dtype=int)
+        assert abs(apart.mean() - p.bits * (1 - share) / 2) < 10 and apart.std() < 1.5 * (p.bits * (1 - share**2) / 4) ** 0.5
+
+
 def test_near_duplicates_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in chosen_path.near_duplicates(docs).collect()))
