@@ -17,6 +17,8 @@ from meltemi.llm.words import mixed, powers, utf8
 LENGTH, GRAM = 100, 16
 #: Offsets that an anchor can have in a string.
 OFFSETS = LENGTH - GRAM + 1
+#: Every string holds so many bytes before its anchor's gram, or so many after it.
+REACH = (LENGTH - GRAM) // 2
 #: Different spans of one gram that meet in a task; more go by the digests of their strings.
 TOGETHER = 20_000
 
@@ -76,13 +78,17 @@ def _bucketed(docs: DataFrame, n: int) -> DataFrame:
                 if not len(a.at):
                     continue
                 out = np.empty(len(a.at), _ANCHOR)
-                out["gram"] = a.digest(a.at, a.at + GRAM)
+                gram = a.digest(a.at, a.at + GRAM)
+                out["gram"] = gram >> np.uint64(32)
                 out["span"] = mixed(a.digest(a.low, a.high + LENGTH) ^ ((a.at - a.low).astype(np.uint64) << np.uint64(8)) ^ (a.high - a.low).astype(np.uint64))
                 out["doc"] = part.column("doc").to_numpy()[a.text]
                 out["print"] = part.column("print").to_numpy()[a.text]
                 begin = a.offsets[a.text]
                 out["at"], out["most"], out["least"] = a.at - begin, a.at - a.low, a.at - a.high
-                bucket = (out["gram"] % np.uint64(n)).astype(np.int64)
+                # Where no string of the span reaches that far, the gram's own bytes stand in; nothing asks for them.
+                out["left"] = a.digest(a.at - np.where(out["most"] >= REACH, REACH, 0), a.at + GRAM) >> np.uint64(32)
+                out["right"] = a.digest(a.at, a.at + GRAM + np.where(out["least"] < REACH, REACH, 0)) >> np.uint64(32)
+                bucket = (gram % np.uint64(n)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 bucket, out = bucket[by], out[by]
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -92,15 +98,31 @@ def _bucketed(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, anchors binary").repartition(n, "bucket")
 
 
-#: An anchor on its way: fingerprints of gram and span, document, place, and the largest and smallest offset of its strings.
-_ANCHOR = np.dtype([("gram", "u8"), ("span", "u8"), ("doc", "i8"), ("print", "i4"), ("at", "u4"), ("most", "u1"), ("least", "u1")])
+#: An anchor on its way: fingerprints of gram and span, and of the gram with REACH bytes before it and after it, document, place, and the largest and smallest offset of its strings.
+#: Half a fingerprint is enough for gram, left and right: where two are equal by chance, spans are compared that share nothing.
+_ANCHOR = np.dtype([("gram", "u4"), ("left", "u4"), ("right", "u4"), ("span", "u8"), ("doc", "i8"), ("print", "i4"), ("at", "u4"), ("most", "u1"), ("least", "u1")])
+
+
+def shared(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which of the given spans, all different, can have a string in common with another one of their group.
+
+    Equal strings stand at equal offsets from their anchors. If it begins REACH bytes or more before them, both spans have the same REACH bytes before the gram; else they have the same REACH bytes after it.
+    """
+    out = np.zeros(len(x), bool)
+    for side, some in (("left", x["most"] >= REACH), ("right", x["least"] < REACH)):
+        at = np.flatnonzero(some)
+        at = at[np.lexsort((x[side][at], group[at]))]
+        same = (x[side][at[1:]] == x[side][at[:-1]]) & (group[at[1:]] == group[at[:-1]])
+        out[at[1:][same]] = True
+        out[at[:-1][same]] = True
+    return out
 
 
 def _judged(buckets: DataFrame) -> DataFrame:
-    """Rows (doc, print, at, most, least, kind) of the anchors whose gram stands elsewhere too.
+    """Rows (doc, print, at, most, least, kind) of the anchors whose strings may stand elsewhere too.
 
-    Kind 0: the whole span stands earlier, so all its strings do. Kind 1: a span that is the first of its kind, to be merged with others of its gram; kind 2: the same,
-    where more than TOGETHER different spans have the gram.
+    Kind 0: the whole span stands earlier, so all its strings do. Kind 1: a span that is the first of its kind, to be merged with others of its gram that it may share a string with; kind 2: the same,
+    where more than TOGETHER such spans have the gram.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +141,13 @@ def _judged(buckets: DataFrame) -> DataFrame:
             span = gram.copy()
             span[1:] |= x["span"][1:] != x["span"][:-1]
             group = np.cumsum(gram) - 1
-            kinds = np.bincount(group, weights=span)[group].astype(np.int64)
+            first = np.flatnonzero(span)
+            open_ = np.zeros(len(x), bool)
+            open_[first] = shared(x[first], group[first])
+            kinds = np.bincount(group, weights=open_)[group].astype(np.int64)
             kind = np.where(~span, 0, np.where(kinds <= TOGETHER, 1, 2))
-            out = x[~span | (kinds > 1)]
-            kind = kind[~span | (kinds > 1)]
+            out = x[~span | open_]
+            kind = kind[~span | open_]
             for a in range(0, len(out), 100_000):
                 o = out[a : a + 100_000]
                 columns = [o["doc"], o["print"], o["at"].astype("i4"), o["most"].astype("i4"), o["least"].astype("i4"), kind[a : a + 100_000].astype("i4")]
@@ -283,7 +308,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     one document and get the same result; texts that share a key follow each other by a hash. A row with a null key takes no part and loses nothing.
     """
     kind = docs.schema[key].dataType.simpleString()
-    runs = repeats(docs, key=key, text=text)
+    # Written, so that the spans' bytes are gone before the texts move again.
+    runs = settled(repeats(docs, key=key, text=text), "runs")
     lists = runs.groupBy("doc", "print").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     rows = docs.select(F.col(key).alias("_key"), F.hash(text).alias("print"), F.coalesce(text, F.lit("")).alias("text"))
     joined = rows.join(lists, (F.col("_key").cast("long") == F.col("doc")) & (rows["print"] == lists["print"]), "left").select("_key", "text", "runs")

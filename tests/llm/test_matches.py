@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from meltemi.llm import bwt_merge, chosen_path, components, itq, line_chunks, suffix_match
 from meltemi.llm.words import Words
+from meltemi.session import settled
 
 
 def spoken(rng, n, words=400):
@@ -234,6 +236,37 @@ def test_repeated_bytes_of_repeated_rows(spark):
     assert bwt_merge.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_spans_that_share_less_than_a_string_are_not_read(spark):
+    """A common phrase of 50 bytes makes anchors of equal grams everywhere, and no string of 100 bytes repeats."""
+    rng = random.Random(9)
+    phrase = "".join(rng.choice("abcdefgh") for _ in range(50))
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = [some(150 + k) + phrase + some(150) for k in range(60)]
+    docs = frame(spark, texts).select(F.col("doc_id").alias("doc"), F.hash("text").alias("print"), "text")
+    assert bwt_merge._judged(bwt_merge._bucketed(docs, 4)).count() == 0
+    # Passages of 99 bytes do not repeat, those of 100 and more do, wherever their anchors are.
+    for n in range(99, 190, 7):
+        passage = some(n)
+        texts += [some(40) + passage + some(60), some(70) + passage, passage + some(90)]
+    got = {r.doc_id: r for r in bwt_merge.remove_repeats(frame(spark, texts)).collect()}
+    for i, want in enumerate(stripped(texts)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, (i, texts[i])
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+    before = files()
+    out = settled(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    until = time.monotonic() + 10
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 7
+
+
 def shingled(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
