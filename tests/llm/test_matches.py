@@ -423,6 +423,47 @@ def alike(n=1024):
     return word, word.translate(str.maketrans("ab", "ba"))
 
 
+def test_vectors_that_meet_by_chance_are_not_moved(spark, monkeypatch):
+    """Keys of unlinked vectors are equal or one bit apart for a share of all pairs; only what may be a link is compared by whole vectors."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1_500, 64))
+    x[1_400:] = x[:100] + 0.02 * rng.normal(size=(100, 64))
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    compared, cosines = [], itq._cosines
+
+    def counted(pairs, columns):
+        compared.append(pairs.count())
+        return cosines(pairs, columns)
+
+    monkeypatch.setattr(itq, "_cosines", counted)
+    got = {r.vec_id: r for r in itq.near_vectors(table).collect()}
+    assert all(got[i].n_links == (i < 100 or i >= 1_400) and got[i].component_id == (i - 1_400 if i >= 1_400 else i) for i in range(len(x)))
+    assert sum(compared) < 1_000, compared
+
+
+@pytest.mark.parametrize("part", [4, 5])
+def test_balls_meet_by_equal_keys_and_those_one_bit_off(spark, part):
+    rng = np.random.default_rng(part)
+    keys = rng.integers(0, 1 << part, size=(60, 3)) + (np.arange(3) << part)
+    center = rng.integers(0, 25, size=60)
+    rows = [(int(c), k.astype("<i8").tobytes(), bytes(8), 1.0, 0.0, 0.0) for c, k in zip(center, keys)]
+    member = spark.createDataFrame(rows, "center long, keys binary, coarse binary, step float, off double, reach double")
+    for tables in ([0, 1, 2], [1]):
+        near = (np.bitwise_count(keys[:, None, tables] ^ keys[None, :, tables]) <= 1).any(axis=2)
+        want = {(int(min(a, b)), int(max(a, b))) for a, b in zip(*(center[k] for k in np.nonzero(near))) if a != b}
+        got = [(r.a, r.b) for r in itq._meetings(member, tables, part, np.pi).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_many_vectors_are_looked_up_by_longer_substrings():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(100, 64)), 4, axis=0)
+    x += 0.01 * rng.normal(size=x.shape)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    assert itq.fit(x, itq.Tables(), 0.9, 10_000)[1].part == 16
+    assert itq.fit(x, itq.Tables(), 0.9, 10_000_000)[1].part > 16
+
+
 def test_different_words_stay_different(spark):
     one, other = alike()
     for kind in ("alnum", "blank"):
